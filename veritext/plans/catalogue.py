@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.operators import corpus as C
 from veritext.operators import phrases as P
 from veritext.plans.oracle import PHRASE
 from veritext.sources.tables import phrase_documents, table
@@ -34,8 +35,77 @@ def q_phrase_doc_totals(spark, d):
     return P.phrase_doc_totals(q_phrase_counts_batch(spark, d))
 
 
+def _pages(spark, d):
+    return table(spark, d, "pages")
+
+
+def q_page_titles(spark, d):
+    return C.page_titles(_pages(spark, d))
+
+
+def q_page_file_names(spark, d):
+    return C.page_file_names(_pages(spark, d))
+
+
+def q_page_file_names_from_url(spark, d):
+    return C.page_file_names(_pages(spark, d), use_titles=False)
+
+
+def q_unique_file_names(spark, d):
+    return C.unique_file_names(C.page_file_names(_pages(spark, d)))
+
+
+def q_page_text(spark, d):
+    t = C.page_texts(_pages(spark, d))
+    return t.select("page_id", F.length("text").cast("bigint").alias("text_length"), F.md5("text").alias("text_md5"))
+
+
+def q_page_documents(spark, d):
+    docs = C.build_documents(_pages(spark, d))
+    return docs.select("page_id", "doc_id", "metadata.title", "metadata.source_file", "metadata.source_path",
+                       F.col("metadata.text_length").cast("bigint").alias("text_length"), "metadata.doc_type",
+                       F.md5("text").alias("text_md5"))
+
+
+def q_document_report(spark, d):
+    return C.document_report(C.build_documents(_pages(spark, d)))
+
+
+def q_text_corpus_winners(spark, d):
+    return C.text_corpus(_pages(spark, d)).select("file_name", "page_id", F.md5("text").alias("text_md5"))
+
+
+def q_page_quarantine_counts(spark, d):
+    return C.quarantine_counts(C.quarantine(_pages(spark, d)))
+
+
+def _doc_chunks(spark, d):
+    return C.split_chunks(table(spark, d, "documents"))
+
+
+def q_document_chunks(spark, d):
+    return _doc_chunks(spark, d).select("doc_id", "pos", "chunk_id", "article", "paragraph",
+                                        F.length("text").cast("bigint").alias("text_length"),
+                                        F.md5("text").alias("text_md5"))
+
+
+def q_chunk_length_profile(spark, d):
+    return C.chunk_length_profile(_doc_chunks(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "page_titles": q_page_titles,
+        "page_file_names": q_page_file_names,
+        "page_file_names_from_url": q_page_file_names_from_url,
+        "unique_file_names": q_unique_file_names,
+        "page_text": q_page_text,
+        "page_documents": q_page_documents,
+        "document_report": q_document_report,
+        "text_corpus_winners": q_text_corpus_winners,
+        "page_quarantine_counts": q_page_quarantine_counts,
+        "document_chunks": q_document_chunks,
+        "chunk_length_profile": q_chunk_length_profile,
         "phrase_counts": q_phrase_counts,
         "phrase_counts_batch": q_phrase_counts_batch,
         "phrase_doc_totals": q_phrase_doc_totals,
