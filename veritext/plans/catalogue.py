@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.operators import corpus as C
+from veritext.operators import embed as E
 from veritext.operators import phrases as P
+from veritext.operators import retrieve as R
+from veritext.plans.index import chunk_index
+from veritext.plans.oracle import DIMS, INDEX_DIMS, K
+from veritext.session import scratch_path
+from veritext.sources.tables import questions
 from veritext.plans.oracle import PHRASE
 from veritext.sources.tables import phrase_documents, table
 
@@ -93,8 +99,77 @@ def q_chunk_length_profile(spark, d):
     return C.chunk_length_profile(_doc_chunks(spark, d))
 
 
+def _hash_long(vecs):
+    e = vecs.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).filter(F.col("w") != 0)
+    return e.select("doc_id", F.col("bucket").cast("int").alias("bucket"), F.round("w", 6).alias("weight"))
+
+
+def q_hash_embeddings(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _hash_long(E.embed_texts(docs, "text", (E.HashingEncoder, (DIMS,))))
+
+
+def q_embed_distinct(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _hash_long(E.embed_distinct(docs, "text", (E.HashingEncoder, (DIMS,))))
+
+
+def _validated(spark, d):
+    return E.validate_vectors(table(spark, d, "embeddings"), "embedding", INDEX_DIMS)
+
+
+def q_vector_validation(spark, d):
+    v = _validated(spark, d)
+    return v.groupBy("valid", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_index_rebuild_counts(spark, d):
+    return E.rebuild_index(_validated(spark, d), scratch_path(spark, "vector_index"))
+
+
+def q_semantic_topk(spark, d):
+    emb = table(spark, d, "embeddings")
+    return R.semantic_topk(emb, R.centroids(emb, []), K, id_col="vec_id")
+
+
+def q_semantic_topk_batch(spark, d):
+    emb = table(spark, d, "embeddings")
+    return R.semantic_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
+
+
+def _chunk_index(spark, d):
+    return chunk_index(table(spark, d, "documents"), DIMS)
+
+
+def _question_vectors(spark, d):
+    qs = questions(table(spark, d, "benchmark"))
+    return E.embed_texts(qs, "question", (E.HashingEncoder, (DIMS,)), out="query_vec")
+
+
+def q_chunk_semantic_topk(spark, d):
+    return R.semantic_topk_batch(_chunk_index(spark, d), _question_vectors(spark, d), K,
+                                 id_col="chunk_id", qid="question_id")
+
+
+def q_source_labels(spark, d):
+    return _doc_chunks(spark, d).select("chunk_id", R.source_label("article", "paragraph", "id").alias("source"))
+
+
+def q_source_labels_bm25(spark, d):
+    return _doc_chunks(spark, d).select("chunk_id", R.bm25_source_label("title").alias("source"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "hash_embeddings": q_hash_embeddings,
+        "embed_distinct": q_embed_distinct,
+        "vector_validation": q_vector_validation,
+        "index_rebuild_counts": q_index_rebuild_counts,
+        "semantic_topk": q_semantic_topk,
+        "semantic_topk_batch": q_semantic_topk_batch,
+        "chunk_semantic_topk": q_chunk_semantic_topk,
+        "source_labels": q_source_labels,
+        "source_labels_bm25": q_source_labels_bm25,
         "page_titles": q_page_titles,
         "page_file_names": q_page_file_names,
         "page_file_names_from_url": q_page_file_names_from_url,
