@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.operators import corpus as C
+from veritext.operators import answer as A
 from veritext.operators import embed as E
+from veritext.operators import lexical as L
 from veritext.operators import phrases as P
 from veritext.operators import retrieve as R
+from veritext.plans import qa
 from veritext.plans.index import chunk_index
 from veritext.plans.oracle import DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path
@@ -159,8 +162,105 @@ def q_source_labels_bm25(spark, d):
     return _doc_chunks(spark, d).select("chunk_id", R.bm25_source_label("title").alias("source"))
 
 
+def _qa(spark, d, use_reranking=True):
+    qs = questions(table(spark, d, "benchmark"))
+    cfg = qa.QAConfig(retrieval_top_k=K, rerank_top_k=3, use_reranking=use_reranking, dims=DIMS)
+    return qa.answer(_chunk_index(spark, d), qs, cfg)
+
+
+def q_rerank_scores(spark, d):
+    s = _qa(spark, d)["scored"]
+    return s.select("question_id", "retrieval_rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def q_rerank_topk(spark, d):
+    f = _qa(spark, d)["final"]
+    return f.select("question_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def q_rerank_fallback(spark, d):
+    f = _qa(spark, d, use_reranking=False)["final"]
+    return f.select("question_id", "rank", "chunk_id", "retrieval_score")
+
+
+def q_effective_scores(spark, d):
+    f = _qa(spark, d)["final"]
+    return f.select("question_id", "rank", "chunk_id", F.round(A.effective_score(), 6).alias("score"))
+
+
+def q_context(spark, d):
+    r = _qa(spark, d)
+    return A.contexts(r["final"], questions(table(spark, d, "benchmark")))
+
+
+def q_confidence(spark, d):
+    r = _qa(spark, d)
+    c = A.confidence(r["final"], questions(table(spark, d, "benchmark")))
+    return c.select("question_id", F.round("confidence", 6).alias("confidence"))
+
+
+def q_pipeline_stats(spark, d):
+    r = _qa(spark, d)
+    return A.pipeline_stats(r["retrieved"], r["final"], questions(table(spark, d, "benchmark")))
+
+
+def q_prompts(spark, d):
+    qs = questions(table(spark, d, "benchmark"))
+    ctx = A.contexts(_qa(spark, d)["final"], qs).join(qs, "question_id")
+    p = A.prompt(F.col("context"), F.col("question"))
+    return ctx.select("question_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_length"))
+
+
+def q_source_listing(spark, d):
+    return A.source_listing(_qa(spark, d)["final"])
+
+
+def q_answer_records(spark, d):
+    return _qa(spark, d)["records"]
+
+
+def q_retrieval_route(spark, d):
+    r = _qa(spark, d)["retrieved"]
+    return r.groupBy("question_id", "method").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_bm25_topk(spark, d):
+    qs = questions(table(spark, d, "benchmark"))
+    return L.bm25_topk(_doc_chunks(spark, d), L.query_weights(qs), K, id_col="chunk_id")
+
+
+def q_fuzzy_terms(spark, d):
+    qs = questions(table(spark, d, "benchmark"))
+    return L.fuzzy_terms(L.question_terms(qs), L.vocabulary(_doc_chunks(spark, d)))
+
+
+def q_bm25_fuzzy_topk(spark, d):
+    qs = questions(table(spark, d, "benchmark"))
+    chunks = _doc_chunks(spark, d)
+    fz = L.fuzzy_terms(L.question_terms(qs), L.vocabulary(chunks))
+    return L.bm25_topk(chunks, L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id")
+
+
+def flagship(spark, d):
+    return q_answer_records(spark, d)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "rerank_scores": q_rerank_scores,
+        "rerank_topk": q_rerank_topk,
+        "rerank_fallback": q_rerank_fallback,
+        "effective_scores": q_effective_scores,
+        "context": q_context,
+        "confidence": q_confidence,
+        "pipeline_stats": q_pipeline_stats,
+        "prompts": q_prompts,
+        "source_listing": q_source_listing,
+        "answer_records": q_answer_records,
+        "retrieval_route": q_retrieval_route,
+        "bm25_topk": q_bm25_topk,
+        "fuzzy_terms": q_fuzzy_terms,
+        "bm25_fuzzy_topk": q_bm25_fuzzy_topk,
         "hash_embeddings": q_hash_embeddings,
         "embed_distinct": q_embed_distinct,
         "vector_validation": q_vector_validation,
