@@ -18,7 +18,7 @@ from veritext.operators import lexical as L
 from veritext.operators import phrases as P
 from veritext.operators import retrieve as R
 from veritext.plans import qa
-from veritext.plans.index import chunk_index
+from veritext.plans.index import build_chunk_index, stored_chunk_index
 from veritext.plans.oracle import DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path
 from veritext.sources.tables import questions
@@ -141,7 +141,11 @@ def q_semantic_topk_batch(spark, d):
 
 
 def _chunk_index(spark, d):
-    return chunk_index(table(spark, d, "documents"), DIMS)
+    return stored_chunk_index(spark, f"{d}/documents.parquet", table(spark, d, "documents"), DIMS)
+
+
+def q_index_build_counts(spark, d):
+    return build_chunk_index(table(spark, d, "documents"), scratch_path(spark, "chunk_index_build"), DIMS)
 
 
 def _question_vectors(spark, d):
@@ -237,7 +241,7 @@ def q_fuzzy_terms(spark, d):
 def q_bm25_fuzzy_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
     chunks = _doc_chunks(spark, d)
-    fz = L.fuzzy_terms(L.question_terms(qs), L.vocabulary(chunks))
+    fz = L.fuzzy_terms(L.question_terms(qs), L.vocabulary(chunks)).persist()
     return L.bm25_topk(chunks, L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id")
 
 
@@ -247,6 +251,7 @@ def flagship(spark, d):
 
 def queries() -> dict[str, Query]:
     return {
+        "index_build_counts": q_index_build_counts,
         "rerank_scores": q_rerank_scores,
         "rerank_topk": q_rerank_topk,
         "rerank_fallback": q_rerank_fallback,

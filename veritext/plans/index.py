@@ -1,13 +1,24 @@
-"""Index build: documents -> chunks -> vectors -> validated index table."""
+"""Index build: documents -> chunks -> vectors -> validated index table.
+
+The index is a stored table, as the search index it replaces: built once
+(``build_chunk_index``), written under the shared checkpoint folder, then
+read by every query (``stored_chunk_index``).  Queries that scan it twice
+(score, then fetch text) read parquet with column pruning instead of
+recomputing chunks and vectors.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
+from veritext.session import scratch_path
 
 INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding"]
+_BUILT: set[str] = set()
 
 
 def chunk_index(documents: DataFrame, dims: int = E.DEFAULT_DIMS, title=None) -> DataFrame:
@@ -15,3 +26,21 @@ def chunk_index(documents: DataFrame, dims: int = E.DEFAULT_DIMS, title=None) ->
     chunks = C.split_chunks(documents, title=title)
     vec = E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,)))
     return E.validate_vectors(vec, "embedding", dims).filter("valid").select(*INDEX_COLUMNS)
+
+
+def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIMS) -> DataFrame:
+    """Build and write the index; returns ``success, failed`` counts."""
+    chunks = C.split_chunks(documents)
+    vec = E.validate_vectors(E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,))), "embedding", dims)
+    return E.rebuild_index(vec.select(*INDEX_COLUMNS, "valid", "reason"), path)
+
+
+def stored_chunk_index(spark: SparkSession, documents_path: str, documents: DataFrame,
+                       dims: int = E.DEFAULT_DIMS) -> DataFrame:
+    """The index for ``documents_path``, built on first use in this session."""
+    key = hashlib.sha1(f"{documents_path}|{dims}".encode()).hexdigest()[:12]
+    path = scratch_path(spark, f"chunk_index_{key}")
+    if path not in _BUILT:
+        build_chunk_index(documents, path, dims)
+        _BUILT.add(path)
+    return spark.read.parquet(path)

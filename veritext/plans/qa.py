@@ -54,7 +54,7 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig) -> DataFrame:
     rest = qv.filter(~F.col("valid")).select("question_id", "question")
     if not cfg.fuzzy_fallback or rest.isEmpty():
         return sem
-    fuzzy = L.fuzzy_terms(L.question_terms(rest), L.vocabulary(index))
+    fuzzy = L.fuzzy_terms(L.question_terms(rest), L.vocabulary(index)).persist(StorageLevel.MEMORY_AND_DISK)
     w = L.query_weights(rest, fuzzy=fuzzy)
     lex = L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id")
     lex = lex.select("question_id", F.col("rank").alias("retrieval_rank"), "chunk_id",
