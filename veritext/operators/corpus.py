@@ -8,6 +8,7 @@ name shared by a large share of pages never lands in one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +47,12 @@ def unique_file_names(named: DataFrame, key: str = "page_id", name: str = "file_
     min (partial aggregation) and joins, never a window on the name.
     """
     base = named.select(F.col(key).alias("_k"), X.clean_given_name(F.col(name)).alias("_base"))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)      # read once per round below
     first = base.groupBy("_base").agg(F.min("_k").alias("_first"))
     cur = (base.join(first, "_base")
            .select("_k", "_base", F.when(F.col("_k") == F.col("_first"), F.col("_base"))
                    .otherwise(F.concat_ws("_", F.col("_base"), F.col("_k").cast("string"))).alias("_name"),
-                   (F.col("_k") != F.col("_first")).alias("_gen")))
+                   (F.col("_k") != F.col("_first")).alias("_gen"))).persist(StorageLevel.MEMORY_AND_DISK)
     taken = base.select(F.col("_base").alias("_name")).distinct()
     for _ in range(max_rounds):
         clash = cur.filter("_gen").join(taken, "_name", "left_semi").select("_k")
@@ -60,7 +62,7 @@ def unique_file_names(named: DataFrame, key: str = "page_id", name: str = "file_
         cur = (cur.join(clash, "_k", "left")
                .select("_k", "_base",
                        F.when(F.col("_clash"), F.concat_ws("_", F.col("_name"), F.col("_k").cast("string")))
-                       .otherwise(F.col("_name")).alias("_name"), "_gen"))
+                       .otherwise(F.col("_name")).alias("_name"), "_gen")).persist(StorageLevel.MEMORY_AND_DISK)
     return cur.select(F.col("_k").alias(key), F.col("_name").alias(name))
 
 
@@ -68,18 +70,23 @@ def build_documents(pages: DataFrame, folder: str = "html") -> DataFrame:
     """T5: document records from pages saved as ``<unique name>.html``.
 
     ``doc_id string, text string, metadata struct<title, source_file,
-    source_path, text_length, doc_type>, page_id bigint``.
+    source_path, text_length, doc_type>, page_id bigint``.  Title, text and
+    base name come from one narrow pass over the html; only the (page_id,
+    name) pairs take part in the uniqueness step, and the html itself is
+    never shuffled.
     """
-    names = unique_file_names(page_file_names(pages))
-    p = pages.join(names, "page_id")
+    per_page = pages.select("page_id", X.page_file_name("html", "url").alias("file_name"),
+                            X.h1_title("html").alias("title"), X.page_text("html").alias("text"))
+    per_page = per_page.persist(StorageLevel.MEMORY_AND_DISK)
+    names = unique_file_names(per_page.select("page_id", "file_name"))
+    p = per_page.drop("file_name").join(names, "page_id")
     source_file = F.concat(F.col("file_name"), F.lit(".html"))
-    text = X.page_text("html")
     return p.select(
         F.regexp_replace(source_file, r"\.[^.]*$", "").alias("doc_id"),
-        text.alias("text"),
-        F.struct(X.h1_title("html").alias("title"), source_file.alias("source_file"),
+        "text",
+        F.struct("title", source_file.alias("source_file"),
                  F.concat(F.lit(folder.rstrip("/") + "/"), source_file).alias("source_path"),
-                 F.length(text).alias("text_length"), F.lit(DOC_TYPE).alias("doc_type")).alias("metadata"),
+                 F.length("text").alias("text_length"), F.lit(DOC_TYPE).alias("doc_type")).alias("metadata"),
         "page_id")
 
 
@@ -150,20 +157,23 @@ def split_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     s = X.SENTINEL
     by_art = F.split(F.regexp_replace(F.col(text), r"\n(?=Art\.\s*\d)", s), s)
 
-    def art_label(seg):
-        return F.nullif(F.regexp_extract(seg, "^" + ART_MARK, 1), F.lit(""))
+    def label(first_line, mark):
+        return F.nullif(F.regexp_extract(first_line, "^" + mark, 1), F.lit(""))
 
-    def par_label(seg):
-        return F.nullif(F.regexp_extract(seg, "^" + PAR_MARK, 1), F.lit(""))
+    def head(seg):
+        # labels are read from the first line of a part only (one pass per part)
+        return F.substring_index(seg, "\n", 1)
 
-    def lines_of_article(seg):
-        pars = F.split(F.regexp_replace(seg, rf"\n(?=§\s*\d)", s), s)
-        return F.flatten(F.transform(pars, lambda pseg: F.transform(
-            F.split(pseg, "\n"), lambda ln: F.struct(art_label(seg).alias("article"),
-                                                     par_label(pseg).alias("paragraph"),
-                                                     ln.alias("text")))))
+    arts = F.transform(by_art, lambda seg: F.struct(label(head(seg), ART_MARK).alias("a"), seg.alias("s")))
 
-    lines = F.flatten(F.transform(by_art, lines_of_article))
+    def lines_of_article(a):
+        pars = F.transform(F.split(F.regexp_replace(a["s"], r"\n(?=§\s*\d)", s), s),
+                           lambda ps: F.struct(label(head(ps), PAR_MARK).alias("p"), ps.alias("s")))
+        return F.flatten(F.transform(pars, lambda p: F.transform(
+            F.split(p["s"], "\n"), lambda ln: F.struct(a["a"].alias("article"), p["p"].alias("paragraph"),
+                                                       ln.alias("text")))))
+
+    lines = F.flatten(F.transform(arts, lines_of_article))
     cols = [F.col(doc_id).alias("doc_id")]
     if title is not None:
         cols.append(title.alias("title"))

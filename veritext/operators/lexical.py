@@ -28,12 +28,15 @@ from pyspark.sql import types as T
 
 from veritext.functions.text import tokens
 from veritext.functions.vectors import TopK, round_score
+from veritext.operators.retrieve import topk_frame
 
 K1 = 1.2
 B = 0.75
 MAX_EXPANSIONS = 50
 MAX_WEIGHT_ROWS = 2_000_000     # broadcast bound for (question, term, weight) rows
 MAX_TERM_ROWS = 2_000_000       # broadcast bound for the needed-terms table
+DENSE_CELLS = 16_000_000        # terms x questions kept dense per task
+SUB_BATCH = 2_000               # index rows scored together
 
 
 def auto_edits(term: Column) -> Column:
@@ -160,43 +163,57 @@ def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> Dat
     tw = np.array([w for x in by_term for _, w in x], dtype=np.float64)
     bc = index.sparkSession.sparkContext.broadcast((qids, tpos, idf_arr, ptr, tq, tw, float(avgdl)))
 
+    n_q = len(qids)
+    dense = len(terms) * n_q <= DENSE_CELLS
+
     def run(batches):
         import regex
 
         split = regex.compile(r"[^\p{L}\p{N}]+")
         qids_, tpos_, idf_, ptr_, tq_, tw_, avg = bc.value
+        if dense:   # term x question weight matrix, built once per task
+            qm = np.zeros((len(idf_), len(qids_)))
+            tt = np.repeat(np.arange(len(idf_)), ptr_[1:] - ptr_[:-1])
+            np.add.at(qm, (tt, tq_), tw_)
         top = TopK(len(qids_), k)
         for pdf in batches:
-            texts = pdf[text].fillna("").tolist()
-            acc = np.zeros((len(texts), len(qids_)))
-            r_i, t_i, tf_i, dl_i = [], [], [], []
-            for r, t in enumerate(texts):
-                toks = [x for x in split.split(t.lower()) if x]
-                counts: dict[int, int] = {}
-                for x in toks:
-                    j = tpos_.get(x)
-                    if j is not None:
-                        counts[j] = counts.get(j, 0) + 1
-                for j, c in counts.items():
-                    r_i.append(r)
-                    t_i.append(j)
-                    tf_i.append(c)
-                    dl_i.append(len(toks))
-            if r_i:
+            for s0 in range(0, len(pdf), SUB_BATCH):
+                part_df = pdf.iloc[s0:s0 + SUB_BATCH]
+                texts = part_df[text].fillna("").tolist()
+                r_i, t_i, tf_i, dl_i = [], [], [], []
+                for r, t in enumerate(texts):
+                    toks = [x for x in split.split(t.lower()) if x]
+                    counts: dict[int, int] = {}
+                    for x in toks:
+                        j = tpos_.get(x)
+                        if j is not None:
+                            counts[j] = counts.get(j, 0) + 1
+                    for j, c in counts.items():
+                        r_i.append(r)
+                        t_i.append(j)
+                        tf_i.append(c)
+                        dl_i.append(len(toks))
+                if not r_i:
+                    continue
                 r_a, t_a = np.array(r_i), np.array(t_i)
                 tf, dl = np.array(tf_i, dtype=np.float64), np.array(dl_i, dtype=np.float64)
-                part = idf_[t_a] * tf / (tf + k1 * (1.0 - b + b * dl / avg))
-                reps = ptr_[t_a + 1] - ptr_[t_a]
-                rows_rep = np.repeat(r_a, reps)
-                val_rep = np.repeat(part, reps)
-                sel = np.concatenate([np.arange(ptr_[j], ptr_[j + 1]) for j in t_a])
-                np.add.at(acc, (rows_rep, tq_[sel]), val_rep * tw_[sel])
-                hit = np.zeros_like(acc, dtype=bool)
-                hit[rows_rep, tq_[sel]] = True
-                scores = np.where(hit, round_score(acc), np.nan)
-                top.add(pdf[id_col].to_numpy(), scores)
-        out = list(top.rows())
-        yield pd.DataFrame({qid: [qids_[q] for q, _, _ in out], id_col: [i for _, i, _ in out],
-                            "score": [s for _, _, s in out]})
+                contrib = idf_[t_a] * tf / (tf + k1 * (1.0 - b + b * dl / avg))
+                n_rows = len(texts)
+                if dense:
+                    starts = np.flatnonzero(np.r_[True, r_a[1:] != r_a[:-1]])
+                    sums = np.add.reduceat(qm[t_a] * contrib[:, None], starts, axis=0)
+                    acc = np.zeros((n_rows, len(qids_)))
+                    acc[r_a[starts]] = sums
+                else:
+                    reps = ptr_[t_a + 1] - ptr_[t_a]
+                    rows_rep = np.repeat(r_a, reps)
+                    sel = np.concatenate([np.arange(ptr_[j], ptr_[j + 1]) for j in t_a])
+                    flat = rows_rep * len(qids_) + tq_[sel]
+                    acc = np.bincount(flat, weights=np.repeat(contrib, reps) * tw_[sel],
+                                      minlength=n_rows * len(qids_)).reshape(n_rows, len(qids_))
+                # every term weight and idf is positive: a score > 0 is a hit
+                scores = np.where(acc > 0, round_score(acc), np.nan)
+                top.add(part_df[id_col].to_numpy(), scores)
+        yield topk_frame(list(top.rows()), qids_, qid, id_col)
 
     return index.select(id_col, text).mapInPandas(run, schema)

@@ -63,6 +63,14 @@ def semantic_topk(index: DataFrame, query: DataFrame, k: int = 50, id_col: str =
     return top.select(F.row_number().over(w).cast("bigint").alias("rank"), id_col, "score")
 
 
+def topk_frame(rows: list, qids: list, qid_name: str, id_col: str) -> pd.DataFrame:
+    """Rows of ``TopK.rows()`` as a frame; plain object columns so that Arrow
+    gets one contiguous array per column (not a pandas Arrow-backed string)."""
+    return pd.DataFrame({qid_name: pd.Series([qids[q] for q, _, _ in rows], dtype=object),
+                         id_col: pd.Series([i for _, i, _ in rows], dtype=object),
+                         "score": pd.Series([s for _, _, s in rows], dtype="float64")})
+
+
 def _block_scores(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col: str, vec: str,
                   qid_name: str, qid_type: T.DataType) -> DataFrame:
     sc = index.sparkSession.sparkContext
@@ -92,8 +100,7 @@ def _block_scores(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col
                     scores = (m / np.where(n > 0, n, np.nan)) @ qm.T + 1.0
                 top.add(part[id_col].to_numpy(), round_score(scores))
         rows = list(top.rows())
-        yield pd.DataFrame({qid_name: [ids_q[q] for q, _, _ in rows], id_col: [i for _, i, _ in rows],
-                            "score": [s for _, _, s in rows]})
+        yield topk_frame(rows, ids_q, qid_name, id_col)
 
     return index.select(id_col, vec).mapInPandas(run, schema)
 

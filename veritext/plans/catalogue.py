@@ -230,17 +230,17 @@ def q_retrieval_route(spark, d):
 
 def q_bm25_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    return L.bm25_topk(_doc_chunks(spark, d), L.query_weights(qs), K, id_col="chunk_id")
+    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs), K, id_col="chunk_id")
 
 
 def q_fuzzy_terms(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    return L.fuzzy_terms(L.question_terms(qs), L.vocabulary(_doc_chunks(spark, d)))
+    return L.fuzzy_terms(L.question_terms(qs), L.vocabulary(_chunk_index(spark, d)))
 
 
 def q_bm25_fuzzy_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    chunks = _doc_chunks(spark, d)
+    chunks = _chunk_index(spark, d)
     fz = L.fuzzy_terms(L.question_terms(qs), L.vocabulary(chunks)).persist()
     return L.bm25_topk(chunks, L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id")
 
