@@ -110,8 +110,13 @@ def _text_pieces(html: Column) -> Column:
     return F.filter(F.transform(parts, py_strip), lambda p: p != "")
 
 
+# Removed h1 noise leaves the text around it as separate strings (as a parser
+# removing the element does), so it is replaced by a break, not by nothing.
+NOISE_CUT = "<br>"
+
+
 def _h1_pieces_joined(inner: Column) -> Column:
-    return F.array_join(_text_pieces(F.regexp_replace(inner, H1_NOISE, "")), "")
+    return F.array_join(_text_pieces(F.regexp_replace(inner, H1_NOISE, NOISE_CUT)), "")
 
 
 def h1_title(html, missing: str = NO_TITLE) -> Column:
@@ -125,7 +130,7 @@ def without_h1_noise(html) -> Column:
     h = _c(html)
     block = F.regexp_extract(h, H1_BLOCK, 0)
     pos = F.instr(h, block)
-    cleaned = F.regexp_replace(block, H1_NOISE, "")
+    cleaned = F.regexp_replace(block, H1_NOISE, NOISE_CUT)
     return F.when(block != "", F.concat(F.substr(h, F.lit(1), pos - 1),
                                         cleaned, F.substr(h, pos + F.length(block)))).otherwise(h)
 

@@ -16,6 +16,7 @@ from veritext.operators import answer as A
 from veritext.operators import embed as E
 from veritext.operators import lexical as L
 from veritext.operators import phrases as P
+from veritext.operators import qlog as QL
 from veritext.operators import retrieve as R
 from veritext.plans import qa
 from veritext.plans.index import build_chunk_index, stored_chunk_index
@@ -245,6 +246,21 @@ def q_bm25_fuzzy_topk(spark, d):
     return L.bm25_topk(chunks, L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id")
 
 
+def q_log_pairs(spark, d):
+    p = QL.conversation_pairs(table(spark, d, "conversations"))
+    return p.select("conv_id", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+def q_log_view(spark, d):
+    p = QL.conversation_pairs(table(spark, d, "conversations"))
+    return p.select("conv_id", "turn", QL.header(F.col("question")).alias("header")).orderBy(
+        F.col("conv_id").desc(), F.col("turn").desc())
+
+
+def q_log_metrics(spark, d):
+    return QL.log_metrics(QL.log_entries(_qa(spark, d)["records"]))
+
+
 def flagship(spark, d):
     return q_answer_records(spark, d)
 
@@ -252,6 +268,9 @@ def flagship(spark, d):
 def queries() -> dict[str, Query]:
     return {
         "index_build_counts": q_index_build_counts,
+        "log_pairs": q_log_pairs,
+        "log_view": q_log_view,
+        "log_metrics": q_log_metrics,
         "rerank_scores": q_rerank_scores,
         "rerank_topk": q_rerank_topk,
         "rerank_fallback": q_rerank_fallback,
