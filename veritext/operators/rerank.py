@@ -26,9 +26,13 @@ MAX_PAIR_TOKENS = 512
 
 
 def lexical_logit(question: Column, content: Column, max_tokens: int = MAX_PAIR_TOKENS) -> Column:
-    q = F.array_distinct(tokens(question))
+    return logit_from_tokens(F.array_distinct(tokens(question)), tokens(content), max_tokens)
+
+
+def logit_from_tokens(q: Column, doc_tokens: Column, max_tokens: int = MAX_PAIR_TOKENS) -> Column:
+    """The built-in logit from distinct question tokens and document tokens."""
     nq = F.size(q)
-    d = F.slice(tokens(content), 1, F.greatest(F.lit(max_tokens) - nq, F.lit(0)))
+    d = F.slice(doc_tokens, 1, F.greatest(F.lit(max_tokens) - nq, F.lit(0)))
     shared = F.size(F.array_intersect(q, d))
     return F.log((shared + F.lit(0.5)) / (nq - shared + F.lit(0.5)))
 
@@ -43,10 +47,16 @@ def rerank_scores(pairs: DataFrame, question: str = "question", content: str = "
     ``scorer``: ``None`` for the built-in logit, or ``(factory, args)`` for an
     object with ``score(questions: list[str], docs: list[str]) -> ndarray``.
     """
-    blank = F.trim(F.col(question)) == ""
+    ok = F.col(question).isNotNull() & (F.trim(F.col(question)) != "")
     if scorer is None:
-        return pairs.withColumn(out, F.when(blank | F.col(question).isNull(), F.lit(None))
-                                .otherwise(lexical_logit(F.col(question), F.col(content))))
+        # Token arrays are projected once (not re-derived inside the score),
+        # and the "was scored" flag is a cheap column that later filters use.
+        t = pairs.withColumn("reranked", ok)
+        if "q_tokens" not in pairs.columns:
+            t = t.withColumn("q_tokens", F.array_distinct(tokens(F.col(question))))
+        t = t.withColumn("_d", tokens(F.col(content)))
+        t = t.withColumn(out, F.when(F.col("reranked"), logit_from_tokens(F.col("q_tokens"), F.col("_d"))))
+        return t.drop("_d", "q_tokens")
     schema = T.StructType(list(pairs.schema.fields) + [T.StructField(out, T.DoubleType(), True)])
 
     def run(batches):
@@ -61,8 +71,10 @@ def rerank_scores(pairs: DataFrame, question: str = "question", content: str = "
             if ok.any():
                 vals[ok.to_numpy()] = sc.score(pdf.loc[ok, question].tolist(), pdf.loc[ok, content].fillna("").tolist())
             res[out] = pd.array([None if np.isnan(v) else float(v) for v in vals], dtype="Float64")
+            res["reranked"] = ok.to_numpy()
             yield res
 
+    schema = schema.add("reranked", T.BooleanType(), False)
     return pairs.mapInPandas(run, schema)
 
 
@@ -74,7 +86,8 @@ def rerank_topk(scored: DataFrame, k: int = 3, qid: str = "question_id", rank: s
     ``final_chunks`` gives them the retrieval-order fallback (R9).
     """
     w = Window.partitionBy(qid).orderBy(F.col(score).desc(), F.col(rank))
-    return (scored.filter(F.col(score).isNotNull())
+    flag = F.col("reranked") if "reranked" in scored.columns else F.col(score).isNotNull()
+    return (scored.filter(flag)
             .withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k))
 
 

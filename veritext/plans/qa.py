@@ -23,6 +23,7 @@ from veritext.operators import embed as E
 from veritext.operators import lexical as L
 from veritext.operators import rerank as RR
 from veritext.operators import retrieve as R
+from veritext.functions.text import tokens
 
 BROADCAST_ROWS = 5_000_000
 
@@ -76,8 +77,13 @@ def answer(index: DataFrame, questions: DataFrame, cfg: QAConfig | None = None)
     """All stages of the answer pipeline, by name."""
     cfg = cfg or QAConfig()
     retrieved = retrieve(index, questions, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = retrieved.join(questions.select("question_id", "question"), "question_id")
-    scored = RR.rerank_scores(pairs) if cfg.use_reranking else pairs.withColumn("rerank_score", F.lit(None).cast("double"))
+    qtok = questions.select("question_id", "question",
+                            F.array_distinct(tokens(F.col("question"))).alias("q_tokens"))
+    pairs = retrieved.join(qtok, "question_id")       # question tokens derived once per question
+    if cfg.use_reranking:
+        scored = RR.rerank_scores(pairs)
+    else:
+        scored = pairs.drop("q_tokens").withColumn("rerank_score", F.lit(None).cast("double"))
     final = RR.final_chunks(scored, cfg.rerank_top_k, cfg.use_reranking).persist(StorageLevel.MEMORY_AND_DISK)
     records = A.answer_records(questions, retrieved, final, cfg.max_context_length)
     return {"retrieved": retrieved, "scored": scored, "final": final, "records": records}
