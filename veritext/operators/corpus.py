@@ -9,9 +9,8 @@ name shared by a large share of pages never lands in one task.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritext.functions import text as X
 
@@ -123,15 +122,23 @@ def text_corpus(pages: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- documents
 
 def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
-    """Dense 1-based position in a total order, computed without a global window.
+    """Dense 1-based position in a total order, without a global window.
 
-    The frame is range-sorted (distributed), then numbered per partition with
-    offsets from the partition sizes (``zipWithIndex``).
+    The frame is range-sorted (distributed); each row gets its partition id
+    and its index inside the partition (low bits of
+    ``monotonically_increasing_id``); partition sizes (one row per
+    partition) give the offsets.  Everything stays in the JVM.
     """
-    srt = df.orderBy(*order)
-    schema = T.StructType(srt.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = srt.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1] + 1,))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    srt = (df.orderBy(*order)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id())
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    sizes = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return (srt.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_off") + local + 1).drop("_pid", "_mid", "_off"))
 
 
 def document_report(docs: DataFrame, text_chars: int = 100, title_chars: int = 60) -> DataFrame:

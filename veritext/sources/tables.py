@@ -9,23 +9,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a frame whose scan yields fewer partitions than the cluster
+def spread(df: DataFrame, keys: list[str], min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a frame whose scan yields fewer partitions than the cluster
     runs in parallel (e.g. one large file with one row group), so per-row work
     (regex, tokenising, encoding) is not serialised in one task.  On inputs
     already split finer than that (the normal case at scale) it is a no-op.
+    Hashing on the row keys (unique ids) avoids the sort that a round-robin
+    repartition performs to stay deterministic on retry.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target, *keys) if df.rdd.getNumPartitions() < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
-# Tables with heavy per-row text work downstream.
-TEXT_TABLES = {"documents", "pages", "conversations"}
+# Tables with heavy per-row text work downstream, with their row keys.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
 def phrase_documents(documents: DataFrame) -> DataFrame:
