@@ -161,3 +161,16 @@ def test_empty_retrieval_record(spark):
     rec = A.answer_records(qs, empty_r, empty_f).first()
     assert rec.confidence == 0.0 and rec.chunks == [] and rec.answer == "Brak dokumentów"
     assert (rec.pipeline_stats.retrieved, rec.pipeline_stats.final, rec.pipeline_stats.reranking_used) == (0, 0, False)
+
+
+def test_ann_recall_against_exact(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    qs = R.centroids(emb, ["label"])
+    exact = {(r.label, r.vec_id) for r in R.semantic_topk_batch(emb, qs, 10, id_col="vec_id", qid="label").collect()}
+    # neighbours of these centroids sit near cosine 0.3: use a high-recall setting
+    approx = R.ann_topk_batch(emb, qs, 10, id_col="vec_id", qid="label", tables=24, bits=3).collect()
+    got = {(r.label, r.vec_id) for r in approx}
+    assert len(got & exact) / len(exact) >= 0.9
+    # every returned score is the exact score of that row
+    ex_scores = {(r.label, r.vec_id): r.score for r in R.semantic_topk_batch(emb, qs, 500, id_col="vec_id", qid="label").collect()}
+    assert all(abs(ex_scores[(r.label, r.vec_id)] - r.score) < 1e-9 for r in approx)

@@ -141,6 +141,11 @@ def q_semantic_topk_batch(spark, d):
     return R.semantic_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
 
 
+def q_ann_topk_batch(spark, d):
+    emb = table(spark, d, "embeddings")
+    return R.ann_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
+
+
 def _chunk_index(spark, d):
     return stored_chunk_index(spark, f"{d}/documents.parquet", table(spark, d, "documents"), DIMS)
 
@@ -291,6 +296,7 @@ def queries() -> dict[str, Query]:
         "index_rebuild_counts": q_index_rebuild_counts,
         "semantic_topk": q_semantic_topk,
         "semantic_topk_batch": q_semantic_topk_batch,
+        "ann_topk_batch": q_ann_topk_batch,
         "chunk_semantic_topk": q_chunk_semantic_topk,
         "source_labels": q_source_labels,
         "source_labels_bm25": q_source_labels_bm25,
