@@ -74,7 +74,18 @@ def vocabulary(index: DataFrame, text: str = "text") -> DataFrame:
     return index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm")).distinct()
 
 
-def fuzzy_terms(qterms: DataFrame, vocab: DataFrame, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
+def vocabulary_variants(vocab: DataFrame) -> DataFrame:
+    """``variant, vterm, vdels``: every vocabulary term with up to 2 deletions.
+
+    Built once with the index (``plans.index``) and reused by every fuzzy
+    query; it depends on the vocabulary only.
+    """
+    vv = vocab.select("vterm", F.explode(deletion_variants(F.col("vterm"), 2)).alias("v"))
+    return vv.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
+
+
+def fuzzy_terms(qterms: DataFrame, vocab: DataFrame | None = None, max_expansions: int = MAX_EXPANSIONS,
+                variants: DataFrame | None = None) -> DataFrame:
     """``term, vterm, edits, boost`` for every query term (AUTO edits).
 
     boost = 1 - edits / min(len(term), len(vterm)); at most ``max_expansions``
@@ -84,8 +95,7 @@ def fuzzy_terms(qterms: DataFrame, vocab: DataFrame, max_expansions: int = MAX_E
     qv = qt.select("term", "k", F.explode(deletion_variants(F.col("term"), F.col("k"))).alias("v"))
     qv = qv.select("term", "k", F.col("v.variant").alias("variant"), F.col("v.dels").alias("qdels"))
     n_q = qv.count()
-    vv = vocab.select("vterm", F.explode(deletion_variants(F.col("vterm"), 2)).alias("v"))
-    vv = vv.select("vterm", F.col("v.variant").alias("variant"), F.col("v.dels").alias("vdels"))
+    vv = variants if variants is not None else vocabulary_variants(vocab)
     qside = F.broadcast(qv) if n_q <= MAX_TERM_ROWS else qv
     cand = (vv.join(qside, "variant").filter(F.col("vdels") <= F.col("k"))
             .select("term", "vterm", "k").distinct())
@@ -108,8 +118,26 @@ def query_weights(questions: DataFrame, qid: str = "question_id", question: str
     return j.groupBy(qid, "vterm").agg(F.sum(F.col("n") * F.col("boost")).alias("weight"))
 
 
-def corpus_stats(index: DataFrame, terms: DataFrame, text: str = "text"):
-    """(N, avgdl, df table ``vterm, df``) for the given terms only."""
+def term_stats(index: DataFrame, text: str = "text"):
+    """Index-wide statistics: one-row ``n, avgdl`` and ``vterm, df`` for all terms."""
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    df = (index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm"))
+          .groupBy("vterm").agg(F.count(F.lit(1)).alias("df")))
+    return stats, df
+
+
+def corpus_stats(index: DataFrame, terms: DataFrame, text: str = "text", stored=None):
+    """(N, avgdl, df table ``vterm, df``) for the given terms only.
+
+    ``stored``: the (stats, df) pair written with the index; then no pass
+    over the index text is needed, only a join of the needed terms.
+    """
+    if stored is not None:
+        st, all_df = stored
+        row = st.first()
+        need = terms.select("vterm").distinct()
+        side = F.broadcast(need) if need.count() <= MAX_TERM_ROWS else need
+        return int(row["n"]), float(row["avgdl"] or 0.0), all_df.join(side, "vterm")
     row = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")).first()
     need = terms.select("vterm").distinct()
     side = F.broadcast(need) if need.count() <= MAX_TERM_ROWS else need
@@ -119,9 +147,10 @@ def corpus_stats(index: DataFrame, terms: DataFrame, text: str = "text"):
 
 
 def bm25_topk(index: DataFrame, weights: DataFrame, k: int = 50, id_col: str = "chunk_id",
-              text: str = "text", qid: str = "question_id", k1: float = K1, b: float = B) -> DataFrame:
+              text: str = "text", qid: str = "question_id", k1: float = K1, b: float = B,
+              stored_stats=None) -> DataFrame:
     """``question_id, rank, <id_col>, score`` (score rounded to 6)."""
-    n_docs, avgdl, df = corpus_stats(index, weights, text)
+    n_docs, avgdl, df = corpus_stats(index, weights, text, stored_stats)
     idf = df.select("vterm", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5))
                                    / (F.col("df") + F.lit(0.5))).alias("idf"))
     wq = weights.join(idf, "vterm").select(qid, "vterm", "weight", "idf")   # absent terms drop out

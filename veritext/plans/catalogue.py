@@ -19,7 +19,7 @@ from veritext.operators import phrases as P
 from veritext.operators import qlog as QL
 from veritext.operators import retrieve as R
 from veritext.plans import qa
-from veritext.plans.index import build_chunk_index, stored_chunk_index
+from veritext.plans.index import build_chunk_index, stored_chunk_index, stored_term_tables
 from veritext.plans.oracle import DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path
 from veritext.sources.tables import questions
@@ -234,21 +234,28 @@ def q_retrieval_route(spark, d):
     return r.groupBy("question_id", "method").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _term_tables(spark, d):
+    return stored_term_tables(spark, f"{d}/documents.parquet", table(spark, d, "documents"), DIMS)
+
+
 def q_bm25_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs), K, id_col="chunk_id")
+    stats, _ = _term_tables(spark, d)
+    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs), K, id_col="chunk_id", stored_stats=stats)
 
 
 def q_fuzzy_terms(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    return L.fuzzy_terms(L.question_terms(qs), L.vocabulary(_chunk_index(spark, d)))
+    _, variants = _term_tables(spark, d)
+    return L.fuzzy_terms(L.question_terms(qs), variants=variants)
 
 
 def q_bm25_fuzzy_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
-    chunks = _chunk_index(spark, d)
-    fz = L.fuzzy_terms(L.question_terms(qs), L.vocabulary(chunks)).persist()
-    return L.bm25_topk(chunks, L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id")
+    stats, variants = _term_tables(spark, d)
+    fz = L.fuzzy_terms(L.question_terms(qs), variants=variants).persist()
+    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id",
+                       stored_stats=stats)
 
 
 def q_log_pairs(spark, d):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
+from veritext.operators import lexical as L
 from veritext.session import scratch_path
 
 INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding"]
@@ -35,12 +36,36 @@ def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIM
     return E.rebuild_index(vec.select(*INDEX_COLUMNS, "valid", "reason"), path)
 
 
+def build_term_tables(index: DataFrame, path: str) -> None:
+    """Lexical side of the index: corpus stats, document frequencies, and the
+    vocabulary deletion variants used by fuzzy matching (written once)."""
+    stats, df = L.term_stats(index)
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    df.write.mode("overwrite").parquet(f"{path}/df")
+    vocab = index.sparkSession.read.parquet(f"{path}/df").select("vterm")
+    L.vocabulary_variants(vocab).write.mode("overwrite").parquet(f"{path}/variants")
+
+
+def _index_path(spark: SparkSession, documents_path: str, dims: int) -> str:
+    key = hashlib.sha1(f"{documents_path}|{dims}".encode()).hexdigest()[:12]
+    return scratch_path(spark, f"chunk_index_{key}")
+
+
 def stored_chunk_index(spark: SparkSession, documents_path: str, documents: DataFrame,
                        dims: int = E.DEFAULT_DIMS) -> DataFrame:
     """The index for ``documents_path``, built on first use in this session."""
-    key = hashlib.sha1(f"{documents_path}|{dims}".encode()).hexdigest()[:12]
-    path = scratch_path(spark, f"chunk_index_{key}")
+    path = _index_path(spark, documents_path, dims)
     if path not in _BUILT:
         build_chunk_index(documents, path, dims)
+        build_term_tables(spark.read.parquet(path), path + "_terms")
         _BUILT.add(path)
     return spark.read.parquet(path)
+
+
+def stored_term_tables(spark: SparkSession, documents_path: str, documents: DataFrame,
+                       dims: int = E.DEFAULT_DIMS):
+    """``(stats, df), variants`` of the stored index (built with it)."""
+    stored_chunk_index(spark, documents_path, documents, dims)
+    base = _index_path(spark, documents_path, dims) + "_terms"
+    return ((spark.read.parquet(f"{base}/stats"), spark.read.parquet(f"{base}/df")),
+            spark.read.parquet(f"{base}/variants"))
