@@ -53,10 +53,12 @@ def unique_file_names(named: DataFrame, key: str = "page_id", name: str = "file_
                    .otherwise(F.concat_ws("_", F.col("_base"), F.col("_k").cast("string"))).alias("_name"),
                    (F.col("_k") != F.col("_first")).alias("_gen"))).persist(StorageLevel.MEMORY_AND_DISK)
     taken = base.select(F.col("_base").alias("_name")).distinct()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         clash = cur.filter("_gen").join(taken, "_name", "left_semi").select("_k")
         if clash.isEmpty():
             break
+        if _ == max_rounds:
+            raise RuntimeError("file names still collide after %d rounds" % max_rounds)
         clash = clash.withColumn("_clash", F.lit(True))
         cur = (cur.join(clash, "_k", "left")
                .select("_k", "_base",
