@@ -193,7 +193,10 @@ def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> Dat
     bc = index.sparkSession.sparkContext.broadcast((qids, tpos, idf_arr, ptr, tq, tw, float(avgdl)))
 
     n_q = len(qids)
-    dense = len(terms) * n_q <= DENSE_CELLS
+    # Dense (gather whole question rows) only pays when a term is shared by a
+    # large share of the questions; otherwise expand the sparse term lists.
+    avg_q_per_term = len(tq) / max(1, len(terms))
+    dense = len(terms) * n_q <= DENSE_CELLS and avg_q_per_term * 4 >= n_q
 
     def run(batches):
         import regex
@@ -236,7 +239,10 @@ def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> Dat
                 else:
                     reps = ptr_[t_a + 1] - ptr_[t_a]
                     rows_rep = np.repeat(r_a, reps)
-                    sel = np.concatenate([np.arange(ptr_[j], ptr_[j + 1]) for j in t_a])
+                    total = int(reps.sum())
+                    # CSR positions of every (entry, question) pair, vectorised
+                    offs = np.repeat(np.cumsum(reps) - reps, reps)
+                    sel = np.repeat(ptr_[t_a], reps) + (np.arange(total) - offs)
                     flat = rows_rep * len(qids_) + tq_[sel]
                     acc = np.bincount(flat, weights=np.repeat(contrib, reps) * tw_[sel],
                                       minlength=n_rows * len(qids_)).reshape(n_rows, len(qids_))

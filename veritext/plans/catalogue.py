@@ -20,7 +20,7 @@ from veritext.operators import qlog as QL
 from veritext.operators import retrieve as R
 from veritext.plans import qa
 from veritext.plans.index import build_chunk_index, stored_chunk_index, stored_term_tables
-from veritext.plans.oracle import DIMS, INDEX_DIMS, K
+from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path
 from veritext.sources.tables import questions
 from veritext.plans.oracle import PHRASE
@@ -164,6 +164,16 @@ def q_chunk_semantic_topk(spark, d):
                                  id_col="chunk_id", qid="question_id")
 
 
+def q_sparse_semantic_topk(spark, d):
+    """Document-level retrieval: questions x documents, hashed into 1024 buckets."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    dv = E.validate_vectors(E.embed_texts(docs, "text", (E.HashingEncoder, (DOC_DIMS,))), "embedding", DOC_DIMS)
+    qv = E.embed_texts(questions(table(spark, d, "benchmark")), "question", (E.HashingEncoder, (DOC_DIMS,)),
+                       out="query_vec")
+    return R.semantic_topk_batch(dv.filter("valid").select("doc_id", "embedding"), qv, K,
+                                 id_col="doc_id", qid="question_id")
+
+
 def q_source_labels(spark, d):
     return _doc_chunks(spark, d).select("chunk_id", R.source_label("article", "paragraph", "id").alias("source"))
 
@@ -175,7 +185,7 @@ def q_source_labels_bm25(spark, d):
 def _qa(spark, d, use_reranking=True):
     qs = questions(table(spark, d, "benchmark"))
     cfg = qa.QAConfig(retrieval_top_k=K, rerank_top_k=3, use_reranking=use_reranking, dims=DIMS)
-    return qa.answer(_chunk_index(spark, d), qs, cfg)
+    return qa.answer(_chunk_index(spark, d), qs, cfg, lexical=_term_tables(spark, d))
 
 
 def q_rerank_scores(spark, d):
@@ -305,6 +315,7 @@ def queries() -> dict[str, Query]:
         "semantic_topk_batch": q_semantic_topk_batch,
         "ann_topk_batch": q_ann_topk_batch,
         "chunk_semantic_topk": q_chunk_semantic_topk,
+        "sparse_semantic_topk": q_sparse_semantic_topk,
         "source_labels": q_source_labels,
         "source_labels_bm25": q_source_labels_bm25,
         "page_titles": q_page_titles,

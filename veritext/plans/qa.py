@@ -44,8 +44,12 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
 
 
-def route(index: DataFrame, questions: DataFrame, cfg: QAConfig) -> DataFrame:
-    """R2 + R4 + R6: ``question_id, retrieval_rank, chunk_id, retrieval_score, method``."""
+def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -> DataFrame:
+    """R2 + R4 + R6: ``question_id, retrieval_rank, chunk_id, retrieval_score, method``.
+
+    ``lexical``: the stored ``((stats, df), variants)`` of the index, if any;
+    without it the BM25 fallback derives them from the index.
+    """
     qv = E.embed_texts(questions, "question", (E.HashingEncoder, (cfg.dims,)), out="query_vec")
     qv = E.validate_vectors(qv, "query_vec", cfg.dims)
     sem_q = qv.filter("valid").select("question_id", "query_vec")
@@ -55,17 +59,19 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig) -> DataFrame:
     rest = qv.filter(~F.col("valid")).select("question_id", "question")
     if not cfg.fuzzy_fallback or rest.isEmpty():
         return sem
-    fuzzy = L.fuzzy_terms(L.question_terms(rest), L.vocabulary(index)).persist(StorageLevel.MEMORY_AND_DISK)
+    stats, variants = lexical if lexical is not None else (None, None)
+    vocab = None if variants is not None else L.vocabulary(index)
+    fuzzy = L.fuzzy_terms(L.question_terms(rest), vocab, variants=variants).persist(StorageLevel.MEMORY_AND_DISK)
     w = L.query_weights(rest, fuzzy=fuzzy)
-    lex = L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id")
+    lex = L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id", stored_stats=stats)
     lex = lex.select("question_id", F.col("rank").alias("retrieval_rank"), "chunk_id",
                      F.col("score").alias("retrieval_score"), F.lit("bm25").alias("method"))
     return sem.unionByName(lex)
 
 
-def retrieve(index: DataFrame, questions: DataFrame, cfg: QAConfig) -> DataFrame:
+def retrieve(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -> DataFrame:
     """Retrieved rows with content and source label, persisted (reused below)."""
-    hits = route(index, questions, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = route(index, questions, cfg, lexical).persist(StorageLevel.MEMORY_AND_DISK)
     rows = join_checked(index.select("chunk_id", "text", "title", "article", "paragraph", "id"),
                         hits, "chunk_id")
     src = F.when(F.col("method") == "bm25", R.bm25_source_label("title")).otherwise(R.source_label())
@@ -73,10 +79,11 @@ def retrieve(index: DataFrame, questions: DataFrame, cfg: QAConfig) -> DataFrame
                        src.alias("source"), "retrieval_score", "method")
 
 
-def answer(index: DataFrame, questions: DataFrame, cfg: QAConfig | None = None) -> dict[str, DataFrame]:
+def answer(index: DataFrame, questions: DataFrame, cfg: QAConfig | None = None,
+           lexical=None) -> dict[str, DataFrame]:
     """All stages of the answer pipeline, by name."""
     cfg = cfg or QAConfig()
-    retrieved = retrieve(index, questions, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    retrieved = retrieve(index, questions, cfg, lexical).persist(StorageLevel.MEMORY_AND_DISK)
     qtok = questions.select("question_id", "question",
                             F.array_distinct(tokens(F.col("question"))).alias("q_tokens"))
     pairs = retrieved.join(qtok, "question_id")       # question tokens derived once per question
