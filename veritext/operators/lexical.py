@@ -78,9 +78,12 @@ def vocabulary_variants(vocab: DataFrame) -> DataFrame:
     """``variant, vterm, vdels``: every vocabulary term with up to 2 deletions.
 
     Built once with the index (``plans.index``) and reused by every fuzzy
-    query; it depends on the vocabulary only.
+    query; it depends on the vocabulary only.  A vocabulary term needs no
+    more deletions than the AUTO rule gives its own length: a match with two
+    deletions on the vocabulary side has no insertions, so the query term is
+    at most as long and itself allows at most that many edits.
     """
-    vv = vocab.select("vterm", F.explode(deletion_variants(F.col("vterm"), 2)).alias("v"))
+    vv = vocab.select("vterm", F.explode(deletion_variants(F.col("vterm"), auto_edits(F.col("vterm")))).alias("v"))
     return vv.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
 
 
