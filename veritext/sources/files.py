@@ -45,6 +45,16 @@ def write_chunks_json(chunks: DataFrame, path: str) -> None:
 
 
 def write_text_corpus(corpus: DataFrame, path: str) -> None:
-    """S3 sink: one text per file name (``file_name=<name>/part-*.txt``)."""
+    """S3 sink: one text per file name (``file_name=<name>/part-*.txt``).
+
+    The text writer ends every row with a line separator; ``read_text_corpus``
+    removes exactly that one, so the round trip is exact.
+    """
     corpus.select("file_name", "text").repartition("file_name").write.mode("overwrite") \
         .partitionBy("file_name").text(path)
+
+
+def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name, text`` from ``write_text_corpus`` output."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select("file_name", F.regexp_replace("value", "\n$", "").alias("text"))
