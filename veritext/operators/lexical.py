@@ -33,8 +33,8 @@ from veritext.operators.retrieve import topk_frame
 K1 = 1.2
 B = 0.75
 MAX_EXPANSIONS = 50
-MAX_WEIGHT_ROWS = 2_000_000     # broadcast bound for (question, term, weight) rows
-MAX_TERM_ROWS = 2_000_000       # broadcast bound for the needed-terms table
+MAX_WEIGHT_ROWS = 500_000       # (question, term, weight) rows per scoring block (driver + broadcast)
+MAX_TERM_ROWS = 500_000         # broadcast bound for query-term and variant tables
 DENSE_CELLS = 16_000_000        # terms x questions kept dense per task
 SUB_BATCH = 2_000               # index rows scored together
 

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from veritext.functions.text import tokens
 
-MAX_BROADCAST_PHRASES = 50_000
+# Phrases per block: the block's anchor tokens become one literal array in
+# the plan and the phrase rows a broadcast, so both stay small.
+MAX_BROADCAST_PHRASES = 10_000
 
 
 def _padded_tokens(col: Column) -> Column:
@@ -65,8 +67,7 @@ def phrase_counts(docs: DataFrame, phrase: str, filename: str = "filename",
 def _anchor(tok: Column) -> Column:
     # Longest token of the phrase (first such in order) anchors the lookup:
     # any token would do for correctness, a long one matches fewer documents.
-    best = F.aggregate(tok, F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
-    return best
+    return F.aggregate(tok, F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
 
 
 def phrase_counts_batch(docs: DataFrame, phrases: DataFrame, phrase_id: str = "phrase_id",
@@ -91,8 +92,7 @@ def phrase_counts_batch(docs: DataFrame, phrases: DataFrame, phrase_id: str = "p
     for b in range(blocks):
         blk = ph if blocks == 1 else ph.filter(F.col("_blk") == b).drop("_blk")
         parts.append(_batch_block(docs, blk, filename, content))
-    out = reduce(DataFrame.unionByName, parts)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _batch_block(docs: DataFrame, ph: DataFrame, filename: str, content: str) -> DataFrame:
@@ -101,8 +101,7 @@ def _batch_block(docs: DataFrame, ph: DataFrame, filename: str, content: str) ->
     lc = F.lower(F.col(content))
     d = docs.select(F.col(filename).alias("_fn"), lc.alias("_lc"))
     d = d.withColumn("_tok", tokens(F.col("_lc")))
-    d = d.withColumn("_hit", F.array_intersect(F.array_distinct("_tok"),
-                                               F.array(*[F.lit(a) for a in anchors])))
+    d = d.withColumn("_hit", F.array_intersect(F.array_distinct("_tok"), F.lit(sorted(anchors))))
     d = d.filter(F.size("_hit") > 0)
     d = d.select("_fn", "_lc", F.concat(F.lit(" "), F.array_join("_tok", " "), F.lit(" ")).alias("_pad"),
                  F.explode("_hit").alias("anchor"))
