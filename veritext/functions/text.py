@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritext import fixed as FX
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -48,15 +50,15 @@ H1_INNER = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 H2_INNER = r"(?is)<h2(?:\s[^>]*)?>(.*?)</h2>"
 TITLE_INNER = r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"
 # Inside the first h1 only: superscripts and glossary links are removed.
-H1_NOISE = (r"(?is)<sup(?:\s[^>]*)?>.*?</sup>"
-            r"|<a\s[^>]*class\s*=\s*[\"']gloss-link tooltip[\"'][^>]*>.*?</a>")
+H1_NOISE = (rf"(?is)<{FX.H1_NOISE_TAG}(?:\s[^>]*)?>.*?</{FX.H1_NOISE_TAG}>"
+            rf"|<a\s[^>]*class\s*=\s*[\"']{FX.H1_NOISE_LINK_CLASS}[\"'][^>]*>.*?</a>")
 # RFC 3986 appendix B URL split: 4 = authority, 5 = path, 7 = query.
 URL_PARTS = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
 
-NO_TITLE = "Brak tytułu"          # document title when a page has no h1
-NO_TITLE_FILE = "brak_tytulu"     # text-file name when a page has no h1
-FILE_NAME_CHARS = 50              # title-based file names are cut here
-QUERY_NAME_CHARS = 20             # URL query part of a file name
+NO_TITLE = FX.NO_TITLE
+NO_TITLE_FILE = FX.NO_TITLE_FILE
+FILE_NAME_CHARS = FX.FILE_NAME_CHARS
+QUERY_NAME_CHARS = FX.QUERY_NAME_CHARS
 
 
 def _c(col) -> Column:
@@ -154,7 +156,7 @@ def page_text(html) -> Column:
 
 def safe_title(title) -> Column:
     """Characters not allowed in file names become ``_``."""
-    return F.regexp_replace(_c(title), r'[\\/*?:"<>|]', "_")
+    return F.regexp_replace(_c(title), "[" + "".join("\\" + ch for ch in FX.UNSAFE_FILE_CHARS) + "]", "_")
 
 
 def _tag_text_stripped(html: Column, inner_re: str) -> Column:

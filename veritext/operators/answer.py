@@ -9,23 +9,24 @@ windows and aggregates that follow.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CONTEXT_CHARS = 4000
-NO_DOCUMENTS = "Brak dokumentów"     # answer text when nothing was retrieved
+from veritext import fixed as FX
+
+MAX_CONTEXT_CHARS = FX.MAX_CONTEXT_CHARS
+NO_DOCUMENTS = FX.NO_DOCUMENTS
 
-# Our prompt template; {context} and {question} are substituted.
+# Prompt template of this package (not a fixed value): the context and the
+# question are substituted; the rules are a parameter of ``prompt``.
 PROMPT_INSTRUCTIONS = [
-    "Answer only from the fragments above.",
-    "The fragments were selected as the best of many candidates.",
-    "If the question asks for a definition, quote the matching fragment exactly.",
-    "Use clear, plain language.",
-    "If the fragments do not hold enough information, say so plainly.",
-    "Do not add information that is not in the fragments.",
+    "Base the answer on the numbered sources only.",
+    "Refer to the sources you use by their numbers.",
+    "When the sources do not settle the question, answer that they do not.",
 ]
-PROMPT_HEAD = ("You are a legal assistant. Answer the user's question from the document "
-               "fragments below.\n\nFRAGMENTS:\n")
+PROMPT_HEAD = "Sources:\n"
 
 
 def effective_score(rerank: str = "rerank_score", retrieval: str = "retrieval_score") -> Column:
@@ -38,10 +39,21 @@ def score_text(score: Column) -> Column:
     return F.round(score.cast("decimal(18,6)"), 3).cast("string")
 
 
+def format_columns(fmt: str, **cols: Column) -> Column:
+    """``concat`` of the literal parts of ``fmt`` and the columns named in it."""
+    parts = []
+    for lit_part, name in re.findall(r"([^{]*)(?:\{(\w+)\})?", fmt):
+        if lit_part:
+            parts.append(F.lit(lit_part))
+        if name:
+            parts.append(cols[name])
+    return F.concat(*parts)
+
+
 def fragments(final: DataFrame, qid: str = "question_id") -> DataFrame:
     """Fragment text and running length per final chunk."""
-    frag = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"),
-                    F.lit(" (score: "), score_text(F.col("score")), F.lit(")\n"), F.col("content"), F.lit("\n"))
+    frag = format_columns(FX.FRAGMENT_FORMAT, i=F.col("rank").cast("string"), source=F.col("source"),
+                          score=score_text(F.col("score")), content=F.col("content"))
     w = Window.partitionBy(qid).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (final.withColumn("score", effective_score()).withColumn("fragment", frag)
             .withColumn("run_length", F.sum(F.length("fragment")).over(w)))
@@ -54,7 +66,7 @@ def contexts(final: DataFrame, questions: DataFrame, max_chars: int = MAX_CONTEX
     kept = fragments(final, qid).filter(F.col("run_length") <= max_chars)
     agg = kept.groupBy(qid).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fragment"))),
-                                 lambda s: s["fragment"]), "\n").alias("context"),
+                                 lambda s: s["fragment"]), FX.CONTEXT_JOINER).alias("context"),
         F.count(F.lit(1)).alias("n_fragments"))
     return (questions.select(qid).join(agg, qid, "left")
             .select(qid, F.coalesce("context", F.lit("")).alias("context"),
@@ -84,8 +96,8 @@ def pipeline_stats(retrieved: DataFrame, final: DataFrame, questions: DataFrame,
 def prompt(context: Column, question: Column, instructions: list[str] = PROMPT_INSTRUCTIONS) -> Column:
     """The generation prompt with context and question substituted."""
     steps = "\n".join(f"{i}. {t}" for i, t in enumerate(instructions, 1))
-    return F.concat(F.lit(PROMPT_HEAD), context, F.lit("\n\nQUESTION: "), question,
-                    F.lit("\n\nINSTRUCTIONS:\n" + steps + "\n\nANSWER:"))
+    return F.concat(F.lit(PROMPT_HEAD), context, F.lit("\n\nQuestion: "), question,
+                    F.lit("\n\nRules:\n" + steps + "\n\nAnswer:"))
 
 
 def source_listing(final: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritext import fixed as FX
 from veritext.functions import text as X
 
-DOC_TYPE = "ustawa"              # fixed document type of every record
+DOC_TYPE = FX.DOC_TYPE
 ART_MARK = r"Art\.\s*(\d+[a-z]*)"  # article marker at the start of a line
 PAR_MARK = r"§\s*(\d+[a-z]*)"      # paragraph marker at the start of a line
 
@@ -143,7 +144,8 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
             .withColumn(name, F.col("_off") + local + 1).drop("_pid", "_mid", "_off"))
 
 
-def document_report(docs: DataFrame, text_chars: int = 100, title_chars: int = 60) -> DataFrame:
+def document_report(docs: DataFrame, text_chars: int = FX.REPORT_TEXT_CHARS,
+                    title_chars: int = FX.REPORT_TITLE_CHARS) -> DataFrame:
     """Ordinal, ids, file, length and previews per document."""
     rep = docs.select("doc_id", F.col("metadata.title").alias("title"),
                       F.col("metadata.source_file").alias("source_file"),

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_CHARS = 50
+from veritext import fixed as FX
+
+HEADER_CHARS = FX.HEADER_CHARS
 LOG_SCHEMA = ("question_id bigint, question string, answer string, confidence double, "
               "reranking_used boolean, response_time double, ts timestamp")
 

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritext import fixed as FX
 from veritext.functions.text import tokens
 
-MAX_PAIR_TOKENS = 512
+MAX_PAIR_TOKENS = FX.MAX_PAIR_TOKENS
 
 
 def lexical_logit(question: Column, content: Column, max_tokens: int = MAX_PAIR_TOKENS) -> Column:

@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritext import fixed as FX
 from veritext.functions.vectors import TopK, cosine_plus_one, round_score
 
-UNKNOWN_SOURCE = "Nieznane źródło"   # label when a chunk has no article/paragraph/id
-BM25_SOURCE = "BM25"                 # label of a BM25 hit without a title
+UNKNOWN_SOURCE = FX.UNKNOWN_SOURCE
+BM25_SOURCE = FX.BM25_SOURCE
 MAX_QUERY_BLOCK = 2048               # queries broadcast to the index per pass
 SCORE_CELLS = 4_000_000              # rows x queries scored at once per task
 
@@ -139,8 +140,8 @@ def _present(c: Column) -> Column:
 def source_label(article="article", paragraph="paragraph", id_col="id") -> Column:
     """``art. A - § P - id`` from the parts present; a constant if none."""
     a, p, i = (F.col(x) if isinstance(x, str) else x for x in (article, paragraph, id_col))
-    parts = F.concat_ws(" - ", F.when(_present(a), F.concat(F.lit("art. "), a.cast("string"))),
-                        F.when(_present(p), F.concat(F.lit("§ "), p.cast("string"))),
+    parts = F.concat_ws(FX.LABEL_JOINER, F.when(_present(a), F.concat(F.lit(FX.ARTICLE_PREFIX), a.cast("string"))),
+                        F.when(_present(p), F.concat(F.lit(FX.PARAGRAPH_PREFIX), p.cast("string"))),
                         F.when(_present(i), i.cast("string")))
     return F.coalesce(F.nullif(parts, F.lit("")), F.lit(UNKNOWN_SOURCE))
 
