@@ -32,7 +32,7 @@ def test_every_query_has_oracle_or_is_listed():
     import __spark_entry__ as E
 
     no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql == {"answer_records", "fuzzy_terms", "bm25_fuzzy_topk", "ann_topk_batch"}
+    assert no_sql == {"answer_records", "ann_topk_batch"}
 
 
 def test_scan_pages_folder(spark):
