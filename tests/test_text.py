@@ -114,6 +114,13 @@ def test_quarantine(spark):
                    4: ("rejected", "undecodable")}
 
 
+def test_split_quarantine(spark):
+    pages = spark.createDataFrame([(1, None), (2, "<p>ok</p>")], "page_id long, html string")
+    good, rejected = C.split_quarantine(pages)
+    assert [r.page_id for r in good.collect()] == [2] and "status" not in good.columns
+    assert [(r.page_id, r.reason) for r in rejected.collect()] == [(1, "null_html")]
+
+
 def test_text_corpus_last_wins(spark):
     pages = spark.createDataFrame([(1, "<h1>A</h1>one"), (2, "<h1>A</h1>two"), (3, "<p>x</p>")],
                                   "page_id long, html string")

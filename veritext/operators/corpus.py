@@ -103,6 +103,14 @@ def quarantine(pages: DataFrame, valid_utf8: str | None = None) -> DataFrame:
         "status", F.when(F.col("reason").isNull(), F.lit("good")).otherwise(F.lit("rejected")))
 
 
+def split_quarantine(pages: DataFrame, valid_utf8: str | None = None):
+    """T6 as two outputs from one cached scan: ``(good, rejected)``."""
+    flagged = quarantine(pages, valid_utf8).persist(StorageLevel.MEMORY_AND_DISK)
+    good = flagged.filter(F.col("status") == "good").drop("status", "reason")
+    rejected = flagged.filter(F.col("status") == "rejected")
+    return good, rejected
+
+
 def quarantine_counts(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n"))

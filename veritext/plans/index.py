@@ -10,6 +10,7 @@ recomputing chunks and vectors.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ from veritext.session import scratch_path
 
 INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding"]
 _BUILT: set[str] = set()
+_LOCK = threading.Lock()       # one build per index even if queries run in threads
 
 
 def chunk_index(documents: DataFrame, dims: int = E.DEFAULT_DIMS, title=None) -> DataFrame:
@@ -55,10 +57,11 @@ def stored_chunk_index(spark: SparkSession, documents_path: str, documents: Data
                        dims: int = E.DEFAULT_DIMS) -> DataFrame:
     """The index for ``documents_path``, built on first use in this session."""
     path = _index_path(spark, documents_path, dims)
-    if path not in _BUILT:
-        build_chunk_index(documents, path, dims)
-        build_term_tables(spark.read.parquet(path), path + "_terms")
-        _BUILT.add(path)
+    with _LOCK:
+        if path not in _BUILT:
+            build_chunk_index(documents, path, dims)
+            build_term_tables(spark.read.parquet(path), path + "_terms")
+            _BUILT.add(path)
     return spark.read.parquet(path)
 
 
