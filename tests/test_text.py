@@ -57,21 +57,46 @@ def test_unique_file_names(spark):
 
 
 class _Text(HTMLParser):
-    """Python's standard parser: visible strings, stripped, one per line."""
+    """Python's standard parser: visible strings (consecutive data chunks
+    joined into one string, as a document tree holds them), stripped, one
+    per line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.skip = [], 0
+        self.out, self.skip, self.buf = [], 0, []
+
+    def _flush(self):
+        text = "".join(self.buf).strip()
+        if text and not self.skip:
+            self.out.append(text)
+        self.buf = []
 
     def handle_starttag(self, tag, attrs):
+        self._flush()
         self.skip += tag in ("script", "style")
 
+    def handle_startendtag(self, tag, attrs):
+        self._flush()
+
     def handle_endtag(self, tag):
+        self._flush()
         self.skip -= tag in ("script", "style")
 
+    def handle_comment(self, data):
+        self._flush()
+
+    def handle_decl(self, decl):
+        self._flush()
+
+    def handle_pi(self, data):
+        self._flush()
+
     def handle_data(self, data):
-        if not self.skip and data.strip():
-            self.out.append(data.strip())
+        self.buf.append(data)
+
+    def close(self):
+        super().close()
+        self._flush()
 
 
 def test_html_text_matches_python_parser(spark):
@@ -84,6 +109,23 @@ def test_html_text_matches_python_parser(spark):
         assert got[r.page_id] == "\n".join(p.out), r.page_id
 
 
+HARD = [
+    '<p title="a>b">x</p><p>a < b and c>d</p>',
+    "<div data-x='1>2'>y<br/>z</div><!-- c > d --><p>&amp;lt;</p>",
+    "<html><head><style>p>b{}</style><script>if (a<b) {}</script></head><body>k<b>bold</p>tail",
+    "<?xml version='1.0'?><!DOCTYPE html><p>one</p>\n\n<p> two </p>",
+]
+
+
+def test_hard_html_matches_python_parser(spark):
+    got = one(spark, X.html_to_text("h"), [(h,) for h in HARD], "h string")
+    for h, g in zip(HARD, got):
+        p = _Text()
+        p.feed(h)
+        p.close()
+        assert g == "\n".join(p.out), h
+
+
 def test_chunk_labels(spark):
     text = "wstęp\nArt. 1.\ntekst\n§ 2. treść\nArt. 2.\ninne"
     df = spark.createDataFrame([(7, text)], "doc_id long, text string")
