@@ -47,7 +47,7 @@ INVISIBLE_BLOCKS = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 # A tag, as an HTML tokenizer sees it: "<" then a letter, "/letter", "!" or
 # "?"; quoted attribute values may hold ">".  A "<" before anything else
 # (e.g. "a < b") is text.
-ANY_TAG = r"""<(?:/?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*|[!?][^>]*)>"""
+ANY_TAG = r"""<(?:/?[A-Za-z](?:[^>"']+|"[^"]*"|'[^']*')*|[!?][^>]*)>"""
 H1_BLOCK = r"(?is)<h1(?:\s[^>]*)?>.*?</h1>"
 H1_INNER = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 H2_INNER = r"(?is)<h2(?:\s[^>]*)?>(.*?)</h2>"
