@@ -83,7 +83,9 @@ def vocabulary_variants(vocab: DataFrame) -> DataFrame:
     deletions on the vocabulary side has no insertions, so the query term is
     at most as long and itself allows at most that many edits.
     """
-    vv = vocab.select("vterm", F.explode(deletion_variants(F.col("vterm"), auto_edits(F.col("vterm")))).alias("v"))
+    # the same variant arises from different positions (e.g. a doubled letter)
+    var = deletion_variants(F.col("vterm"), auto_edits(F.col("vterm")))
+    vv = vocab.select("vterm", F.explode(F.array_distinct(var)).alias("v"))
     return vv.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
 
 
