@@ -63,3 +63,39 @@ def test_text_corpus_sink(spark):
     assert names == ["file_name=A.txt", "file_name=B_C.txt"]
     back = {r.file_name: r.text for r in S.read_text_corpus(spark, out).collect()}
     assert back == {"A.txt": "A\ntwo", "B_C.txt": "B/C\nx"}
+
+
+class FlakyEncoder:
+    """Hashing encoder that yields an all-zero (unusable) vector for texts
+    containing 'fail', as a model service that returns nothing would."""
+
+    def __init__(self, dims=256):
+        self.dims = dims
+        self.inner = E.HashingEncoder(dims)
+
+    def encode(self, texts):
+        out = self.inner.encode(texts)
+        out[[("fail" in t) for t in texts]] = 0.0
+        return out
+
+
+def test_route_falls_back_to_bm25(spark):
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF_SMALL
+    from veritext.plans import catalogue, qa
+
+    index = catalogue._chunk_index(spark, SF_SMALL)
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    qs = bench.select(F.col("item_id").alias("question_id"),
+                      F.when(F.col("item_id") == 0, F.concat(F.lit("fail "), F.col("text")))
+                      .otherwise(F.col("text")).alias("question"))
+    cfg = qa.QAConfig(retrieval_top_k=10, rerank_top_k=3, encoder=(FlakyEncoder, (256,)))
+    res = qa.answer(index, qs, cfg, lexical=catalogue._term_tables(spark, SF_SMALL))
+    methods = {(r.question_id, r.method) for r in res["retrieved"].select("question_id", "method").distinct().collect()}
+    assert (0, "bm25") in methods and (0, "semantic") not in methods
+    assert all(m == "semantic" for q, m in methods if q != 0)
+    rec = {r.question_id: r for r in res["records"].collect()}
+    assert rec[0].pipeline_stats.retrieved == 10 and rec[0].chunks
+    # a BM25 hit is labelled by its title, else the constant
+    assert all(c.source == "BM25" for c in rec[0].chunks)

@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritext import fixed as FX
 from veritext.operators import answer as A
 from veritext.operators import embed as E
 from veritext.operators import lexical as L
@@ -30,12 +31,17 @@ BROADCAST_ROWS = 5_000_000
 
 @dataclass
 class QAConfig:
-    retrieval_top_k: int = 50
-    rerank_top_k: int = 3
+    retrieval_top_k: int = FX.RETRIEVAL_TOP_K
+    rerank_top_k: int = FX.RERANK_TOP_K
     max_context_length: int = A.MAX_CONTEXT_CHARS
     use_reranking: bool = True
     fuzzy_fallback: bool = True
     dims: int = E.DEFAULT_DIMS
+    encoder: tuple | None = None     # (factory, args) of the question encoder; hashing if None
+    scorer: tuple | None = None      # (factory, args) of the reranker; lexical logit if None
+
+    def encoder_spec(self):
+        return self.encoder or (E.HashingEncoder, (self.dims,))
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -50,7 +56,7 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -
     ``lexical``: the stored ``((stats, df), variants)`` of the index, if any;
     without it the BM25 fallback derives them from the index.
     """
-    qv = E.embed_texts(questions, "question", (E.HashingEncoder, (cfg.dims,)), out="query_vec")
+    qv = E.embed_texts(questions, "question", cfg.encoder_spec(), out="query_vec")
     qv = E.validate_vectors(qv, "query_vec", cfg.dims)
     sem_q = qv.filter("valid").select("question_id", "query_vec")
     sem = R.semantic_topk_batch(index, sem_q, cfg.retrieval_top_k, id_col="chunk_id", qid="question_id")
@@ -88,7 +94,7 @@ def answer(index: DataFrame, questions: DataFrame, cfg: QAConfig | None = None,
                             F.array_distinct(tokens(F.col("question"))).alias("q_tokens"))
     pairs = retrieved.join(qtok, "question_id")       # question tokens derived once per question
     if cfg.use_reranking:
-        scored = RR.rerank_scores(pairs)
+        scored = RR.rerank_scores(pairs, scorer=cfg.scorer)
     else:
         scored = pairs.drop("q_tokens").withColumn("rerank_score", F.lit(None).cast("double"))
     final = RR.final_chunks(scored, cfg.rerank_top_k, cfg.use_reranking).persist(StorageLevel.MEMORY_AND_DISK)
