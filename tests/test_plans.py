@@ -1,7 +1,6 @@
 """Plan shape and partitioning properties of the registered queries."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from veritext.operators import corpus as C

@@ -1,6 +1,5 @@
 """Vectors, retrieval, rerank and answer assembly (FIXTURES.md C6-C14, C16, C17)."""
 
-import math
 
 import numpy as np
 import pytest

@@ -3,7 +3,6 @@
 import html as pyhtml
 from html.parser import HTMLParser
 
-from pyspark.sql import functions as F
 
 from tests.conftest import one
 from veritext.functions import text as X
