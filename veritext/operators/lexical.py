@@ -51,11 +51,12 @@ def deletion_variants(term: Column, max_del: Column | int) -> Column:
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     one = F.transform(idx, lambda i: F.struct(F.concat(F.substr(term, F.lit(1), i - 1),
                                                        F.substr(term, i + 1)).alias("variant"), F.lit(1).alias("dels")))
-    pairs = F.filter(F.flatten(F.transform(idx, lambda i: F.transform(idx, lambda j: F.struct(i.alias("i"), j.alias("j"))))),
-                     lambda p: p["i"] < p["j"])
-    two = F.transform(pairs, lambda p: F.struct(
-        F.concat(F.substr(term, F.lit(1), p["i"] - 1), F.substr(term, p["i"] + 1, p["j"] - p["i"] - 1),
-                 F.substr(term, p["j"] + 1)).alias("variant"), F.lit(2).alias("dels")))
+    # i < j pairs directly (n(n-1)/2 of them); this branch only runs for terms
+    # of 6+ characters (AUTO rule), the greatest() guards keep sequences ascending
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(
+        F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: F.struct(
+            F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1, j - i - 1),
+                     F.substr(term, j + 1)).alias("variant"), F.lit(2).alias("dels")))))
     zero = F.array(F.struct(term.alias("variant"), F.lit(0).alias("dels")))
     return (F.when(md <= 0, zero)
             .when(md == 1, F.concat(zero, F.when(n > 0, one).otherwise(F.array().cast("array<struct<variant:string,dels:int>>"))))
