@@ -23,8 +23,20 @@ LOCAL_CONF = {
 }
 
 
+def default_driver_memory(share: float = 0.6, cap_gb: int = 16, floor_gb: int = 2) -> str:
+    """A local-mode heap that fits the machine: a share of RAM, capped."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        gb = int(kb / 1024 / 1024 * share)
+    except (OSError, StopIteration, ValueError):
+        gb = cap_gb // 2
+    return f"{max(floor_gb, min(cap_gb, gb))}g"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "veritext", driver_memory: str = "8g") -> SparkSession:
+                  app: str = "veritext", driver_memory: str | None = None) -> SparkSession:
+    driver_memory = driver_memory or default_driver_memory()
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
