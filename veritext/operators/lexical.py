@@ -63,6 +63,28 @@ def deletion_variants(term: Column, max_del: Column | int) -> Column:
             .otherwise(F.concat(zero, one, two)))
 
 
+def with_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``terms array<string>, term_ids array<bigint>, tfs array<int>, dl int``:
+    the distinct tokens of the text (sorted), their xxhash64 ids, their counts
+    and the token count, by sorting and run-length encoding inside the row.
+
+    The sorted tokens are projected into a column first: lambdas then read a
+    column instead of re-deriving the sort for every element.
+    """
+    srt = df.withColumn("_s", F.array_sort(tokens(F.col(text))))
+    s_ = F.col("_s")
+    n = F.size(s_)
+    cut = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+                   lambda i: (i < n) & (F.element_at(s_, i) != F.element_at(s_, i + 1)))
+    srt = srt.withColumn("_e", F.when(n == 0, F.array().cast("array<int>")).otherwise(F.concat(cut, F.array(n))))
+    e_ = F.col("_e")
+    prev = F.concat(F.array(F.lit(0)), F.slice(e_, 1, F.greatest(F.size(e_) - 1, F.lit(0))))
+    out = (srt.withColumn("terms", F.transform(e_, lambda e: F.element_at(s_, e)))
+           .withColumn("tfs", F.zip_with(e_, prev, lambda e, p: e - p))
+           .withColumn("dl", n))
+    return out.withColumn("term_ids", F.transform("terms", lambda t: F.xxhash64(t))).drop("_s", "_e")
+
+
 def question_terms(questions: DataFrame, qid: str = "question_id", question: str = "question") -> DataFrame:
     """``question_id, term, n``: each distinct token with its repeat count."""
     return (questions.select(qid, F.explode(tokens(F.col(question))).alias("term"))
@@ -125,9 +147,12 @@ def query_weights(questions: DataFrame, qid: str = "question_id", question: str
 
 def term_stats(index: DataFrame, text: str = "text"):
     """Index-wide statistics: one-row ``n, avgdl`` and ``vterm, df`` for all terms."""
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
-    df = (index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm"))
-          .groupBy("vterm").agg(F.count(F.lit(1)).alias("df")))
+    if {"terms", "dl"} <= set(index.columns):        # stored per-chunk term columns
+        dl, distinct = F.col("dl"), F.col("terms")
+    else:
+        dl, distinct = F.size(tokens(F.col(text))), F.array_distinct(tokens(F.col(text)))
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl"))
+    df = index.select(F.explode(distinct).alias("vterm")).groupBy("vterm").agg(F.count(F.lit(1)).alias("df"))
     return stats, df
 
 
@@ -256,4 +281,88 @@ def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> Dat
                 top.add(part_df[id_col].to_numpy(), scores)
         yield topk_frame(list(top.rows()), qids_, qid, id_col)
 
+    if {"term_ids", "terms", "tfs", "dl"} <= set(index.columns):
+        return _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b)
     return index.select(id_col, text).mapInPandas(run, schema)
+
+
+def _accumulate(r_a, t_a, contrib, n_rows, nq, qm, ptr, tq, tw):
+    """rows x questions score sums of (row, term, contribution) entries."""
+    if len(r_a) == 0:
+        return np.zeros((n_rows, nq))
+    if qm is not None:                           # dense term x question weights
+        acc = np.zeros((n_rows, nq))
+        starts = np.flatnonzero(np.r_[True, r_a[1:] != r_a[:-1]])
+        acc[r_a[starts]] = np.add.reduceat(qm[t_a] * contrib[:, None], starts, axis=0)
+        return acc
+    reps = ptr[t_a + 1] - ptr[t_a]               # sparse: expand term -> questions
+    total = int(reps.sum())
+    offs = np.repeat(np.cumsum(reps) - reps, reps)
+    sel = np.repeat(ptr[t_a], reps) + (np.arange(total) - offs)
+    flat = np.repeat(r_a, reps) * nq + tq[sel]
+    return np.bincount(flat, weights=np.repeat(contrib, reps) * tw[sel], minlength=n_rows * nq).reshape(n_rows, nq)
+
+
+def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataFrame:
+    """BM25 block scorer over stored term columns: no tokenising in Python.
+
+    Chunk terms are matched to query terms by their 64-bit ids (vectorised),
+    then the strings of the matches are compared, so an id collision can
+    never change a score.
+    """
+    qids = sorted({r[0] for r in rows})
+    qpos = {q: i for i, q in enumerate(qids)}
+    # query terms in the order of their Spark xxhash64 ids (as stored in the index)
+    names = sorted({r[1] for r in rows})
+    hashed = index.sparkSession.createDataFrame([(t,) for t in names], "t string").select(
+        "t", F.xxhash64("t").alias("h")).collect()
+    hid = {r[0]: r[1] for r in hashed}
+    terms = sorted(names, key=lambda t: (hid[t], t))
+    tpos = {t: i for i, t in enumerate(terms)}
+    sid = np.array([hid[t] for t in terms], dtype=np.int64)
+    idf_arr = np.zeros(len(terms))
+    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
+    for q, t, w, i in rows:
+        idf_arr[tpos[t]] = i
+        by_term[tpos[t]].append((qpos[q], w))
+    ptr = np.cumsum([0] + [len(x) for x in by_term])
+    tq = np.array([q for x in by_term for q, _ in x], dtype=np.int64)
+    tw = np.array([w for x in by_term for _, w in x], dtype=np.float64)
+    dense = len(terms) * len(qids) <= DENSE_CELLS and len(tq) / max(1, len(terms)) * 4 >= len(qids)
+    bc = index.sparkSession.sparkContext.broadcast(
+        (qids, sid, np.array(terms, dtype=object), idf_arr, ptr, tq, tw, float(avgdl), dense))
+
+    def run(batches):
+        qids_, sid_, sterm, idf_, ptr_, tq_, tw_, avg, dense_ = bc.value
+        nq = len(qids_)
+        qm = None
+        if dense_:
+            qm = np.zeros((len(idf_), nq))
+            np.add.at(qm, (np.repeat(np.arange(len(idf_)), ptr_[1:] - ptr_[:-1]), tq_), tw_)
+        top = TopK(nq, k)
+        for pdf in batches:
+            for s0 in range(0, len(pdf), SUB_BATCH):
+                part = pdf.iloc[s0:s0 + SUB_BATCH]
+                lens = part["term_ids"].map(len).to_numpy()
+                if lens.sum() == 0:
+                    continue
+                ids = np.concatenate(part["term_ids"].to_numpy()).astype(np.int64)
+                pos = np.clip(np.searchsorted(sid_, ids), 0, len(sid_) - 1)
+                hit = sid_[pos] == ids
+                if not hit.any():
+                    continue
+                strs = np.concatenate(part["terms"].to_numpy())
+                hit[hit] = strs[hit] == sterm[pos[hit]]            # exact string check on matches
+                # equal ids in a row (a collision) would follow each other: the
+                # string check above keeps only the true term
+                r_a = np.repeat(np.arange(len(part)), lens)[hit]
+                t_a = pos[hit]
+                tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)[hit]
+                dl = part["dl"].to_numpy().astype(np.float64)[r_a]
+                contrib = idf_[t_a] * tf / (tf + k1 * (1.0 - b + b * dl / avg))
+                acc = _accumulate(r_a, t_a, contrib, len(part), nq, qm, ptr_, tq_, tw_)
+                scores = np.where(acc > 0, round_score(acc), np.nan)
+                top.add(part[id_col].to_numpy(), scores)
+        yield topk_frame(list(top.rows()), qids_, qid, id_col)
+
+    return index.select(id_col, "term_ids", "terms", "tfs", "dl").mapInPandas(run, schema)

@@ -19,21 +19,27 @@ from veritext.operators import embed as E
 from veritext.operators import lexical as L
 from veritext.session import scratch_path
 
-INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding"]
+INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding",
+                 "terms", "term_ids", "tfs", "dl"]
 _BUILT: set[str] = set()
 _LOCK = threading.Lock()       # one build per index even if queries run in threads
 
 
+def _with_terms(chunks: DataFrame) -> DataFrame:
+    # per-chunk distinct terms, ids, counts and length (JVM, sort + run-length)
+    return L.with_term_counts(chunks, "text")
+
+
 def chunk_index(documents: DataFrame, dims: int = E.DEFAULT_DIMS, title=None) -> DataFrame:
     """Chunked, embedded, validated index rows (invalid vectors dropped)."""
-    chunks = C.split_chunks(documents, title=title)
+    chunks = _with_terms(C.split_chunks(documents, title=title))
     vec = E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,)))
     return E.validate_vectors(vec, "embedding", dims).filter("valid").select(*INDEX_COLUMNS)
 
 
 def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIMS) -> DataFrame:
     """Build and write the index; returns ``success, failed`` counts."""
-    chunks = C.split_chunks(documents)
+    chunks = _with_terms(C.split_chunks(documents))
     vec = E.validate_vectors(E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,))), "embedding", dims)
     return E.rebuild_index(vec.select(*INDEX_COLUMNS, "valid", "reason"), path)
 
@@ -41,7 +47,7 @@ def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIM
 def build_term_tables(index: DataFrame, path: str) -> None:
     """Lexical side of the index: corpus stats, document frequencies, and the
     vocabulary deletion variants used by fuzzy matching (written once)."""
-    stats, df = L.term_stats(index)
+    stats, df = L.term_stats(index)   # uses the stored term columns when present
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     df.write.mode("overwrite").parquet(f"{path}/df")
     vocab = index.sparkSession.read.parquet(f"{path}/df").select("vterm")
