@@ -189,13 +189,21 @@ def bm25_topk(index: DataFrame, weights: DataFrame, k: int = 50, id_col: str = "
     schema = T.StructType([T.StructField(qid, qid_type), T.StructField(id_col, id_type),
                            T.StructField("score", T.DoubleType())])
     n_rows = wq.count()
+    # Ids identify terms exactly when no other vocabulary term shares a query
+    # term's 64-bit id; checked once here with a join on the stored vocabulary.
+    ids_exact = False
+    if stored_stats is not None and {"term_ids", "tfs", "dl"} <= set(index.columns):
+        q_ids = wq.select(F.col("vterm").alias("q"), F.xxhash64("vterm").alias("h")).distinct()
+        vocab = stored_stats[1].select("vterm", F.xxhash64("vterm").alias("h"))
+        ids_exact = vocab.join(F.broadcast(q_ids) if q_ids.count() <= MAX_TERM_ROWS else q_ids, "h") \
+            .filter(F.col("vterm") != F.col("q")).isEmpty()
     blocks = max(1, -(-n_rows // MAX_WEIGHT_ROWS))
     parts = []
     for blk in range(blocks):
         part = wq if blocks == 1 else wq.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == blk)
         rows = part.collect()       # at most ~MAX_WEIGHT_ROWS rows (checked above)
         if rows:
-            parts.append(_score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b))
+            parts.append(_score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b, ids_exact))
     if not parts:
         return index.sparkSession.createDataFrame([], T.StructType(
             [schema[0], T.StructField("rank", T.LongType()), schema[1], schema[2]]))
@@ -207,7 +215,7 @@ def bm25_topk(index: DataFrame, weights: DataFrame, k: int = 50, id_col: str = "
             .select(qid, "rank", id_col, "score"))
 
 
-def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> DataFrame:
+def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b, ids_exact=False) -> DataFrame:
     qids = sorted({r[0] for r in rows})
     qpos = {q: i for i, q in enumerate(qids)}
     terms = sorted({r[1] for r in rows})
@@ -281,7 +289,7 @@ def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b) -> Dat
                 top.add(part_df[id_col].to_numpy(), scores)
         yield topk_frame(list(top.rows()), qids_, qid, id_col)
 
-    if {"term_ids", "terms", "tfs", "dl"} <= set(index.columns):
+    if ids_exact:
         return _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b)
     return index.select(id_col, text).mapInPandas(run, schema)
 
@@ -306,9 +314,9 @@ def _accumulate(r_a, t_a, contrib, n_rows, nq, qm, ptr, tq, tw):
 def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataFrame:
     """BM25 block scorer over stored term columns: no tokenising in Python.
 
-    Chunk terms are matched to query terms by their 64-bit ids (vectorised),
-    then the strings of the matches are compared, so an id collision can
-    never change a score.
+    Chunk terms are matched to query terms by their 64-bit ids (vectorised);
+    the caller has checked that no vocabulary term shares an id with a query
+    term, so an id match is a term match.
     """
     qids = sorted({r[0] for r in rows})
     qpos = {q: i for i, q in enumerate(qids)}
@@ -351,10 +359,6 @@ def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataF
                 hit = sid_[pos] == ids
                 if not hit.any():
                     continue
-                strs = np.concatenate(part["terms"].to_numpy())
-                hit[hit] = strs[hit] == sterm[pos[hit]]            # exact string check on matches
-                # equal ids in a row (a collision) would follow each other: the
-                # string check above keeps only the true term
                 r_a = np.repeat(np.arange(len(part)), lens)[hit]
                 t_a = pos[hit]
                 tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)[hit]
@@ -365,4 +369,4 @@ def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataF
                 top.add(part[id_col].to_numpy(), scores)
         yield topk_frame(list(top.rows()), qids_, qid, id_col)
 
-    return index.select(id_col, "term_ids", "terms", "tfs", "dl").mapInPandas(run, schema)
+    return index.select(id_col, "term_ids", "tfs", "dl").mapInPandas(run, schema)
