@@ -1,6 +1,7 @@
 """Plan shape and partitioning properties of the registered queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from veritext.operators import corpus as C
@@ -60,3 +61,12 @@ def test_whitespace_normalisation_idempotent(spark):
     once = df.select(normalize_whitespace("t").alias("t"))
     twice = once.select(normalize_whitespace("t").alias("t"))
     assert once.collect() == twice.collect()
+
+
+@pytest.mark.parametrize("parts", [1, 5, 13])
+def test_ordinal_is_dense_and_ordered(spark, parts):
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
+    df = df.repartition(parts)
+    got = sorted((r.ordinal, r.k, r.g) for r in C.with_ordinal(df, [F.col("g"), F.col("k")]).collect())
+    assert [o for o, _, _ in got] == list(range(1, 1001))
+    assert [(g, k) for _, k, g in got] == sorted((g, k) for _, k, g in got)
