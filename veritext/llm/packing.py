@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from veritext.llm import pretokens
 from veritext.llm.shared import stored, text_or_empty
 
-_ENCODERS: dict[str, pretokens.Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], pretokens.Encoder] = {}
 
 
 def class_sizes(capacity: int) -> list[int]:
@@ -45,10 +45,10 @@ def cut(length: int, capacity: int, sizes: list[int]) -> list[tuple[int, int]]:
     return pieces
 
 
-def _encoder(path: str) -> pretokens.Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = pretokens.Encoder(path, pretokens.ids_as_bytes, b"".join)
-    return _ENCODERS[path]
+def _encoder(path: str, alike: bool) -> pretokens.Encoder:
+    if (path, alike) not in _ENCODERS:
+        _ENCODERS[path, alike] = pretokens.Encoder(path, alike)
+    return _ENCODERS[path, alike]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int,
@@ -59,17 +59,17 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
     A worker keeps one open bin a class, less than ``capacity`` ids each.
     """
-    sizes = class_sizes(capacity)
+    sizes, alike = class_sizes(capacity), pretokens.merges_alike(tokenizer_path)
     out = (T.StructType().add("id", docs.schema[id_col].dataType).add("doc_tokens", "long").add("start", "long")
            .add("size", "long").add("ids", "binary").add("worker", "long").add("bin", "long").add("nth", "long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, worker = _encoder(tokenizer_path), TaskContext.get().partitionId()
-        end, filled, open_bins, rows = pretokens.ids_as_bytes([separator]), {}, {}, []
+        encoder, worker = _encoder(tokenizer_path, alike), TaskContext.get().partitionId()
+        end, filled, open_bins, rows = separator.to_bytes(4, "little"), {}, {}, []
         frame = lambda rows: pd.DataFrame(rows, columns=out.names).astype({"bin": "Int64"})
         for pdf in batches:
             for key, text in zip(pdf["id"].astype(object), pdf["text"], strict=True):
-                ids = encode(text) + end
+                ids = encoder.ids_of(text).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 for start, size in cut(n, capacity, sizes):
                     pieces = open_bins.setdefault(size, [])

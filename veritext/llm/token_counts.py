@@ -8,6 +8,7 @@ Nothing is shuffled: a text is counted where it is read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ SAMPLE_DOCS = 1000
 TABLE_ENTRIES = 50_000
 TABLE_CHARS = 24
 
-_ENCODERS: dict[tuple, pretokens.Encoder] = {}
+_COUNTERS: dict[tuple, pretokens.Counter] = {}
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, tokenizer_path: str,
-                     sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[str, np.ndarray]:
+                     alike: bool, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[str, np.ndarray]:
     """The broadcast table: chunks joined by U+0000, and their token lengths.
 
     It only decides which lookups are fast, never a count.
@@ -50,10 +51,10 @@ def frequent_lengths(docs: DataFrame, text_col: str, tokenizer_path: str,
     counted: Counter = Counter()
     for chunk, n in sample.mapInPandas(chunk_counts, "chunk string, n long").toPandas().itertuples(index=False):
         counted[chunk] += n
-    cache = pretokens.ChunkCache(tokenizer_path, len)
+    counter = pretokens.Counter(tokenizer_path, alike)
     names, lengths = [], []
     for chunk, _ in counted.most_common(entries):
-        if chunk[0].isspace() or chunk[-1].isspace() or "\0" in chunk or (n := cache[chunk]) > 255:
+        if chunk[0].isspace() or chunk[-1].isspace() or "\0" in chunk or (n := counter.chunk(chunk, " ")) > 255:
             continue
         names.append(chunk)
         lengths.append(n)
@@ -71,20 +72,21 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "tex
     and a column already called ``out_col`` is replaced.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, tokenizer_path, sample_docs))
+    alike = pretokens.merges_alike(tokenizer_path)
+    table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, tokenizer_path, alike, sample_docs))
+    key = (tokenizer_path, alike, uuid.uuid4().hex)
 
-    def encoder() -> pretokens.Encoder:
-        key = (tokenizer_path, table.id if hasattr(table, "id") else id(table))
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
+    def counter() -> pretokens.Counter:
+        if key not in _COUNTERS:
+            _COUNTERS.clear()
             names, lengths = table.value
             frequent = dict(zip(names.split("\0"), lengths.tolist(), strict=True)) if names else {}
-            _ENCODERS[key] = pretokens.Encoder(tokenizer_path, len, sum, frequent)
-        return _ENCODERS[key]
+            _COUNTERS[key] = pretokens.Counter(tokenizer_path, alike, frequent)
+        return _COUNTERS[key]
 
     @F.pandas_udf("long")
     def count_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = encoder()
+        count = counter()
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="int64")
 
