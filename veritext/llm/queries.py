@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import packing, token_counts
+from veritext.llm import ann, fingerprints, html_text, neardup, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +28,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_warc(spark, sf_dir):
+    base = warc.archive_folder(spark)
+    index = warc.write_warc(_table(spark, sf_dir, "pages"), base)
+    records = warc.read_warc(index, base)
+    broken = F.raise_error(F.concat(F.lit("record read back differs: "), F.col("record_id")))
+    return records.select(
+        F.expr("try_cast(record_id AS BIGINT)").alias("page_id"), F.col("n_bytes").alias("payload_bytes"),
+        F.when(F.col("intact"), F.col("digest")).otherwise(broken).alias("payload_digest"), "record_type",
+        F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+
+
 def op2_pack(spark, sf_dir):
     packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=SEQUENCE_TOKENS)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
+def op3_neighbours(spark, sf_dir):
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(docs, tokenizer_path())
@@ -42,9 +57,46 @@ def op4_token_counts(spark, sf_dir):
                           (F.col("n_tokens") > SEQUENCE_TOKENS).alias("over_limit"))
 
 
+def op5_quality(spark, sf_dir):
+    scored = quality.with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_main_text(spark, sf_dir):
+    pages = html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_fingerprints(spark, sf_dir):
+    found = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_pack": op2_pack, "op4_token_counts": op4_token_counts}
+    return {"op1_warc": op1_warc, "op2_pack": op2_pack, "op3_neighbours": op3_neighbours, "op4_token_counts": op4_token_counts,
+            "op5_quality": op5_quality, "op6_near_duplicates": op6_near_duplicates, "op7_main_text": op7_main_text,
+            "op10_fingerprints": op10_fingerprints}
+
+
+#: Bare base32 of a SHA-1: 20 bits at a time, as four characters each.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h FROM p),
+f AS (SELECT h, payload_bytes, min(page_id) AS first_id FROM d GROUP BY h, payload_bytes)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(d.h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER), 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN d.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM d JOIN f ON d.h = f.h AND d.payload_bytes = f.payload_bytes
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
