@@ -43,3 +43,35 @@ def star_components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
     leaves = now.select(u.alias("node"), v.alias("component"))
     return leaves.union(now.select(v.alias("node"), v.alias("component")).distinct())
+
+
+def union_find(edges: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node of its component) for every node
+    of ``edges`` (u, v), by distributed union-find.
+
+    Every node hooks onto its smallest neighbour if that is smaller, pointers
+    are halved until all point to a root, and the edges are carried over to
+    the roots, until none joins two roots.  Self-links and repeated edges are
+    of no effect; no edges give no rows.
+    """
+    u, v = F.col("u"), F.col("v")
+    edges = stored(edges.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "uf-edges")
+    found = None
+    while not edges.isEmpty():
+        both = edges.select("u", "v").union(edges.select(v.alias("u"), u.alias("v")))
+        roots = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(u.alias("node"), F.least("u", "v").alias("root")), "uf-roots")
+        while True:
+            upper = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            halved = stored(roots.join(upper, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "uf-roots")
+            roots = halved.select("node", "root")
+            if halved.filter("moved").isEmpty():
+                break
+        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        edges = stored(edges.join(of("u"), "u").join(of("v"), "v").filter(F.col("u_root") != F.col("v_root"))
+                       .select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct(), "uf-edges")
+        if found is None:
+            found = roots.withColumnRenamed("root", "component")
+        else:
+            over = roots.select(F.col("node").alias("component"), "root")
+            found = stored(found.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "uf-found")
+    return found if found is not None else edges.select(u.alias("node"), v.alias("component"))

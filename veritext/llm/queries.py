@@ -11,13 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import ann, fingerprints, html_text, neardup, packing, quality, token_counts, warc
+from veritext.llm import ann, fingerprints, html_text, lines, mixing, neardup, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The tokenizer of the packing and counting queries, and their limit.
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 1024
+#: Documents that score less are rejected.
+QUALITY_THRESHOLD = 0.5
+#: Domains of the labelled table, and the share of all tokens that each is to have.
+TARGETS = {"good": 0.96, "good_toxic": 0.01, "poor": 0.02, "poor_toxic": 0.01}
 
 
 def tokenizer_path() -> str:
@@ -28,6 +32,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table as (doc_id, domain)."""
+    kind = F.when(F.col("quality") == 1, F.lit("good")).when(F.col("quality") == 0, F.lit("poor"))
+    toxic = F.when(F.col("toxic") == 1, F.lit("_toxic")).otherwise("")
+    return _table(spark, sf_dir, "labels").select("doc_id", F.concat(kind, toxic).alias("domain"))
+
+
 def op1_warc(spark, sf_dir):
     base = warc.archive_folder(spark)
     index = warc.write_warc(_table(spark, sf_dir, "pages"), base)
@@ -59,7 +70,7 @@ def op4_token_counts(spark, sf_dir):
 
 def op5_quality(spark, sf_dir):
     scored = quality.with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= QUALITY_THRESHOLD).alias("kept"))
 
 
 def op6_near_duplicates(spark, sf_dir):
@@ -71,6 +82,17 @@ def op7_main_text(spark, sf_dir):
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_mixing(spark, sf_dir):
+    rates = mixing.mixing_rates(_table(spark, sf_dir, "documents"), domains(spark, sf_dir), TARGETS)
+    shares = [F.coalesce(F.try_element_at("p", F.lit(d)), F.lit(0.0)).alias(f"p_{d}") for d in TARGETS]
+    return rates.select("doc_id", "tokens", *shares, "rate")
+
+
+def op9_lines(spark, sf_dir):
+    found = lines.line_components(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("keeper_id").alias("keeper_doc_id"), "keeper_line_no", "kept")
+
+
 def op10_fingerprints(spark, sf_dir):
     found = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
@@ -80,6 +102,7 @@ def op10_fingerprints(spark, sf_dir):
 def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_pack": op2_pack, "op3_neighbours": op3_neighbours, "op4_token_counts": op4_token_counts,
             "op5_quality": op5_quality, "op6_near_duplicates": op6_near_duplicates, "op7_main_text": op7_main_text,
+            "op8_mixing": op8_mixing, "op9_lines": op9_lines,
             "op10_fingerprints": op10_fingerprints}
 
 
