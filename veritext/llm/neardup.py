@@ -202,7 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members_of(keys)
     weights = weights_of(members)
     centres = centres_of(members, weights)
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    # The texts of all members move once; the hint keeps that alike at every size.
+    texts = stored(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+                   .join(weights.select("id").hint("merge"), "id", "left_semi"), "dup-text")
     sigs = stored(classes.join(weights, "id", "left_semi").select("id", "signature", "n_shingles"), "dup-signature")
     links = confirmed(star_pairs(members, centres), sigs, texts, words, percent)
     found = stored(star_components(links), "dup-component")
