@@ -3,6 +3,8 @@
 import html as pyhtml
 from html.parser import HTMLParser
 
+import pytest
+
 
 from tests.conftest import one
 from veritext.functions import text as X
@@ -167,3 +169,53 @@ def test_text_corpus_last_wins(spark):
                                   "page_id long, html string")
     got = {r.file_name: r.text for r in C.text_corpus(pages).collect()}
     assert got == {"A.txt": "A\ntwo", "brak_tytulu.txt": "x"}
+
+
+# ------------------------------------------------------- hard pages
+
+HARD = ["a &amp; b", "&amp;lt; &#38;amp; &lt;", "w&oacute;dki &copy2020 &ampx &notit; &notin;", "&#9999999; &#55296; &#150; &#0065; &#x41 &#x0000000041;",
+        "&#; & &&&; &nosuch; &#0; &#1; &#128;&#129; &#xFFFE; &#13;x", "&AMP &Lt; &acE; &lt &NewLine;|&Tab;|", "&#99999999999999999999; &#xFFFFFFFFF;"]
+
+
+def test_references_as_the_standard_library_decodes_them(spark):
+    import html
+
+    assert one(spark, X.decode_entities("t"), [(h,) for h in HARD], "t string") == [html.unescape(h) for h in HARD]
+
+
+@pytest.mark.parametrize("page,text,title", [
+    ("a<!--c-->b", "a\nb", None), ("a<script>x</script>b", "a\nb", None), ("t<script>\nvar a=1;", "t", None),
+    ("<!-- <h1>old</h1> --><h1>new</h1>", "new", "new"), ("<h1>cut off", "cut off", "cut off"), ("a < b", "a < b", None),
+    ("<a title='a>b'>q</a>", "q", None), ("l1\x01x", "l1\x01x", None), ("a &lt;b&gt; c", "a <b> c", None),
+    ("<p " + ' x="y"' * 20_000 + ">z", "z", None)])
+def test_hard_pages(spark, page, text, title):
+    got = spark.createDataFrame([(page,)], "h string").select(X.page_text("h").alias("t"), X.h1_title("h").alias("n")).first()
+    assert got.t == text and got.n == (title or X.NO_TITLE)
+
+
+def test_cut_tag_and_open_quote_are_fast(spark):
+    import time
+
+    pages = [("<a title=\"" + "x" * 80_000,), ("<p " + "x" * 80_000,), ("<a '" + "y" * 80_000,)]
+    start = time.time()
+    assert len(spark.createDataFrame(pages, "h string").select(X.page_text("h")).collect()) == 3
+    assert time.time() - start < 30
+
+
+def test_a_control_character_is_no_mark(spark):
+    docs = spark.createDataFrame([(1, "l1\x01x\nl2")], "doc_id long, text string")
+    assert [r.text for r in C.split_chunks(docs).orderBy("pos").collect()] == ["l1\x01x", "l2"]
+
+
+def test_lines_of_an_article_are_one_chunk(spark):
+    docs = spark.createDataFrame([(1, "wstęp\nArt. 1.\ntekst\n§ 2. treść\ndalej\nArt. 2.\ninne"), (2, "bez\nznaków")], "doc_id long, text string")
+    got = [(r.doc_id, r.article, r.paragraph, r.text) for r in C.split_chunks(docs, regroup=True).orderBy("doc_id", "pos").collect()]
+    assert got == [(1, None, None, "wstęp"), (1, "1", None, "Art. 1.\ntekst"), (1, "1", "2", "§ 2. treść\ndalej"),
+                   (1, "2", None, "Art. 2.\ninne"), (2, None, None, "bez"), (2, None, None, "znaków")]
+
+
+def test_a_failing_page_is_left_out(spark):
+    pages = spark.createDataFrame([(1, "u", "<h1>A</h1>x"), (2, "u", None), (3, "u", "  \n"), (4, "u", "bad �"), (5, "u", "<h1>A</h1>y")],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.doc_id for r in C.build_documents(pages).collect()}
+    assert got == {1: "A", 5: "A_5"}

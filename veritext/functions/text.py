@@ -8,6 +8,8 @@ where Python's Unicode-aware ``\\s``/``\\w`` differ from Java's ASCII ones.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,34 +26,27 @@ WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 WORD = r"\p{L}\p{N}_"
 # Token: maximal run of letters and digits, on lower-cased text.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-# Control character used as a split sentinel (never present in test texts).
-SENTINEL = "\u0001"
-
-# Named HTML entities decoded by ``decode_entities`` (HTML standard values).
-# ``&amp;`` is decoded last so that ``&amp;lt;`` yields ``&lt;`` (one pass).
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&bdquo;", "„"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&sbquo;", "‚"), ("&sect;", "§"), ("&para;", "¶"),
-    ("&deg;", "°"), ("&euro;", "€"), ("&bull;", "•"),
-    ("&times;", "×"), ("&shy;", "\u00ad"),
-]
-
-# Blocks whose text is not visible: script, style, comments, doctype.
-INVISIBLE_BLOCKS = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
-                    r"|<!--.*?-->|<!doctype[^>]*>")
+# Character references, from the standard library's table of HTML names:
+# names that need their semicolon, and the older ones that do without it.
+_NAMES = {n[:-1]: v for n, v in html5.items() if n.endswith(";")}
+_LOOSE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Code points 128-159 of a reference mean Windows-1252 characters.
+_CP1252 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+MAX_CODE_POINT = 0x10FFFF
+
+# Blocks whose text is not visible: script, style, comments, doctype.  One
+# that is never closed reaches to the end of the page.
+INVISIBLE_BLOCKS = (r"(?is)<script\b[^>]*+>.*?(?:</script\s*+>|\z)|<style\b[^>]*+>.*?(?:</style\s*+>|\z)"
+                    r"|<!--.*?(?:-->|\z)|<!doctype[^>]*+>")
 # A tag, as an HTML tokenizer sees it: "<" then a letter, "/letter", "!" or
 # "?"; quoted attribute values may hold ">".  A "<" before anything else
-# (e.g. "a < b") is text.
-ANY_TAG = r"""<(?:/?[A-Za-z](?:[^>"']+|"[^"]*"|'[^']*')*|[!?][^>]*)>"""
-H1_BLOCK = r"(?is)<h1(?:\s[^>]*)?>.*?</h1>"
-H1_INNER = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
-H2_INNER = r"(?is)<h2(?:\s[^>]*)?>(.*?)</h2>"
-TITLE_INNER = r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"
+# (e.g. "a < b") is text.  Atomic and possessive: no backtracking into a tag,
+# so neither many attributes nor an unclosed quote cost more than one pass.
+ANY_TAG = r"""<(?:/?[A-Za-z](?>[^>"']+|"[^"]*"|'[^']*')*+|[!?][^>]*+)>"""
+H1_BLOCK = r"(?is)<h1(?:\s[^>]*+)?>.*?(?:</h1\s*+>|\z)"
+H1_INNER = r"(?is)<h1(?:\s[^>]*+)?>(.*?)(?:</h1\s*+>|\z)"
+H2_INNER = r"(?is)<h2(?:\s[^>]*+)?>(.*?)(?:</h2\s*+>|\z)"
+TITLE_INNER = r"(?is)<title(?:\s[^>]*+)?>(.*?)(?:</title\s*+>|\z)"
 # Inside the first h1 only: superscripts and glossary links are removed.
 H1_NOISE = (rf"(?is)<{FX.H1_NOISE_TAG}(?:\s[^>]*)?>.*?</{FX.H1_NOISE_TAG}>"
             rf"|<a\s[^>]*class\s*=\s*[\"']{FX.H1_NOISE_LINK_CLASS}[\"'][^>]*>.*?</a>")
@@ -78,29 +73,44 @@ def _codepoint_char(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def _decode_numeric(col: Column) -> Column:
-    pieces = F.split(col, "&#")
-
-    def one(p: Column) -> Column:
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        return (F.when(dec != "", F.concat(_codepoint_char(dec.cast("bigint")),
-                                           F.regexp_replace(p, r"^[0-9]{1,7};", "")))
-                .when(hx != "", F.concat(_codepoint_char(F.conv(hx, 16, 10).cast("bigint")),
-                                         F.regexp_replace(p, r"^[xX][0-9a-fA-F]{1,6};", "")))
-                .otherwise(F.concat(F.lit("&#"), p)))
-
-    rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), "")
-    return F.when(col.contains("&#"), F.concat(F.element_at(pieces, 1), rest)).otherwise(col)
+def _number_char(digits: Column, base: int, width: int) -> Column:
+    # The character of a numeric reference, as the HTML standard has it: no
+    # such code point or half a pair is U+FFFD, other control characters and
+    # non-characters vanish.  Every branch is safe for any number.
+    short = F.regexp_replace(digits, "^0+", "")
+    cp = F.when(F.length(short) > width, F.lit(MAX_CODE_POINT + 1)).otherwise(F.conv(F.concat(F.lit("0"), F.substring(short, 1, width)), base, 10).cast("bigint"))
+    lost = (cp == 0) | (cp > MAX_CODE_POINT) | cp.between(0xD800, 0xDFFF)
+    gone = (cp.between(1, 8) | (cp == 11) | cp.between(14, 31) | (cp == 127) | cp.between(0xFDD0, 0xFDEF)
+            | (cp.bitwiseAND(0xFFFE) == 0xFFFE))
+    windows = F.element_at(F.lit(_CP1252), F.when(cp.between(128, 159), cp - 127).otherwise(1).cast("int"))
+    char = _codepoint_char(F.when(lost | gone, 0xFFFD).otherwise(cp))
+    return F.when(lost, "\ufffd").when(cp.between(128, 159), windows).when(gone, "").otherwise(char)
 
 
 def decode_entities(col) -> Column:
-    """Decode the named entities above and numeric ``&#N;``/``&#xH;`` refs."""
-    out = _c(col)
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = _decode_numeric(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decode character references once, left to right, as an HTML parser does
+    in text: names of the HTML table (older ones also without ``;``) and
+    numbers of any length.  What is no reference stays."""
+    c = _c(col)
+    # one literal, folded to a map when the query is planned
+    names = F.str_to_map(F.lit("\u0002".join(f"{n}\u0001{v}" for n, v in sorted(_NAMES.items()))), F.lit("\u0002"), F.lit("\u0001"))
+
+    def one(p: Column) -> Column:
+        number = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_replace(number, "[#xX;]", "")
+        char = F.when(F.substring(number, 2, 1).isin("x", "X"), _number_char(digits, 16, 6)).otherwise(_number_char(digits, 10, 7))
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        value = F.when(name == "amp", "&").when(name != "", F.try_element_at(names, name))
+        loose = F.regexp_extract(p, f"^(?:{'|'.join(_LOOSE)})", 0)
+        older = F.when(loose != "", F.try_element_at(names, loose))
+        return (F.when(number != "", F.concat(char, F.substr(p, F.length(number) + 1)))
+                .when(value.isNotNull(), F.concat(value, F.substr(p, F.length(name) + 2)))
+                .when(older.isNotNull(), F.concat(older, F.substr(p, F.length(loose) + 1)))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    pieces = F.split(c, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    return F.when(c.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(c)
 
 
 def tokens(col) -> Column:
@@ -109,30 +119,34 @@ def tokens(col) -> Column:
 
 
 def _text_pieces(html: Column) -> Column:
-    # Tags become a sentinel; the pieces between them are the text strings,
-    # entity-decoded, then stripped like Python's str.strip().
-    parts = F.split(decode_entities(F.regexp_replace(html, ANY_TAG, SENTINEL)), SENTINEL)
-    return F.filter(F.transform(parts, py_strip), lambda p: p != "")
+    # The strings between tags, decoded, then stripped like Python's str.strip().
+    parts = F.split(html, ANY_TAG)
+    return F.filter(F.transform(parts, lambda p: py_strip(decode_entities(p))), lambda p: p != "")
 
 
-# Removed h1 noise leaves the text around it as separate strings (as a parser
-# removing the element does), so it is replaced by a break, not by nothing.
+# Removed parts leave the text around them as separate strings (as a parser
+# removing the element does), so they are replaced by a break, not by nothing.
 NOISE_CUT = "<br>"
 
 
+def visible(html) -> Column:
+    """The page without scripts, styles, comments and doctype."""
+    return F.regexp_replace(_c(html), INVISIBLE_BLOCKS, NOISE_CUT)
+
+
 def _h1_pieces_joined(inner: Column) -> Column:
     return F.array_join(_text_pieces(F.regexp_replace(inner, H1_NOISE, NOISE_CUT)), "")
 
 
 def h1_title(html, missing: str = NO_TITLE) -> Column:
     """Title from the first h1 (noise removed, stripped pieces, no separator)."""
-    h = _c(html)
+    h = visible(html)
     return F.when(h.rlike(H1_BLOCK), _h1_pieces_joined(F.regexp_extract(h, H1_INNER, 1))).otherwise(F.lit(missing))
 
 
 def without_h1_noise(html) -> Column:
-    """The page with superscripts/glossary links removed from its first h1."""
-    h = _c(html)
+    """The visible page with superscripts/glossary links removed from its first h1."""
+    h = visible(html)
     block = F.regexp_extract(h, H1_BLOCK, 0)
     pos = F.instr(h, block)
     cleaned = F.regexp_replace(block, H1_NOISE, NOISE_CUT)
@@ -142,8 +156,7 @@ def without_h1_noise(html) -> Column:
 
 def html_to_text(html) -> Column:
     """Visible strings of a page, each stripped, empties dropped, one per line."""
-    body = F.regexp_replace(_c(html), INVISIBLE_BLOCKS, "")
-    return F.array_join(_text_pieces(body), "\n")
+    return F.array_join(_text_pieces(visible(html)), "\n")
 
 
 def normalize_whitespace(text) -> Column:
@@ -170,7 +183,7 @@ def _tag_text_stripped(html: Column, inner_re: str) -> Column:
 
 def name_from_titles(html, max_chars: int = FILE_NAME_CHARS) -> Column:
     """File base name from <title>, else h1, else h2; null if all blank."""
-    h = _c(html)
+    h = visible(html)
     title = F.coalesce(F.nullif(_tag_text_stripped(h, TITLE_INNER), F.lit("")),
                        F.nullif(_tag_text_stripped(h, H1_INNER), F.lit("")),
                        F.nullif(_tag_text_stripped(h, H2_INNER), F.lit("")))

@@ -8,12 +8,12 @@ name shared by a large share of pages never lands in one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext import fixed as FX
 from veritext.functions import text as X
+from veritext.session import side, stored
 
 DOC_TYPE = FX.DOC_TYPE
 ART_MARK = r"Art\.\s*(\d+[a-z]*)"  # article marker at the start of a line
@@ -38,64 +38,78 @@ def page_file_names(pages: DataFrame, use_titles: bool = True) -> DataFrame:
     return pages.select("page_id", name.alias("file_name"))
 
 
-def unique_file_names(named: DataFrame, key: str = "page_id", name: str = "file_name",
-                      max_rounds: int = 8) -> DataFrame:
+def unique_file_names(named: DataFrame, key: str = "page_id", name: str = "file_name") -> DataFrame:
     """Make names unique; the first holder (lowest key) keeps the name.
 
     Later holders get ``_<key>`` appended; a generated name that equals an
-    existing name gets another suffix, until all are free.  Uses a grouped
-    min (partial aggregation) and joins, never a window on the name.
+    existing name gets another suffix, until all are free.  That ends: a name
+    grows each round and the existing names are finite, and two generated
+    names differ as their keys do.  Uses a grouped min (partial aggregation)
+    and joins, never a window on the name.
     """
-    base = named.select(F.col(key).alias("_k"), X.clean_given_name(F.col(name)).alias("_base"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)      # read once per round below
+    return _unique_names(named, key, name).select(F.col("_k").alias(key), F.col("_name").alias(name))
+
+
+def _unique_names(named: DataFrame, key: str, name: str) -> DataFrame:
+    """``_k, _name, _gen`` (whether the name was generated)."""
+    base = stored(named.select(F.col(key).alias("_k"), X.clean_given_name(F.col(name)).alias("_base")), "names")
     first = base.groupBy("_base").agg(F.min("_k").alias("_first"))
-    cur = (base.join(first, "_base")
-           .select("_k", "_base", F.when(F.col("_k") == F.col("_first"), F.col("_base"))
-                   .otherwise(F.concat_ws("_", F.col("_base"), F.col("_k").cast("string"))).alias("_name"),
-                   (F.col("_k") != F.col("_first")).alias("_gen"))).persist(StorageLevel.MEMORY_AND_DISK)
+    later = F.col("_k") != F.col("_first")
+    cur = stored(base.join(first, "_base")
+                 .select("_k", F.when(later, F.concat_ws("_", F.col("_base"), F.col("_k").cast("string")))
+                         .otherwise(F.col("_base")).alias("_name"), later.alias("_gen")), "names")
     taken = base.select(F.col("_base").alias("_name")).distinct()
-    for _ in range(max_rounds + 1):
-        clash = cur.filter("_gen").join(taken, "_name", "left_semi").select("_k")
+    while True:
+        clash = stored(cur.filter("_gen").join(taken, "_name", "left_semi").select("_k", F.lit(True).alias("_clash")), "names")
         if clash.isEmpty():
-            break
-        if _ == max_rounds:
-            raise RuntimeError("file names still collide after %d rounds" % max_rounds)
-        clash = clash.withColumn("_clash", F.lit(True))
-        cur = (cur.join(clash, "_k", "left")
-               .select("_k", "_base",
-                       F.when(F.col("_clash"), F.concat_ws("_", F.col("_name"), F.col("_k").cast("string")))
-                       .otherwise(F.col("_name")).alias("_name"), "_gen")).persist(StorageLevel.MEMORY_AND_DISK)
-    return cur.select(F.col("_k").alias(key), F.col("_name").alias(name))
+            return cur
+        cur = stored(cur.join(clash, "_k", "left")
+                     .select("_k", F.when(F.col("_clash"), F.concat_ws("_", F.col("_name"), F.col("_k").cast("string")))
+                             .otherwise(F.col("_name")).alias("_name"), "_gen"), "names")
 
 
 def build_documents(pages: DataFrame, folder: str = "html") -> DataFrame:
-    """T5: document records from pages saved as ``<unique name>.html``.
+    """T5: document records; pages that T6 rejects are left out, the rest go on.
 
     ``doc_id string, text string, metadata struct<title, source_file,
-    source_path, text_length, doc_type>, page_id bigint``.  Title, text and
-    base name come from one narrow pass over the html; only the (page_id,
-    name) pairs take part in the uniqueness step, and the html itself is
-    never shuffled.
+    source_path, text_length, doc_type>, page_id bigint``.  Pages of a folder
+    scan (S1) keep the file's own name and path; other pages count as saved
+    as ``<unique name>.html`` below ``folder``.  Title, text and name come
+    from one narrow pass; only the generated names, few where names seldom
+    clash, are joined to it, as a broadcast if they are small.
     """
-    per_page = pages.select("page_id", X.page_file_name("html", "url").alias("file_name"),
-                            X.h1_title("html").alias("title"), X.page_text("html").alias("text"))
-    per_page = per_page.persist(StorageLevel.MEMORY_AND_DISK)
-    names = unique_file_names(per_page.select("page_id", "file_name"))
-    p = per_page.drop("file_name").join(names, "page_id")
-    source_file = F.concat(F.col("file_name"), F.lit(".html"))
+    good = quarantine(pages, "valid_utf8" if "valid_utf8" in pages.columns else None).filter(F.col("status") == "good")
+    title, text = X.h1_title("html").alias("title"), X.page_text("html").alias("text")
+    if {"path", "file_name"} <= set(pages.columns):
+        p = good.select("page_id", "path", F.col("file_name").alias("source_file"), title, text)
+        source_path = F.col("path")
+    else:
+        own = X.page_file_name("html", "url")
+        names = _unique_names(good.select("page_id", own.alias("file_name")), "page_id", "file_name")
+        renamed = side(names.filter("_gen").select("_k", "_name"))
+        p = good.select("page_id", X.clean_given_name(own).alias("_own"), title, text)
+        p = p.join(renamed, F.col("page_id") == F.col("_k"), "left")
+        p = p.withColumn("source_file", F.concat(F.coalesce("_name", "_own"), F.lit(".html")))
+        source_path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("source_file"))
     return p.select(
-        F.regexp_replace(source_file, r"\.[^.]*$", "").alias("doc_id"),
+        F.regexp_replace("source_file", r"\.[^.]*$", "").alias("doc_id"),
         "text",
-        F.struct("title", source_file.alias("source_file"),
-                 F.concat(F.lit(folder.rstrip("/") + "/"), source_file).alias("source_path"),
+        F.struct("title", "source_file", source_path.alias("source_path"),
                  F.length("text").alias("text_length"), F.lit(DOC_TYPE).alias("doc_type")).alias("metadata"),
         "page_id")
 
 
+def report_counts(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """How many pages were ``found`` and how many documents ``created``."""
+    both = pages.select(F.lit(1).alias("_p"), F.lit(0).alias("_d")).unionAll(docs.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("_p"), F.lit(0)).cast("bigint").alias("found"),
+                    F.coalesce(F.sum("_d"), F.lit(0)).cast("bigint").alias("created"))
+
+
 def quarantine(pages: DataFrame, valid_utf8: str | None = None) -> DataFrame:
     """Every page with ``status`` good/rejected and a ``reason``."""
     reason = (F.when(F.col("html").isNull(), F.lit("null_html"))
-              .when(F.trim(F.col("html")) == "", F.lit("blank_html")))
+              .when(X.py_strip("html") == "", F.lit("blank_html")))
     if valid_utf8:
         reason = reason.when(~F.col(valid_utf8), F.lit("undecodable"))
     reason = reason.when(F.col("html").contains("\ufffd"), F.lit("undecodable"))
@@ -104,11 +118,10 @@ def quarantine(pages: DataFrame, valid_utf8: str | None = None) -> DataFrame:
 
 
 def split_quarantine(pages: DataFrame, valid_utf8: str | None = None):
-    """T6 as two outputs from one cached scan: ``(good, rejected)``."""
-    flagged = quarantine(pages, valid_utf8).persist(StorageLevel.MEMORY_AND_DISK)
+    """T6 as two outputs: ``(good, rejected)``."""
+    flagged = quarantine(pages, valid_utf8)
     good = flagged.filter(F.col("status") == "good").drop("status", "reason")
-    rejected = flagged.filter(F.col("status") == "rejected")
-    return good, rejected
+    return good, flagged.filter(F.col("status") == "rejected")
 
 
 def quarantine_counts(flagged: DataFrame) -> DataFrame:
@@ -119,15 +132,14 @@ def quarantine_counts(flagged: DataFrame) -> DataFrame:
 def text_corpus(pages: DataFrame) -> DataFrame:
     """S3+T4: one text per title-named file; the highest page_id wins a name.
 
-    ``file_name, page_id, text``.  The winner is picked with ``max_by`` so the
-    page html travels through the map-side partial aggregate only once per
-    name and partition.
+    ``file_name, page_id, text``.  The winners are found on (name, page_id)
+    rows alone; the html meets them in one join.
     """
-    named = pages.select("page_id", "html",
-                         X.safe_title(X.h1_title("html", missing=X.NO_TITLE_FILE)).alias("safe"))
-    win = named.groupBy("safe").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("w"))
-    return win.select(F.concat(F.col("safe"), F.lit(".txt")).alias("file_name"),
-                      F.col("w.page_id").alias("page_id"), X.page_text(F.col("w.html")).alias("text"))
+    safe = X.safe_title(X.h1_title("html", missing=X.NO_TITLE_FILE))
+    win = pages.select("page_id", safe.alias("safe")).groupBy("safe").agg(F.max("page_id").alias("winner"))
+    win = side(stored(win, "text-corpus"))
+    return (pages.join(win, F.col("page_id") == F.col("winner"))
+            .select(F.concat(F.col("safe"), F.lit(".txt")).alias("file_name"), "page_id", X.page_text("html").alias("text")))
 
 
 # ----------------------------------------------------------------- documents
@@ -142,8 +154,8 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
     """
     srt = (df.orderBy(*order)
            .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .persist(StorageLevel.MEMORY_AND_DISK))
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    srt = stored(srt, "ordinal")
     sizes = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -164,17 +176,18 @@ def document_report(docs: DataFrame, text_chars: int = FX.REPORT_TEXT_CHARS,
 
 
 def split_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 title: Column | None = None) -> DataFrame:
+                 title: Column | None = None, regroup: bool = False) -> DataFrame:
     """One chunk per non-blank line, labelled with the article and paragraph
-    markers in force at that line (a new article resets the paragraph).
+    markers in force at that line (a new article resets the paragraph).  With
+    ``regroup`` the lines of one article or paragraph are one chunk, and only
+    documents without any marker are cut into lines.
 
     The document is cut at article-marker lines, each part at paragraph-marker
     lines, each of those into lines; the labels come from the head of each
     part.  All of it is array work inside the row: no window, no shuffle.
     ``doc_id, pos, chunk_id, id, title, article, paragraph, text``.
     """
-    s = X.SENTINEL
-    by_art = F.split(F.regexp_replace(F.col(text), r"\n(?=Art\.\s*\d)", s), s)
+    by_art = F.split(F.col(text), r"\n(?=Art\.\s*\d)")
 
     def label(first_line, mark):
         return F.nullif(F.regexp_extract(first_line, "^" + mark, 1), F.lit(""))
@@ -186,13 +199,21 @@ def split_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     arts = F.transform(by_art, lambda seg: F.struct(label(head(seg), ART_MARK).alias("a"), seg.alias("s")))
 
     def lines_of_article(a):
-        pars = F.transform(F.split(F.regexp_replace(a["s"], r"\n(?=§\s*\d)", s), s),
+        pars = F.transform(F.split(a["s"], r"\n(?=§\s*\d)"),
                            lambda ps: F.struct(label(head(ps), PAR_MARK).alias("p"), ps.alias("s")))
         return F.flatten(F.transform(pars, lambda p: F.transform(
             F.split(p["s"], "\n"), lambda ln: F.struct(a["a"].alias("article"), p["p"].alias("paragraph"),
                                                        ln.alias("text")))))
 
+    def parts_of_article(a):
+        pars = F.transform(F.split(a["s"], r"\n(?=§\s*\d)"),
+                           lambda ps: F.struct(label(head(ps), PAR_MARK).alias("p"), ps.alias("s")))
+        return F.transform(pars, lambda p: F.struct(a["a"].alias("article"), p["p"].alias("paragraph"), p["s"].alias("text")))
+
     lines = F.flatten(F.transform(arts, lines_of_article))
+    if regroup:
+        marked = F.col(text).rlike(r"(?m)^(?:Art\.\s*\d|§\s*\d)")
+        lines = F.when(marked, F.flatten(F.transform(arts, parts_of_article))).otherwise(lines)
     cols = [F.col(doc_id).alias("doc_id")]
     if title is not None:
         cols.append(title.alias("title"))

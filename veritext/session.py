@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Default knobs for local runs. On a cluster the session is supplied by the
 # caller and none of these are forced on it.
@@ -52,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is taken as is.
-    Only when it is unset (local runs, tests) is a scratch folder created.
+    Only when it is unset on a local master (tests) is a scratch folder
+    created; on several machines each would see a folder of its own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -60,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="veritext-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
@@ -70,3 +74,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared checkpoint folder and read it back:
+    later steps reuse it without recomputing, and nothing stays cached."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A side of a join is broadcast up to this size, else both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def side(df: DataFrame, row_bytes: int = 100) -> DataFrame:
+    """``df`` marked for broadcast if its rows times ``row_bytes`` are few enough."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -20,10 +20,9 @@ def scan_pages(spark: SparkSession, folder: str, strict_html_only: bool = False)
     ``.html`` exactly.  Bytes are checked for valid UTF-8 before decoding
     (invalid sequences become U+FFFD and the page is flagged for T6).
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    glob = "*.html" if strict_html_only else "*.{[hH][tT][mM],[hH][tT][mM][lL]}"     # other files are not opened
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", glob).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    keep = name.endswith(".html") if strict_html_only else F.lower(name).rlike(r"\.html?$")
-    raw = raw.filter(keep)
     return raw.select(F.xxhash64("path").alias("page_id"), "path", name.alias("file_name"),
                       F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
                       F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"))
