@@ -39,43 +39,49 @@ def round_score(x: np.ndarray) -> np.ndarray:
     return np.floor(x * m + 0.5) / m
 
 
-def round_signed(x: np.ndarray) -> np.ndarray:
-    """Half-away-from-zero rounding to SCORE_DECIMALS (any sign)."""
-    m = 10.0 ** SCORE_DECIMALS
-    return np.sign(x) * np.floor(np.abs(x) * m + 0.5) / m
+class TopK:
+    """Running top-k per query over (score desc, id asc); exact with ties.
 
+    Candidates below a query's k-th best score so far are dropped as they
+    come; the rest is gathered for all queries together and cut back to k a
+    query by one sort whenever ``HELD`` candidates have come together.
+    """
 
-class TopK:
-    """Running top-k per query over (score desc, id asc); exact with ties."""
+    HELD = 500_000
 
     def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.ids: list[np.ndarray | None] = [None] * n_queries
-        self.scores: list[np.ndarray | None] = [None] * n_queries
-
-    def _select(self, ids: np.ndarray, s: np.ndarray):
-        n = len(s)
-        if n > self.k:
-            thr = np.partition(s, n - self.k)[n - self.k]
-            keep = np.nonzero(s >= thr)[0]          # ties at the threshold stay
-            ids, s = ids[keep], s[keep]
-        order = sorted(range(len(s)), key=lambda i: (-s[i], ids[i]))[: self.k]
-        return ids[order], s[order]
+        self.k, self.n = k, n_queries
+        self.floor = np.full(n_queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores``: rows x queries, already rounded."""
-        for q in range(scores.shape[1]):
-            s = scores[:, q]
-            ok = ~np.isnan(s)
-            cid, cs = ids[ok], s[ok]
-            if self.ids[q] is not None:
-                cid = np.concatenate([self.ids[q], cid])
-                cs = np.concatenate([self.scores[q], cs])
-            if len(cs):
-                self.ids[q], self.scores[q] = self._select(cid, cs)
+        """``scores``: rows x queries, already rounded; nan is no hit."""
+        s = np.where(np.isnan(scores), -np.inf, scores)
+        floor = self.floor
+        if len(s) > self.k:                                   # a block's own k-th best is a floor as well
+            floor = np.maximum(floor, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k])
+        row, query = np.nonzero((s >= floor) & (s > -np.inf))
+        if len(row):
+            self.parts.append((query, ids[row], s[row, query]))
+            self.held += len(row)
+        if self.held > self.HELD:
+            self._cut()
+
+    def _cut(self) -> None:
+        if not self.parts:
+            return
+        query, ids, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
+        keep = rank < self.k
+        self.floor[query[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.parts, self.held = [(query[keep], ids[keep], score[keep])], int(keep.sum())
 
     def rows(self):
-        for q, (ids, s) in enumerate(zip(self.ids, self.scores)):
-            if ids is not None:
-                for i, v in zip(ids, s):
-                    yield q, i, float(v)
+        self._cut()
+        for query, ids, score in self.parts:
+            for q, i, s in zip(query, ids, score):
+                yield int(q), i, float(s)

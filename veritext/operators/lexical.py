@@ -12,14 +12,17 @@ Scale
 * Scoring does not emit (question, chunk) pairs: the per-term query weights
   are broadcast (row count checked) and each index partition scores its rows
   in Arrow batches, keeping the k best per question (as the vector path).
-* Fuzzy expansion joins query terms to the vocabulary on deletion
-  neighbourhoods (terms within k edits share a string obtained by at most k
-  deletions from each), a hash equi-join against the broadcast query side,
-  then verifies with ``levenshtein(a, b, k)``.  No length-group product.
+* Fuzzy expansion joins query terms to the vocabulary on keys that two terms
+  within the allowed edits always share: deletion variants for short terms,
+  position-tagged segments for long ones (so the number of keys is bounded
+  and their size linear in the term).  A swap of neighbours is one edit.
+  Candidates are then verified; all that pass are kept.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +30,15 @@ from pyspark.sql import types as T
 
 from veritext.functions.text import tokens
 from veritext.functions.vectors import TopK, round_score
-from veritext.operators.retrieve import topk_frame
+from veritext.operators.retrieve import MAX_QUERY_BLOCK, SCORE_CELLS, merge_topk, topk_frame
+from veritext.session import side, stored
 
 K1 = 1.2
 B = 0.75
-MAX_EXPANSIONS = 50
 MAX_WEIGHT_ROWS = 500_000       # (question, term, weight) rows per scoring block (driver + broadcast)
-MAX_TERM_ROWS = 500_000         # broadcast bound for query-term and variant tables
 DENSE_CELLS = 16_000_000        # terms x questions kept dense per task
-SUB_BATCH = 2_000               # index rows scored together
+DELETIONS_UP_TO = 14            # longest query term matched through deletion variants
+SWAP_ALL = 64                   # longest term whose swaps are all tried
 
 
 def auto_edits(term: Column) -> Column:
@@ -96,8 +99,35 @@ def vocabulary(index: DataFrame, text: str = "text") -> DataFrame:
     return index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm")).distinct()
 
 
+def segment_keys(term: Column) -> Column:
+    """Keys of a query term of more than ``DELETIONS_UP_TO`` characters.
+
+    The term is cut into 2 * 2 + 1 segments: two edits, a swap of neighbours
+    counting as one, touch four of them at most, so one is left as it is.
+    """
+    n = F.length(term)
+    at = lambda j: F.floor(n * j / 5).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.concat_ws("#", n, j, F.substr(term, at(j) + 1, at(j + 1) - at(j))))
+
+
+def vocabulary_segments(term: Column) -> Column:
+    """Keys of a vocabulary term for query terms of at most two characters
+    more or less: each of their segments, moved by at most two places."""
+    m = F.length(term)
+
+    def of_length(n):
+        at = lambda j: F.floor(n * j / 5).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.transform(
+            F.sequence(F.lit(-2), F.lit(2)), lambda d: F.when(
+                (at(j) + d >= 0) & (at(j + 1) + d <= m),
+                F.concat_ws("#", n, j, F.substr(term, at(j) + d + 1, at(j + 1) - at(j)))))))
+
+    lengths = F.filter(F.sequence(m - 2, m + 2), lambda n: n > DELETIONS_UP_TO)
+    return F.filter(F.array_distinct(F.flatten(F.transform(lengths, of_length))), lambda x: x.isNotNull())
+
+
 def vocabulary_variants(vocab: DataFrame) -> DataFrame:
-    """``variant, vterm, vdels``: every vocabulary term with up to 2 deletions.
+    """``variant, vterm, vdels``: the keys of every vocabulary term.
 
     Built once with the index (``plans.index``) and reused by every fuzzy
     query; it depends on the vocabulary only.  A vocabulary term needs no
@@ -105,33 +135,60 @@ def vocabulary_variants(vocab: DataFrame) -> DataFrame:
     deletions on the vocabulary side has no insertions, so the query term is
     at most as long and itself allows at most that many edits.
     """
+    n = F.length("vterm")
     # the same variant arises from different positions (e.g. a doubled letter)
-    var = deletion_variants(F.col("vterm"), auto_edits(F.col("vterm")))
-    vv = vocab.select("vterm", F.explode(F.array_distinct(var)).alias("v"))
-    return vv.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
+    short = vocab.filter(n <= DELETIONS_UP_TO + 2).select("vterm", F.explode(F.array_distinct(
+        deletion_variants(F.col("vterm"), auto_edits(F.col("vterm"))))).alias("v"))
+    long = vocab.filter(n > DELETIONS_UP_TO - 2).select("vterm", F.explode(vocabulary_segments(F.col("vterm"))).alias("variant"))
+    return (short.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
+            .unionByName(long.select("variant", "vterm", F.lit(0).alias("vdels"))))
+
 
+def swapped(term: Column, other: Column) -> Column:
+    """The term with a pair of neighbours swapped, for each pair.  In a term
+    of more than ``SWAP_ALL`` characters, only pairs that ``other`` does not
+    hold within two places: all else is equal there."""
+    n = F.length(term)
+    at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    here = lambda i: F.substr(term, i, F.lit(2))
+    changed = F.filter(at, lambda i: ~F.substr(other, F.greatest(i - 2, F.lit(1)), F.lit(6)).contains(here(i)))
+    swap = lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1, F.lit(1)), F.substr(term, i, F.lit(1)), F.substr(term, i + 2))
+    return F.when(n > 1, F.transform(F.when(n > SWAP_ALL, changed).otherwise(at), swap)).otherwise(F.array().cast("array<string>"))
+
+
+def edits_up_to_two(a: Column, b: Column) -> Column:
+    """Edits between two strings, a swap of neighbours being one; null beyond 2."""
+    lev = F.levenshtein(a, b, 4)                   # -1 beyond 4: a swap is two of these edits
+    two = (F.exists(swapped(a, b), lambda x: F.levenshtein(x, b, 1) >= 0) | F.exists(swapped(b, a), lambda x: F.levenshtein(a, x, 1) >= 0)
+           | F.arrays_overlap(swapped(a, b), swapped(b, a)))
+    return (F.when(lev.between(0, 1), lev).when((lev == 2) & F.array_contains(swapped(a, b), b), 1).when(lev == 2, 2)
+            .when((lev > 2) & two, 2))
 
-def fuzzy_terms(qterms: DataFrame, vocab: DataFrame | None = None, max_expansions: int = MAX_EXPANSIONS,
+
+def fuzzy_terms(qterms: DataFrame, vocab: DataFrame | None = None, max_expansions: int | None = None,
                 variants: DataFrame | None = None) -> DataFrame:
     """``term, vterm, edits, boost`` for every query term (AUTO edits).
 
-    boost = 1 - edits / min(len(term), len(vterm)); at most ``max_expansions``
-    vocabulary terms per query term, closest first, then alphabetical.
+    boost = 1 - edits / min(len(term), len(vterm)).  Every vocabulary term
+    within the edits is kept; ``max_expansions`` (off by default) keeps only
+    so many per query term, closest first, then alphabetical.
     """
     qt = qterms.select("term").distinct().withColumn("k", auto_edits(F.col("term")))
-    qv = qt.select("term", "k", F.explode(deletion_variants(F.col("term"), F.col("k"))).alias("v"))
-    qv = qv.select("term", "k", F.col("v.variant").alias("variant"), F.col("v.dels").alias("qdels"))
-    n_q = qv.count()
+    short = (qt.filter(F.length("term") <= DELETIONS_UP_TO)
+             .select("term", "k", F.explode(deletion_variants(F.col("term"), F.col("k"))).alias("v"))
+             .select("term", "k", F.col("v.variant").alias("variant")))
+    long = (qt.filter(F.length("term") > DELETIONS_UP_TO)
+            .select("term", "k", F.explode(segment_keys(F.col("term"))).alias("variant")))
+    qv = stored(short.unionByName(long).distinct(), "query-variants")
     vv = variants if variants is not None else vocabulary_variants(vocab)
-    qside = F.broadcast(qv) if n_q <= MAX_TERM_ROWS else qv
-    cand = (vv.join(qside, "variant").filter(F.col("vdels") <= F.col("k"))
-            .select("term", "vterm", "k").distinct())
-    cand = cand.withColumn("edits", F.expr("levenshtein(term, vterm, k)"))
-    cand = cand.filter(F.col("edits") >= 0)
-    w = Window.partitionBy("term").orderBy("edits", "vterm")
-    top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_expansions)
+    cand = vv.join(side(qv), "variant").filter(F.col("vdels") <= F.col("k")).select("term", "vterm", "k").distinct()
+    near = cand.filter(F.abs(F.length("term") - F.length("vterm")) <= F.col("k"))
+    found = near.withColumn("edits", edits_up_to_two(F.col("term"), F.col("vterm"))).filter(F.col("edits") <= F.col("k"))
+    if max_expansions is not None:
+        w = Window.partitionBy("term").orderBy("edits", "vterm")
+        found = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_expansions)
     boost = F.lit(1.0) - F.col("edits") / F.least(F.length("term"), F.length("vterm"))
-    return top.select("term", "vterm", F.col("edits").cast("int").alias("edits"), boost.alias("boost"))
+    return found.select("term", "vterm", F.col("edits").cast("int").alias("edits"), boost.alias("boost"))
 
 
 def query_weights(questions: DataFrame, qid: str = "question_id", question: str = "question",
@@ -156,142 +213,45 @@ def term_stats(index: DataFrame, text: str = "text"):
     return stats, df
 
 
-def corpus_stats(index: DataFrame, terms: DataFrame, text: str = "text", stored=None):
-    """(N, avgdl, df table ``vterm, df``) for the given terms only.
-
-    ``stored``: the (stats, df) pair written with the index; then no pass
-    over the index text is needed, only a join of the needed terms.
-    """
-    if stored is not None:
-        st, all_df = stored
-        row = st.first()
-        need = terms.select("vterm").distinct()
-        side = F.broadcast(need) if need.count() <= MAX_TERM_ROWS else need
-        return int(row["n"]), float(row["avgdl"] or 0.0), all_df.join(side, "vterm")
-    row = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")).first()
-    need = terms.select("vterm").distinct()
-    side = F.broadcast(need) if need.count() <= MAX_TERM_ROWS else need
-    toks = index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm"))
-    df = toks.join(side, "vterm").groupBy("vterm").agg(F.count(F.lit(1)).alias("df"))
-    return int(row["n"]), float(row["avgdl"] or 0.0), df
-
-
 def bm25_topk(index: DataFrame, weights: DataFrame, k: int = 50, id_col: str = "chunk_id",
               text: str = "text", qid: str = "question_id", k1: float = K1, b: float = B,
               stored_stats=None) -> DataFrame:
-    """``question_id, rank, <id_col>, score`` (score rounded to 6)."""
-    n_docs, avgdl, df = corpus_stats(index, weights, text, stored_stats)
-    idf = df.select("vterm", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5))
-                                   / (F.col("df") + F.lit(0.5))).alias("idf"))
-    wq = weights.join(idf, "vterm").select(qid, "vterm", "weight", "idf")   # absent terms drop out
-    qid_type = weights.schema[qid].dataType
-    id_type = index.schema[id_col].dataType
-    schema = T.StructType([T.StructField(qid, qid_type), T.StructField(id_col, id_type),
+    """``question_id, rank, <id_col>, score`` (score rounded to 6).
+
+    ``stored_stats``: the (stats, df) pair written with the index; without it
+    both are derived from the index.  An index without stored term columns
+    gets them on the way, so there is one tokeniser and one scorer.
+    """
+    if not {"terms", "term_ids", "tfs", "dl"} <= set(index.columns):
+        index = with_term_counts(index, text)
+    stats, df = stored_stats if stored_stats is not None else term_stats(index, text)
+    row = stats.first()
+    n_docs, avgdl = int(row["n"]), float(row["avgdl"] or 0.0)
+    weights = stored(weights.select(qid, "vterm", "weight"), "bm25-weights")
+    needed = df.join(side(weights.select("vterm").distinct()), "vterm")
+    idf = needed.select("vterm", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5))
+                                       / (F.col("df") + F.lit(0.5))).alias("idf"))
+    wq = stored(weights.join(idf, "vterm").select(qid, "vterm", "weight", "idf"), "bm25-weights")   # absent terms drop out
+    schema = T.StructType([T.StructField(qid, weights.schema[qid].dataType), T.StructField(id_col, index.schema[id_col].dataType),
                            T.StructField("score", T.DoubleType())])
-    n_rows = wq.count()
-    # Ids identify terms exactly when no other vocabulary term shares a query
-    # term's 64-bit id; checked once here with a join on the stored vocabulary.
-    ids_exact = False
-    if stored_stats is not None and {"term_ids", "tfs", "dl"} <= set(index.columns):
-        q_ids = wq.select(F.col("vterm").alias("q"), F.xxhash64("vterm").alias("h")).distinct()
-        vocab = stored_stats[1].select("vterm", F.xxhash64("vterm").alias("h"))
-        ids_exact = vocab.join(F.broadcast(q_ids) if q_ids.count() <= MAX_TERM_ROWS else q_ids, "h") \
-            .filter(F.col("vterm") != F.col("q")).isEmpty()
-    blocks = max(1, -(-n_rows // MAX_WEIGHT_ROWS))
+    # Ids stand for terms; ids of query terms that another vocabulary term
+    # shares (as good as never) are compared as strings as well.
+    q_ids = wq.select(F.col("vterm").alias("q"), F.xxhash64("vterm").alias("h")).distinct()
+    clashes = (df.select("vterm", F.xxhash64("vterm").alias("h")).join(side(q_ids), "h")
+               .filter(F.col("vterm") != F.col("q")).select("h").distinct())
+    clashes = {r["h"] for r in clashes.collect()}                     # 64-bit collisions within the vocabulary
+    size = wq.agg(F.count("*").alias("rows"), F.countDistinct(qid).alias("questions")).first()
+    blocks = max(1, -(-size["rows"] // MAX_WEIGHT_ROWS), -(-size["questions"] // MAX_QUERY_BLOCK))
     parts = []
     for blk in range(blocks):
         part = wq if blocks == 1 else wq.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == blk)
-        rows = part.collect()       # at most ~MAX_WEIGHT_ROWS rows (checked above)
+        rows = part.collect()       # about MAX_WEIGHT_ROWS rows and MAX_QUERY_BLOCK questions at most
         if rows:
-            parts.append(_score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b, ids_exact))
+            parts.append(_score_block(index, rows, k, id_col, qid, schema, avgdl, k1, b, clashes))
     if not parts:
         return index.sparkSession.createDataFrame([], T.StructType(
             [schema[0], T.StructField("rank", T.LongType()), schema[1], schema[2]]))
-    local = parts[0]
-    for p_ in parts[1:]:
-        local = local.unionByName(p_)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    return (local.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
-            .select(qid, "rank", id_col, "score"))
-
-
-def _score_block(index, rows, k, id_col, text, qid, schema, avgdl, k1, b, ids_exact=False) -> DataFrame:
-    qids = sorted({r[0] for r in rows})
-    qpos = {q: i for i, q in enumerate(qids)}
-    terms = sorted({r[1] for r in rows})
-    tpos = {t: i for i, t in enumerate(terms)}
-    idf_arr = np.zeros(len(terms))
-    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for q, t, w, i in rows:
-        idf_arr[tpos[t]] = i
-        by_term[tpos[t]].append((qpos[q], w))
-    ptr = np.cumsum([0] + [len(x) for x in by_term])
-    tq = np.array([q for x in by_term for q, _ in x], dtype=np.int64)
-    tw = np.array([w for x in by_term for _, w in x], dtype=np.float64)
-    bc = index.sparkSession.sparkContext.broadcast((qids, tpos, idf_arr, ptr, tq, tw, float(avgdl)))
-
-    n_q = len(qids)
-    # Dense (gather whole question rows) only pays when a term is shared by a
-    # large share of the questions; otherwise expand the sparse term lists.
-    avg_q_per_term = len(tq) / max(1, len(terms))
-    dense = len(terms) * n_q <= DENSE_CELLS and avg_q_per_term * 4 >= n_q
-
-    def run(batches):
-        import regex
-
-        split = regex.compile(r"[^\p{L}\p{N}]+")
-        qids_, tpos_, idf_, ptr_, tq_, tw_, avg = bc.value
-        if dense:   # term x question weight matrix, built once per task
-            qm = np.zeros((len(idf_), len(qids_)))
-            tt = np.repeat(np.arange(len(idf_)), ptr_[1:] - ptr_[:-1])
-            np.add.at(qm, (tt, tq_), tw_)
-        top = TopK(len(qids_), k)
-        for pdf in batches:
-            for s0 in range(0, len(pdf), SUB_BATCH):
-                part_df = pdf.iloc[s0:s0 + SUB_BATCH]
-                texts = part_df[text].fillna("").tolist()
-                r_i, t_i, tf_i, dl_i = [], [], [], []
-                for r, t in enumerate(texts):
-                    toks = [x for x in split.split(t.lower()) if x]
-                    counts: dict[int, int] = {}
-                    for x in toks:
-                        j = tpos_.get(x)
-                        if j is not None:
-                            counts[j] = counts.get(j, 0) + 1
-                    for j, c in counts.items():
-                        r_i.append(r)
-                        t_i.append(j)
-                        tf_i.append(c)
-                        dl_i.append(len(toks))
-                if not r_i:
-                    continue
-                r_a, t_a = np.array(r_i), np.array(t_i)
-                tf, dl = np.array(tf_i, dtype=np.float64), np.array(dl_i, dtype=np.float64)
-                contrib = idf_[t_a] * tf / (tf + k1 * (1.0 - b + b * dl / avg))
-                n_rows = len(texts)
-                if dense:
-                    starts = np.flatnonzero(np.r_[True, r_a[1:] != r_a[:-1]])
-                    sums = np.add.reduceat(qm[t_a] * contrib[:, None], starts, axis=0)
-                    acc = np.zeros((n_rows, len(qids_)))
-                    acc[r_a[starts]] = sums
-                else:
-                    reps = ptr_[t_a + 1] - ptr_[t_a]
-                    rows_rep = np.repeat(r_a, reps)
-                    total = int(reps.sum())
-                    # CSR positions of every (entry, question) pair, vectorised
-                    offs = np.repeat(np.cumsum(reps) - reps, reps)
-                    sel = np.repeat(ptr_[t_a], reps) + (np.arange(total) - offs)
-                    flat = rows_rep * len(qids_) + tq_[sel]
-                    acc = np.bincount(flat, weights=np.repeat(contrib, reps) * tw_[sel],
-                                      minlength=n_rows * len(qids_)).reshape(n_rows, len(qids_))
-                # every term weight and idf is positive: a score > 0 is a hit
-                scores = np.where(acc > 0, round_score(acc), np.nan)
-                top.add(part_df[id_col].to_numpy(), scores)
-        yield topk_frame(list(top.rows()), qids_, qid, id_col)
-
-    if ids_exact:
-        return _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b)
-    return index.select(id_col, text).mapInPandas(run, schema)
+    return merge_topk(reduce(DataFrame.unionByName, parts), qid, id_col, k)
 
 
 def _accumulate(r_a, t_a, contrib, n_rows, nq, qm, ptr, tq, tw):
@@ -311,12 +271,11 @@ def _accumulate(r_a, t_a, contrib, n_rows, nq, qm, ptr, tq, tw):
     return np.bincount(flat, weights=np.repeat(contrib, reps) * tw[sel], minlength=n_rows * nq).reshape(n_rows, nq)
 
 
-def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataFrame:
+def _score_block(index, rows, k, id_col, qid, schema, avgdl, k1, b, clashes) -> DataFrame:
     """BM25 block scorer over stored term columns: no tokenising in Python.
 
     Chunk terms are matched to query terms by their 64-bit ids (vectorised);
-    the caller has checked that no vocabulary term shares an id with a query
-    term, so an id match is a term match.
+    a match of an id in ``clashes`` counts only if the strings agree.
     """
     qids = sorted({r[0] for r in rows})
     qpos = {q: i for i, q in enumerate(qids)}
@@ -338,10 +297,10 @@ def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataF
     tw = np.array([w for x in by_term for _, w in x], dtype=np.float64)
     dense = len(terms) * len(qids) <= DENSE_CELLS and len(tq) / max(1, len(terms)) * 4 >= len(qids)
     bc = index.sparkSession.sparkContext.broadcast(
-        (qids, sid, np.array(terms, dtype=object), idf_arr, ptr, tq, tw, float(avgdl), dense))
+        (qids, sid, terms if clashes else None, idf_arr, ptr, tq, tw, float(avgdl), dense, clashes))
 
     def run(batches):
-        qids_, sid_, sterm, idf_, ptr_, tq_, tw_, avg, dense_ = bc.value
+        qids_, sid_, names_, idf_, ptr_, tq_, tw_, avg, dense_, clashes_ = bc.value
         nq = len(qids_)
         qm = None
         if dense_:
@@ -349,14 +308,20 @@ def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataF
             np.add.at(qm, (np.repeat(np.arange(len(idf_)), ptr_[1:] - ptr_[:-1]), tq_), tw_)
         top = TopK(nq, k)
         for pdf in batches:
-            for s0 in range(0, len(pdf), SUB_BATCH):
-                part = pdf.iloc[s0:s0 + SUB_BATCH]
+            step = max(1, SCORE_CELLS // max(1, nq))      # rows x questions scored at once
+            for s0 in range(0, len(pdf), step):
+                part = pdf.iloc[s0:s0 + step]
                 lens = part["term_ids"].map(len).to_numpy()
                 if lens.sum() == 0:
                     continue
                 ids = np.concatenate(part["term_ids"].to_numpy()).astype(np.int64)
                 pos = np.clip(np.searchsorted(sid_, ids), 0, len(sid_) - 1)
                 hit = sid_[pos] == ids
+                if clashes_:
+                    words = np.concatenate(part["terms"].to_numpy())
+                    for at in np.flatnonzero(hit & np.isin(ids, list(clashes_))):
+                        same = [p for p in range(pos[at], len(sid_)) if sid_[p] == ids[at] and names_[p] == words[at]]
+                        hit[at], pos[at] = bool(same), (same or [pos[at]])[0]
                 if not hit.any():
                     continue
                 r_a = np.repeat(np.arange(len(part)), lens)[hit]
@@ -369,4 +334,5 @@ def _score_block_ids(index, rows, k, id_col, qid, schema, avgdl, k1, b) -> DataF
                 top.add(part[id_col].to_numpy(), scores)
         yield topk_frame(list(top.rows()), qids_, qid, id_col)
 
-    return index.select(id_col, "term_ids", "tfs", "dl").mapInPandas(run, schema)
+    columns = ["term_ids", "tfs", "dl", *(["terms"] if clashes else [])]
+    return index.select(id_col, *columns).mapInPandas(run, schema)

@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 
 from veritext import fixed as FX
 from veritext.functions.vectors import TopK, cosine_plus_one, round_score
+from veritext.session import stored
 
 UNKNOWN_SOURCE = FX.UNKNOWN_SOURCE
 BM25_SOURCE = FX.BM25_SOURCE
 MAX_QUERY_BLOCK = 2048               # queries broadcast to the index per pass
+MERGE_PARTS = 64                     # parts of the first of two merges of a query's partition winners
 SCORE_CELLS = 4_000_000              # rows x queries scored at once per task
 
 
@@ -94,8 +96,6 @@ def _block_scores(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col
                 if part.empty:
                     continue
                 m = np.stack(part[vec].to_numpy()).astype(np.float64)
-                if m.shape[1] != qm.shape[1]:
-                    continue
                 n = np.linalg.norm(m, axis=1, keepdims=True)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     scores = (m / np.where(n > 0, n, np.nan)) @ qm.T + 1.0
@@ -108,14 +108,24 @@ def _block_scores(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col
 
 def semantic_topk_batch(index: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "id",
                         vec: str = "embedding", qid: str = "query_id", qvec: str = "query_vec") -> DataFrame:
-    """R2: top-k index rows per query vector.  ``<qid>, rank, <id_col>, score``."""
-    qs = queries.select(qid, qvec).filter(F.col(qvec).isNotNull())
+    """R2: top-k index rows per query vector.  ``<qid>, rank, <id_col>, score``.
+
+    Every vector compared must have the size of the query vectors: a query of
+    another size, or an index without a row of that size, is an error (the
+    route sends such questions to BM25).  Index rows of another size, which
+    E3 rejects, are no candidates.
+    """
+    qs = stored(queries.select(qid, qvec).filter(F.col(qvec).isNotNull()), "queries")
     n = qs.count()
     qid_type = qs.schema[qid].dataType
     if n == 0:
         return index.sparkSession.createDataFrame([], T.StructType([
             T.StructField(qid, qid_type), T.StructField("rank", T.LongType()),
             T.StructField(id_col, index.schema[id_col].dataType), T.StructField("score", T.DoubleType())]))
+    sizes = [x[0] for x in qs.select(F.size(qvec)).distinct().limit(2).collect()]
+    index = index.filter(F.size(vec) == sizes[0])
+    if len(sizes) > 1 or index.isEmpty():
+        raise ValueError(f"query vectors of sizes {sizes} do not match the index")
     blocks = -(-n // MAX_QUERY_BLOCK)
     parts = []
     for b in range(blocks):
@@ -125,10 +135,21 @@ def semantic_topk_batch(index: DataFrame, queries: DataFrame, k: int = 50, id_co
             continue
         qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
         parts.append(_block_scores(index, [r[0] for r in rows], qmat, k, id_col, vec, qid, qid_type))
-    local = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    return (local.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
-            .select(qid, "rank", id_col, "score"))
+    return merge_topk(reduce(DataFrame.unionByName, parts), qid, id_col, k)
+
+
+def merge_topk(local: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
+    """The k best rows per query of the partitions' winners, on two levels.
+
+    Every index partition hands on k rows a query.  They first compete in
+    ``MERGE_PARTS`` parts a query, so the last window of a query never holds
+    more than ``MERGE_PARTS`` x k rows, however many partitions there are.
+    """
+    order = [F.col("score").desc(), F.col(id_col)]
+    part = local.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(MERGE_PARTS)))
+    part = part.withColumn("rank", F.row_number().over(Window.partitionBy(qid, "_part").orderBy(*order))).filter(F.col("rank") <= k)
+    best = part.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order)).cast("bigint"))
+    return best.filter(F.col("rank") <= k).select(qid, "rank", id_col, "score")
 
 
 # ----------------------------------------------------------------------- R3
@@ -150,74 +171,3 @@ def bm25_source_label(title="title") -> Column:
     """BM25 hits are labelled by their title (even ``''``), else a constant."""
     t = F.col(title) if isinstance(title, str) else title
     return F.coalesce(t, F.lit(BM25_SOURCE))
-
-
-# ----------------------------------------------------------------------- A1
-
-def _ann_block(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col: str, vec: str,
-               qid_name: str, qid_type: T.DataType, planes: np.ndarray) -> DataFrame:
-    sc = index.sparkSession.sparkContext
-    norms = np.linalg.norm(qmat, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        qn = np.where(norms > 0, qmat / norms, np.nan)
-    weights = 1 << np.arange(planes.shape[1], dtype=np.int64)
-    qcodes = np.stack([((qn @ planes[t].T) > 0).astype(np.int64) @ weights for t in range(planes.shape[0])], axis=1)
-    bq = sc.broadcast((list(qids), qn, qcodes, planes, weights))
-    schema = T.StructType([T.StructField(qid_name, qid_type), T.StructField(id_col, index.schema[id_col].dataType),
-                           T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        ids_q, qm, qc, pl, wts = bq.value
-        top = TopK(len(ids_q), k)
-        for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            if m.shape[1] != qm.shape[1]:
-                continue
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mn = m / np.where(n > 0, n, np.nan)
-            codes = np.stack([((mn @ pl[t].T) > 0).astype(np.int64) @ wts for t in range(pl.shape[0])], axis=1)
-            cand = (codes[:, None, :] == qc[None, :, :]).any(axis=2)        # rows x queries
-            scores = np.where(cand, mn @ qm.T + 1.0, np.nan)               # exact score for candidates
-            top.add(pdf[id_col].to_numpy(), round_score(scores))
-        yield topk_frame(list(top.rows()), ids_q, qid_name, id_col)
-
-    return index.select(id_col, vec).mapInPandas(run, schema)
-
-
-def ann_topk_batch(index: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "id", vec: str = "embedding",
-                   qid: str = "query_id", qvec: str = "query_vec", tables: int = 16, bits: int = 4,
-                   seed: int = 17) -> DataFrame:
-    """A1: approximate top-k by random-hyperplane LSH (cosine).
-
-    A row is a candidate for a query when their sign codes agree in at least
-    one of ``tables`` tables of ``bits`` hyperplanes; candidates get the exact
-    cosine + 1 score and the same per-partition top-k as ``semantic_topk_batch``.
-    Only the small hyperplane set and query block are broadcast.  Recall for
-    a neighbour at angle t is 1 - (1 - (1 - t/pi)**bits)**tables: more tables
-    or fewer bits raise recall and the share of rows re-scored.
-    """
-    qs = queries.select(qid, qvec).filter(F.col(qvec).isNotNull())
-    n = qs.count()
-    qid_type = qs.schema[qid].dataType
-    out_schema = T.StructType([T.StructField(qid, qid_type), T.StructField("rank", T.LongType()),
-                               T.StructField(id_col, index.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    if n == 0:
-        return index.sparkSession.createDataFrame([], out_schema)
-    dims = len(qs.first()[1])
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-    blocks = -(-n // MAX_QUERY_BLOCK)
-    parts = []
-    for b in range(blocks):
-        blk = qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
-        rows = blk.collect()        # at most ~MAX_QUERY_BLOCK vectors (checked above)
-        if rows:
-            qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-            parts.append(_ann_block(index, [r[0] for r in rows], qmat, k, id_col, vec, qid, qid_type, planes))
-    local = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    return (local.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
-            .select(qid, "rank", id_col, "score"))
