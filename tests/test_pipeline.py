@@ -29,10 +29,10 @@ def test_entry_schema(spark):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    import __spark_entry__ as E
+    from veritext.plans import oracle
 
-    no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql == {"answer_records", "ann_topk_batch"}
+    no_sql = set(catalogue.queries()) - set(oracle.oracle_sql())
+    assert no_sql == {"answer_records"}          # nested; answer_record_digests is its flat form
 
 
 def test_scan_pages_folder(spark):
@@ -74,5 +74,67 @@ def test_streaming_answers_and_log(spark):
     assert logged.count() == 5
     m = QL.log_metrics(logged).collect()
     assert all(r.confidence_text.endswith("%") and r.reranking in ("yes", "no") for r in m)
-    QL.log_clear(spark, log + "_cleared")
-    assert spark.read.parquet(log + "_cleared").count() == 0
+    assert all(r.chunks and r.context and r.pipeline_stats.final == len(r.chunks) for r in logged.collect())   # the whole result
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0     # nothing stays cached
+
+
+def test_log_append_view_clear(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="vt-log-"), "log")
+    records = catalogue.queries()["answer_records"](spark, SF_SMALL).limit(3)
+    QL.log_append(QL.log_entries(records, F.lit(1.5)), path)
+    QL.log_append(QL.log_entries(records, F.lit(0.25)), path)
+    log = spark.read.parquet(path)
+    view = QL.log_view(log).collect()
+    assert len(view) == 6 and [r.ts for r in view] == sorted((r.ts for r in view), reverse=True)
+    assert all(r.header == f"{r.ts:%H:%M:%S} - {r.question[:50]}..." for r in view)
+    assert {r.response_time_text for r in QL.log_metrics(log).collect()} == {"1.50s", "0.25s"}
+    QL.log_clear(spark, path)
+    assert spark.read.parquet(path).count() == 0 and set(spark.read.parquet(path).columns) == set(log.columns)
+
+
+def test_folder_to_documents(spark):
+    d = tempfile.mkdtemp(prefix="vt-folder-")
+    for name, body in (("one.html", "<h1>Ustawa</h1><p>tekst</p>"), ("two.htm", "<p>w&oacute;dki</p>"), ("bad.html", " \n")):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(body)
+    from veritext.operators import corpus as C
+
+    pages = S.scan_pages(spark, d)
+    docs = {r.doc_id: r for r in C.build_documents(pages).collect()}
+    assert set(docs) == {"one", "two"} and docs["two"].text == "wódki"
+    assert docs["one"].metadata.source_file == "one.html" and docs["one"].metadata.source_path.endswith("/one.html")
+    assert C.report_counts(pages, C.build_documents(pages)).first().asDict() == {"found": 3, "created": 2}
+
+
+def test_index_is_reused_and_follows_its_input(spark):
+    from veritext.plans import index as I
+
+    src = os.path.join(tempfile.mkdtemp(prefix="vt-index-"), "documents.parquet")
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(src)
+    load = lambda: I.stored_chunk_index(spark, src, spark.read.parquet(src), 16)
+    write([(1, "a b"), (2, "c")])
+    first = load()
+    I._BUILT.clear()                                    # as another session
+    path = I._index_path(spark, src, 16)
+    assert I._built(spark, path) and load().count() == first.count() == 2
+    write([(1, "a b"), (2, "c"), (3, "d")])
+    assert load().count() == 3
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from veritext import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

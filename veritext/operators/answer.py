@@ -112,15 +112,36 @@ def answer_records(questions: DataFrame, retrieved: DataFrame, final: DataFrame,
                    max_chars: int = MAX_CONTEXT_CHARS, qid: str = "question_id") -> DataFrame:
     """One row per question with chunks, context, prompt, confidence, stats."""
     chunk = F.struct("rank", "chunk_id", "content", "source", "retrieval_score", "rerank_score")
-    arr = final.groupBy(qid).agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
-    ctx = contexts(final, questions, max_chars, qid)
-    conf = confidence(final, questions, qid)
-    st = pipeline_stats(retrieved, final, questions, qid)
-    out = (questions.join(arr, qid, "left").join(ctx, qid, "left").join(conf, qid, "left").join(st, qid, "left"))
-    empty = F.col("retrieved") == 0
+    rows = fragments(final, qid)
+    fits = F.when(F.col("run_length") <= max_chars, F.struct("rank", "fragment"))
+    agg = rows.groupBy(qid).agg(                    # a question's final chunks, once
+        F.array_sort(F.collect_list(chunk)).alias("chunks"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(fits)), lambda s: s["fragment"]), FX.CONTEXT_JOINER).alias("context"),
+        F.try_divide(F.sum("score"), F.count("score") * F.max("score")).alias("_confidence"),
+        F.count(F.lit(1)).alias("final"), F.bool_or("reranking_used").alias("reranking_used"))
+    counts = retrieved.groupBy(qid).agg(F.count(F.lit(1)).alias("retrieved"))
+    out = questions.join(agg, qid, "left").join(counts, qid, "left")
+    none = F.col("retrieved").isNull()
+    context = F.coalesce("context", F.lit(""))
     return out.select(
         qid, "question",
-        F.when(empty, F.lit(NO_DOCUMENTS)).otherwise(F.lit(None).cast("string")).alias("answer"),
-        F.coalesce("chunks", F.array().cast(arr.schema["chunks"].dataType)).alias("chunks"),
-        "context", F.when(empty, F.lit(None).cast("string")).otherwise(prompt(F.col("context"), F.col("question"))).alias("prompt"),
-        "confidence", F.struct("retrieved", "final", "reranking_used").alias("pipeline_stats"))
+        F.when(none, F.lit(NO_DOCUMENTS)).otherwise(F.lit(None).cast("string")).alias("answer"),
+        F.coalesce("chunks", F.array().cast(agg.schema["chunks"].dataType)).alias("chunks"),
+        context.alias("context"),
+        F.when(none, F.lit(None).cast("string")).otherwise(prompt(context, F.col("question"))).alias("prompt"),
+        F.when(F.col("final").isNull(), F.lit(0.0)).otherwise(F.col("_confidence")).alias("confidence"),
+        F.struct(F.coalesce("retrieved", F.lit(0)).cast("bigint").alias("retrieved"),
+                 F.coalesce("final", F.lit(0)).cast("bigint").alias("final"),
+                 F.coalesce("reranking_used", F.lit(False)).alias("reranking_used")).alias("pipeline_stats"))
+
+
+def record_digests(records: DataFrame, qid: str = "question_id") -> DataFrame:
+    """Answer records as flat rows that other engines can recompute: digests
+    of the ordered chunks, context and prompt, and the rounded numbers."""
+    six = lambda x: F.coalesce(x.cast("decimal(18,6)").cast("string"), F.lit(""))
+    one = lambda c: F.concat_ws("|", c["rank"].cast("string"), c["chunk_id"], F.md5(c["content"]), c["source"],
+                                six(c["retrieval_score"]), six(F.round(c["rerank_score"], 6)))
+    return records.select(
+        qid, F.md5(F.array_join(F.transform("chunks", one), "\n")).alias("chunks_md5"), F.md5("context").alias("context_md5"),
+        F.md5("prompt").alias("prompt_md5"), F.round("confidence", 6).alias("confidence"), "pipeline_stats.retrieved",
+        "pipeline_stats.final", "pipeline_stats.reranking_used", (F.col("answer").isNotNull()).alias("no_documents"))

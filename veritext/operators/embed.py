@@ -14,12 +14,12 @@ own key instead of shifting later vectors.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritext.functions.text import py_strip
 
@@ -71,25 +71,19 @@ def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAUL
     """All input columns plus ``<out> array<double>, dimension int``.
 
     The text is stripped first; a blank text gets a null vector on its own
-    row.  Every input column is carried through, so no join back is needed.
+    row.  Only the text goes to the Python workers, and the result is marked
+    so that the planner never computes it twice for a filter above.
     """
-    src = df.withColumn("_t", py_strip(F.col(text)))
-    keep = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()), True),
-                                                    T.StructField("dimension", T.IntegerType(), True)])
-
-    def run(batches):
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = _encoder_for(spec)
-        for pdf in batches:
-            texts = pdf["_t"].fillna("")
+        for texts in batches:
             blank = (texts == "").to_numpy()
             vecs = enc.encode(texts.tolist()) if len(texts) else np.zeros((0, enc.dims))
-            res = pdf[keep].copy()
-            res[out] = [None if b else v for b, v in zip(blank, vecs)]
-            res["dimension"] = pd.array([None if b else enc.dims for b in blank], dtype="Int32")
-            yield res
+            yield pd.Series([None if b else v for b, v in zip(blank, vecs)], dtype=object)
 
-    return src.mapInPandas(run, schema)
+    vector = vectors.asNondeterministic()(F.coalesce(py_strip(F.col(text)), F.lit("")))
+    return df.withColumn(out, vector).withColumn("dimension", F.when(F.col(out).isNotNull(), F.size(out)))
 
 
 def embed_distinct(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)),
@@ -116,12 +110,6 @@ def validate_vectors(df: DataFrame, col: str = "embedding", dims: int = DEFAULT_
     return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def index_counts(validated: DataFrame) -> DataFrame:
-    """``success, failed`` row counts of a validated vector table."""
-    return validated.agg(F.count_if(F.col("valid")).alias("success"),
-                         F.count_if(~F.col("valid")).alias("failed"))
-
-
 def rebuild_index(validated: DataFrame, path: str) -> DataFrame:
     """Replace the index at ``path`` with the valid rows; return counts.
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritext.functions.text import tokens
+from veritext.functions.text import py_strip, tokens
 
 # Phrases per block: the block's anchor tokens become one literal array in
 # the plan and the phrase rows a broadcast, so both stay small.
@@ -75,7 +75,7 @@ def phrase_counts_batch(docs: DataFrame, phrases: DataFrame, phrase_id: str = "p
                         content: str = "content") -> DataFrame:
     """``phrase_id, document, count`` for a table of phrases."""
     ph = (phrases.select(F.col(phrase_id).alias("phrase_id"), F.col(phrase).alias("phrase"))
-          .filter(F.trim(F.col("phrase")) != "")
+          .filter(py_strip("phrase") != "")
           .withColumn("p_lc", F.lower("phrase"))
           .withColumn("p_tok", tokens(F.col("phrase")))
           .filter(F.size("p_tok") > 0)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from veritext import fixed as FX
 
 HEADER_CHARS = FX.HEADER_CHARS
-LOG_SCHEMA = ("question_id bigint, question string, answer string, confidence double, "
-              "reranking_used boolean, response_time double, ts timestamp")
+CHUNK = "struct<rank:bigint,chunk_id:string,content:string,source:string,retrieval_score:double,rerank_score:double>"
+LOG_SCHEMA = (f"question_id bigint, question string, answer string, confidence double, reranking_used boolean, "
+              f"response_time double, ts timestamp, chunks array<{CHUNK}>, context string, "
+              f"pipeline_stats struct<retrieved:bigint,final:bigint,reranking_used:boolean>")
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
@@ -27,12 +29,13 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def log_entries(records: DataFrame, response_time: Column | None = None) -> DataFrame:
-    """Answer records shaped as log rows, stamped with the current time."""
+    """Answer records with their whole result as log rows, stamped with the current time."""
     return records.select(
         "question_id", "question", "answer", "confidence",
         F.col("pipeline_stats.reranking_used").alias("reranking_used"),
         (response_time if response_time is not None else F.lit(None).cast("double")).alias("response_time"),
-        F.current_timestamp().alias("ts"))
+        F.current_timestamp().alias("ts"),
+        F.col("chunks").cast(f"array<{CHUNK}>").alias("chunks"), "context", "pipeline_stats")
 
 
 def log_append(entries: DataFrame, path: str) -> None:
@@ -51,8 +54,9 @@ def header(question: Column, when: Column | None = None) -> Column:
 
 
 def log_view(log: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """L2: newest first, with a header of time and the question's first characters."""
-    ts = F.date_format("ts", "HH:mm:ss")
+    """L2: newest first (or in ``order``), with a header of the time, where the
+    log has one, and the question's first characters."""
+    ts = F.date_format("ts", "HH:mm:ss") if "ts" in log.columns else None
     return (log.select("*", header(F.col("question"), ts).alias("header"))
             .orderBy(*(order or [F.col("ts").desc()])))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritext import fixed as FX
-from veritext.functions.text import tokens
+from veritext.functions.text import py_strip, tokens
 
 MAX_PAIR_TOKENS = FX.MAX_PAIR_TOKENS
 
@@ -48,7 +48,7 @@ def rerank_scores(pairs: DataFrame, question: str = "question", content: str = "
     ``scorer``: ``None`` for the built-in logit, or ``(factory, args)`` for an
     object with ``score(questions: list[str], docs: list[str]) -> ndarray``.
     """
-    ok = F.col(question).isNotNull() & (F.trim(F.col(question)) != "")
+    ok = F.col(question).isNotNull() & (py_strip(question) != "")
     if scorer is None:
         # Token arrays are projected once (not re-derived inside the score),
         # and the "was scored" flag is a cheap column that later filters use.
@@ -103,8 +103,12 @@ def final_chunks(scored: DataFrame, k: int = 3, use_reranking: bool = True, qid:
     """R8 where the question was reranked, R9 elsewhere; adds ``reranking_used``."""
     if not use_reranking:
         return rerank_fallback(scored.drop("rerank_score"), k, qid).withColumn("reranking_used", F.lit(False))
-    top = rerank_topk(scored, k, qid).withColumn("reranking_used", F.lit(True))
-    reranked = top.select(qid).distinct()
-    rest = scored.join(reranked, qid, "left_anti").drop("rerank_score")
-    fb = rerank_fallback(rest, k, qid).withColumn("reranking_used", F.lit(False))
-    return top.unionByName(fb)
+    # One window serves both: a question's scored rows come first, by score;
+    # where none was scored, the order is that of retrieval.
+    flag = F.col("reranked") if "reranked" in scored.columns else F.col("rerank_score").isNotNull()
+    rows = scored.withColumn("_scored", F.coalesce(flag, F.lit(False)))
+    best = Window.partitionBy(qid).orderBy(F.col("_scored").desc(), F.when(F.col("_scored"), F.col("rerank_score")).desc_nulls_last(), "retrieval_rank")
+    rows = rows.withColumn("rank", F.row_number().over(best).cast("bigint")).withColumn(
+        "reranking_used", F.max("_scored").over(Window.partitionBy(qid)))
+    kept = (F.col("rank") <= k) & (F.col("_scored") == F.col("reranking_used"))
+    return rows.filter(kept).withColumn("rerank_score", F.when(F.col("reranking_used"), F.col("rerank_score"))).drop("_scored")

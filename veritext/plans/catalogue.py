@@ -21,7 +21,7 @@ from veritext.operators import retrieve as R
 from veritext.plans import qa
 from veritext.plans.index import build_chunk_index, stored_chunk_index, stored_term_tables
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
-from veritext.session import scratch_path
+from veritext.session import scratch_path, side, stored
 from veritext.sources.tables import questions
 from veritext.plans.oracle import PHRASE
 from veritext.sources.tables import phrase_documents, table
@@ -81,6 +81,10 @@ def q_document_report(spark, d):
     return C.document_report(C.build_documents(_pages(spark, d)))
 
 
+def q_document_report_counts(spark, d):
+    return C.report_counts(_pages(spark, d), C.build_documents(_pages(spark, d)))
+
+
 def q_text_corpus_winners(spark, d):
     return C.text_corpus(_pages(spark, d)).select("file_name", "page_id", F.md5("text").alias("text_md5"))
 
@@ -90,7 +94,35 @@ def q_page_quarantine_counts(spark, d):
 
 
 def _doc_chunks(spark, d):
-    return C.split_chunks(table(spark, d, "documents"))
+    return C.split_chunks(table(spark, d, "documents"), regroup=True)
+
+
+def _page_documents(spark, d):
+    return C.build_documents(_pages(spark, d)).select("doc_id", "text", F.col("metadata.title").alias("title"))
+
+
+def q_page_chunks(spark, d):
+    """Pages to titled chunks, as the index holds them."""
+    chunks = C.split_chunks(_page_documents(spark, d), title=F.col("title"), regroup=True)
+    return chunks.select("doc_id", "pos", "chunk_id", "title", F.md5("text").alias("text_md5"))
+
+
+def _page_index(spark, d):
+    return stored_chunk_index(spark, f"{d}/pages.parquet", _page_documents(spark, d), DIMS, title="title")
+
+
+def q_page_bm25_topk(spark, d):
+    """Pages -> documents -> chunks -> index -> BM25."""
+    index = _page_index(spark, d)
+    stats, _ = stored_term_tables(spark, f"{d}/pages.parquet", _page_documents(spark, d), DIMS, title="title")
+    return L.bm25_topk(index, L.query_weights(questions(table(spark, d, "benchmark"))), K, id_col="chunk_id", stored_stats=stats)
+
+
+def q_page_source_labels(spark, d):
+    """BM25 labels of the chunks found: their pages' titles."""
+    hits = stored(q_page_bm25_topk(spark, d), "page-hits")
+    rows = _page_index(spark, d).select("chunk_id", "title").join(side(hits), "chunk_id")
+    return rows.select("question_id", "rank", "chunk_id", R.bm25_source_label("title").alias("source"))
 
 
 def q_document_chunks(spark, d):
@@ -141,11 +173,6 @@ def q_semantic_topk_batch(spark, d):
     return R.semantic_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
 
 
-def q_ann_topk_batch(spark, d):
-    emb = table(spark, d, "embeddings")
-    return R.ann_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
-
-
 def _chunk_index(spark, d):
     return stored_chunk_index(spark, f"{d}/documents.parquet", table(spark, d, "documents"), DIMS)
 
@@ -239,6 +266,18 @@ def q_answer_records(spark, d):
     return _qa(spark, d)["records"]
 
 
+def q_answer_record_digests(spark, d):
+    """The flagship's rows in a form that SQL can recompute."""
+    return A.record_digests(_qa(spark, d)["records"])
+
+
+def q_retrieval_route_fallback(spark, d):
+    """A question encoder whose vectors do not fit the index: BM25 answers all."""
+    qs = questions(table(spark, d, "benchmark"))
+    cfg = qa.QAConfig(retrieval_top_k=K, dims=DIMS, encoder=(E.HashingEncoder, (INDEX_DIMS,)))
+    return qa.route(_chunk_index(spark, d), qs, cfg, lexical=_term_tables(spark, d))
+
+
 def q_retrieval_route(spark, d):
     r = _qa(spark, d)["retrieved"]
     return r.groupBy("question_id", "method").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -263,7 +302,7 @@ def q_fuzzy_terms(spark, d):
 def q_bm25_fuzzy_topk(spark, d):
     qs = questions(table(spark, d, "benchmark"))
     stats, variants = _term_tables(spark, d)
-    fz = L.fuzzy_terms(L.question_terms(qs), variants=variants).persist()
+    fz = stored(L.fuzzy_terms(L.question_terms(qs), variants=variants), "fuzzy-terms")
     return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id",
                        stored_stats=stats)
 
@@ -275,12 +314,13 @@ def q_log_pairs(spark, d):
 
 def q_log_view(spark, d):
     p = QL.conversation_pairs(table(spark, d, "conversations"))
-    return p.select("conv_id", "turn", QL.header(F.col("question")).alias("header")).orderBy(
-        F.col("conv_id").desc(), F.col("turn").desc())
+    return QL.log_view(p, [F.col("conv_id").desc(), F.col("turn").desc()]).select("conv_id", "turn", "header")
 
 
 def q_log_metrics(spark, d):
-    return QL.log_metrics(QL.log_entries(_qa(spark, d)["records"]))
+    # a response time that follows from the question, so that SQL can tell it
+    seconds = F.length("question") / 7
+    return QL.log_metrics(QL.log_entries(_qa(spark, d)["records"], seconds))
 
 
 def flagship(spark, d):
@@ -303,6 +343,12 @@ def queries() -> dict[str, Query]:
         "prompts": q_prompts,
         "source_listing": q_source_listing,
         "answer_records": q_answer_records,
+        "answer_record_digests": q_answer_record_digests,
+        "retrieval_route_fallback": q_retrieval_route_fallback,
+        "page_chunks": q_page_chunks,
+        "page_bm25_topk": q_page_bm25_topk,
+        "page_source_labels": q_page_source_labels,
+        "document_report_counts": q_document_report_counts,
         "retrieval_route": q_retrieval_route,
         "bm25_topk": q_bm25_topk,
         "fuzzy_terms": q_fuzzy_terms,
@@ -313,7 +359,6 @@ def queries() -> dict[str, Query]:
         "index_rebuild_counts": q_index_rebuild_counts,
         "semantic_topk": q_semantic_topk,
         "semantic_topk_batch": q_semantic_topk_batch,
-        "ann_topk_batch": q_ann_topk_batch,
         "chunk_semantic_topk": q_chunk_semantic_topk,
         "sparse_semantic_topk": q_sparse_semantic_topk,
         "source_labels": q_source_labels,

@@ -13,6 +13,7 @@ import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
@@ -30,18 +31,15 @@ def _with_terms(chunks: DataFrame) -> DataFrame:
     return L.with_term_counts(chunks, "text")
 
 
-def chunk_index(documents: DataFrame, dims: int = E.DEFAULT_DIMS, title=None) -> DataFrame:
-    """Chunked, embedded, validated index rows (invalid vectors dropped)."""
-    chunks = _with_terms(C.split_chunks(documents, title=title))
-    vec = E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,)))
-    return E.validate_vectors(vec, "embedding", dims).filter("valid").select(*INDEX_COLUMNS)
+def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIMS, title: str | None = None) -> DataFrame:
+    """Build and write the index; returns ``success, failed`` counts.
 
-
-def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIMS) -> DataFrame:
-    """Build and write the index; returns ``success, failed`` counts."""
-    chunks = _with_terms(C.split_chunks(documents))
+    The text is embedded first, so that only it travels to the Python
+    workers; the term columns are added to the validated rows.
+    """
+    chunks = C.split_chunks(documents, title=F.col(title) if title else None, regroup=True)
     vec = E.validate_vectors(E.embed_texts(chunks, "text", (E.HashingEncoder, (dims,))), "embedding", dims)
-    return E.rebuild_index(vec.select(*INDEX_COLUMNS, "valid", "reason"), path)
+    return E.rebuild_index(_with_terms(vec).select(*INDEX_COLUMNS, "valid", "reason"), path)
 
 
 def build_term_tables(index: DataFrame, path: str) -> None:
@@ -55,26 +53,38 @@ def build_term_tables(index: DataFrame, path: str) -> None:
 
 
 def _index_path(spark: SparkSession, documents_path: str, dims: int) -> str:
-    key = hashlib.sha1(f"{documents_path}|{dims}".encode()).hexdigest()[:12]
+    """Where the index of an input lies: the name holds the input files with
+    their sizes and times, so a changed input gets an index of its own."""
+    files = spark.read.format("binaryFile").load(documents_path).select("path", "length", "modificationTime")
+    stamp = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()   # bytes are not read
+    key = hashlib.sha1(f"{documents_path}|{dims}|{tuple(stamp)}".encode()).hexdigest()[:12]
     return scratch_path(spark, f"chunk_index_{key}")
 
 
+def _built(spark: SparkSession, path: str) -> bool:
+    """Whether a session has finished this index (the marker is written last)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_done/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def stored_chunk_index(spark: SparkSession, documents_path: str, documents: DataFrame,
-                       dims: int = E.DEFAULT_DIMS) -> DataFrame:
-    """The index for ``documents_path``, built on first use in this session."""
+                       dims: int = E.DEFAULT_DIMS, title: str | None = None) -> DataFrame:
+    """The index for ``documents_path``, built unless this or an earlier
+    session with the same checkpoint folder has built it."""
     path = _index_path(spark, documents_path, dims)
     with _LOCK:
-        if path not in _BUILT:
-            build_chunk_index(documents, path, dims)
+        if path not in _BUILT and not _built(spark, path):
+            build_chunk_index(documents, path, dims, title)
             build_term_tables(spark.read.parquet(path), path + "_terms")
-            _BUILT.add(path)
+            spark.range(1).select(F.lit("done").alias("value")).write.mode("overwrite").text(f"{path}_done")
+        _BUILT.add(path)
     return spark.read.parquet(path)
 
 
 def stored_term_tables(spark: SparkSession, documents_path: str, documents: DataFrame,
-                       dims: int = E.DEFAULT_DIMS):
+                       dims: int = E.DEFAULT_DIMS, title: str | None = None):
     """``(stats, df), variants`` of the stored index (built with it)."""
-    stored_chunk_index(spark, documents_path, documents, dims)
+    stored_chunk_index(spark, documents_path, documents, dims, title)
     base = _index_path(spark, documents_path, dims) + "_terms"
     return ((spark.read.parquet(f"{base}/stats"), spark.read.parquet(f"{base}/df")),
             spark.read.parquet(f"{base}/variants"))

@@ -4,17 +4,16 @@ questions -> embed -> route (vector top-K, or BM25 for questions without a
 usable vector: R6) -> fetch chunk rows -> rerank -> final top-k ->
 context / confidence / stats / prompt -> one record per question.
 
-The retrieval output is small (questions x K rows); it is persisted once and
-joined back to the index through a broadcast whose row count is checked
-first (a shuffle join beyond the bound).  All later steps are keyed by
-question_id.
+The retrieval output is small (questions x K rows); it is written once to the
+shared folder and joined back to the index, as a broadcast if its size is
+within the bound, else by a shuffle.  All later steps are keyed by
+question_id, and nothing stays cached.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +24,7 @@ from veritext.operators import lexical as L
 from veritext.operators import rerank as RR
 from veritext.operators import retrieve as R
 from veritext.functions.text import tokens
-
-BROADCAST_ROWS = 5_000_000
-
+from veritext.session import side, stored
 
 @dataclass
 class QAConfig:
@@ -44,20 +41,17 @@ class QAConfig:
         return self.encoder or (E.HashingEncoder, (self.dims,))
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if its row count is within ``max_rows``."""
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
-
-
 def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -> DataFrame:
     """R2 + R4 + R6: ``question_id, retrieval_rank, chunk_id, retrieval_score, method``.
 
     ``lexical``: the stored ``((stats, df), variants)`` of the index, if any;
     without it the BM25 fallback derives them from the index.
     """
-    qv = E.embed_texts(questions, "question", cfg.encoder_spec(), out="query_vec")
-    qv = E.validate_vectors(qv, "query_vec", cfg.dims)
+    # The encoder runs once.  A vector of another size than the index's is as
+    # unusable as none: the semantic search fails and BM25 takes over.
+    first = index.select(F.size("embedding").alias("d")).first()
+    qv = stored(E.embed_texts(questions, "question", cfg.encoder_spec(), out="query_vec"), "question-vectors")
+    qv = E.validate_vectors(qv, "query_vec", first["d"] if first else cfg.dims)
     sem_q = qv.filter("valid").select("question_id", "query_vec")
     sem = R.semantic_topk_batch(index, sem_q, cfg.retrieval_top_k, id_col="chunk_id", qid="question_id")
     sem = sem.select("question_id", F.col("rank").alias("retrieval_rank"), "chunk_id",
@@ -67,7 +61,7 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -
         return sem
     stats, variants = lexical if lexical is not None else (None, None)
     vocab = None if variants is not None else L.vocabulary(index)
-    fuzzy = L.fuzzy_terms(L.question_terms(rest), vocab, variants=variants).persist(StorageLevel.MEMORY_AND_DISK)
+    fuzzy = stored(L.fuzzy_terms(L.question_terms(rest), vocab, variants=variants), "fuzzy-terms")
     w = L.query_weights(rest, fuzzy=fuzzy)
     lex = L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id", stored_stats=stats)
     lex = lex.select("question_id", F.col("rank").alias("retrieval_rank"), "chunk_id",
@@ -76,10 +70,9 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -
 
 
 def retrieve(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -> DataFrame:
-    """Retrieved rows with content and source label, persisted (reused below)."""
-    hits = route(index, questions, cfg, lexical).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = join_checked(index.select("chunk_id", "text", "title", "article", "paragraph", "id"),
-                        hits, "chunk_id")
+    """Retrieved rows with content and source label."""
+    hits = side(stored(route(index, questions, cfg, lexical), "hits"), row_bytes=200)
+    rows = index.select("chunk_id", "text", "title", "article", "paragraph", "id").join(hits, "chunk_id")
     src = F.when(F.col("method") == "bm25", R.bm25_source_label("title")).otherwise(R.source_label())
     return rows.select("question_id", "retrieval_rank", "chunk_id", F.col("text").alias("content"),
                        src.alias("source"), "retrieval_score", "method")
@@ -89,14 +82,15 @@ def answer(index: DataFrame, questions: DataFrame, cfg: QAConfig | None = None,
            lexical=None) -> dict[str, DataFrame]:
     """All stages of the answer pipeline, by name."""
     cfg = cfg or QAConfig()
-    retrieved = retrieve(index, questions, cfg, lexical).persist(StorageLevel.MEMORY_AND_DISK)
+    retrieved = stored(retrieve(index, questions, cfg, lexical), "retrieved")
     qtok = questions.select("question_id", "question",
                             F.array_distinct(tokens(F.col("question"))).alias("q_tokens"))
     pairs = retrieved.join(qtok, "question_id")       # question tokens derived once per question
     if cfg.use_reranking:
         scored = RR.rerank_scores(pairs, scorer=cfg.scorer)
+        scored = scored if cfg.scorer is None else stored(scored, "scored")       # a model runs once
     else:
         scored = pairs.drop("q_tokens").withColumn("rerank_score", F.lit(None).cast("double"))
-    final = RR.final_chunks(scored, cfg.rerank_top_k, cfg.use_reranking).persist(StorageLevel.MEMORY_AND_DISK)
+    final = stored(RR.final_chunks(scored, cfg.rerank_top_k, cfg.use_reranking), "final")
     records = A.answer_records(questions, retrieved, final, cfg.max_context_length)
     return {"retrieved": retrieved, "scored": scored, "final": final, "records": records}
