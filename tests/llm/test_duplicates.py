@@ -11,9 +11,6 @@ from hypothesis import strategies as st
 from tests.conftest import SF_SMALL
 from veritext.llm import candidates, components, lines, neardup, queries
 
-SPACE = " \t\n\x0b\f\r"
-
-
 class Union:
     def __init__(self, nodes):
         self.up = {n: n for n in nodes}
@@ -120,7 +117,9 @@ def test_near_duplicates_of_driver_documents(spark):
     assert {r.doc_id: r.component_id for r in queries.op6_near_duplicates(spark, SF_SMALL).collect()} == right
 
 
-LINE = re.compile(rf"(?s)(?:(?<![^{SPACE}])|(?<=[^{SPACE}]{{12}}))(?=(.{{1,12}}))[^{SPACE}]")
+def line_shingles(norm):
+    words = norm.split(" ")
+    return frozenset([" ".join(words[i:i + 4])[:12] for i in range(len(words))] + [w[p:p + 12] for w in words for p in range(1, len(w) - 11)])
 
 
 def keepers(docs, percent=80):
@@ -131,7 +130,7 @@ def keepers(docs, percent=80):
             norm = line.strip(" \t\r").lower()
             if norm:
                 first.setdefault(norm, (key, i))
-    sets = {n: frozenset(LINE.findall(n)) for n in first}
+    sets = {n: line_shingles(n) for n in first}
     label = close(sets, jaccard(percent))
     head = {}
     for n, c in label.items():
