@@ -159,6 +159,7 @@ def test_fingerprint_edits_odd_tables(spark):
     assert rows([]) == []
     assert rows([(5, "abcdef")]) == [("5", "abcdab")]
     assert rows([(None, "abcdef"), (1, "xyz")]) == [("1", "xya"), ("None", "abcdxy")]
+    assert [k for k, _ in rows([(None, "a"), (2 ** 60 + 1, "b")])] == [str(2 ** 60 + 1), "None"]
     assert rows([(1, "bbb"), (1, "aaa"), (2, "ccc")]) == [("1", "aab"), ("1", "bbc"), ("2", "cca")]
 
 

@@ -20,7 +20,7 @@ def pages(spark):
     long = "x" * 300_000
     rows = [(1, "https://a.example/", "<p>one</p>", 7, "d"), (2, "https://b.example/\r\nX: y", "<p>one</p>", 7, "d"), (3, None, None, 7, None),
             (4, "u", "", 7, "d"), (5, "u", "żółć 漢", 7, "d"), (6, "u", long, 7, "d"), (7, "v", long, 7, "d"), (7, "v", long, 7, "d"),
-            (None, "u", "<p>one</p>", 7, "d"), (None, "u", "no id", 7, "d")]
+            (2 ** 60 + 1, "u", "big id", 7, "d"), (2 ** 60 + 3, "u", "big id", 7, "d"), (None, "u", "<p>one</p>", 7, "d"), (None, "u", "no id", 7, "d")]
     return spark.createDataFrame(rows, PAGES)
 
 

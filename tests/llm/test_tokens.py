@@ -23,7 +23,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, 1, "n") for i, t in enumerate(TEXTS)] + [(3, " a", 1, "n"), (None, "no id here", 1, "n")]
+    rows = [(i, t, 1, "n") for i, t in enumerate(TEXTS)] + [(3, " a", 1, "n"), (None, "no id here", 1, "n"), (2 ** 60 + 1, "big id", 1, "n")]
     return spark.createDataFrame(rows, "doc_id long, text string, size long, ids string")
 
 

@@ -172,14 +172,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .select("id", "text", "to.bucket", "to.halo"))
     placed = (sent.repartitionByRange(n, F.col("bucket"))
               .sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), "text"))
-    out = (T.StructType().add("id", "long").add("n_chars", "long").add("edited_text", "string").add("fingerprint", "string")
+    placed = placed.withColumn("id", F.col("id").cast("string"))      # beside a null, pandas would make numbers floats
+    out = (T.StructType().add("id", "string").add("n_chars", "long").add("edited_text", "string").add("fingerprint", "string")
            .add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None                                        # the document whose next is the coming row
         for pdf in batches:
             done = []
-            for key, text, bucket, halo in zip(pdf["id"].astype(object), pdf["text"], pdf["bucket"], pdf["halo"], strict=True):
+            for key, text, bucket, halo in zip(pdf["id"], pdf["text"], pdf["bucket"], pdf["halo"], strict=True):
                 if halo and held is None:
                     continue
                 codes = code_points(text)
@@ -193,8 +194,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     e_print = edited.fingerprint()
                     done.append((h_key, h.n, h_text[:h.n - swap] + text[:swap], h_print, e_print,
                                  likeness(h_print, e_print), likeness(h_print, print_)))
-                held = None if halo else (None if pd.isna(key) else int(key), text, hashed, print_, bucket)
+                held = None if halo else (key, text, hashed, print_, bucket)
             frame = pd.DataFrame(done, columns=out.names)
-            yield frame.astype({"id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+            yield frame.astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
 
-    return placed.mapInPandas(run, out).withColumnRenamed("id", id_col)
+    found = placed.mapInPandas(run, out)
+    return found.select(F.col("id").cast("long").alias(id_col), *found.columns[1:])

@@ -92,7 +92,7 @@ def agreement_floor(percent: int = SIMILAR_PERCENT, n: int = BANDS * ROWS) -> fl
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """id, n_shingles, set_key, signature of every row."""
-    out = (T.StructType().add("id", docs.schema[id_col].dataType).add("n_shingles", "long").add("set_key", "binary")
+    out = (T.StructType().add("id", "string").add("n_shingles", "long").add("set_key", "binary")
            .add("signature", "binary"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +102,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                                 "signature": [signature(s).tobytes() if len(s) else None for s in sets]})
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, out)
+    # the id travels as a string: beside a null, pandas would make numbers floats
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, out)
+    return rows.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

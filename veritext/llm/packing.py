@@ -60,7 +60,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     A worker keeps one open bin a class, less than ``capacity`` ids each.
     """
     sizes, alike = class_sizes(capacity), pretokens.merges_alike(tokenizer_path)
-    out = (T.StructType().add("id", docs.schema[id_col].dataType).add("doc_tokens", "long").add("start", "long")
+    out = (T.StructType().add("id", "string").add("doc_tokens", "long").add("start", "long")
            .add("size", "long").add("ids", "binary").add("worker", "long").add("bin", "long").add("nth", "long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,12 +68,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
         end, filled, open_bins, rows = separator.to_bytes(4, "little"), {}, {}, []
         frame = lambda rows: pd.DataFrame(rows, columns=out.names).astype({"bin": "Int64"})
         for pdf in batches:
-            for key, text in zip(pdf["id"].astype(object), pdf["text"], strict=True):
+            for key, text in zip(pdf["id"], pdf["text"], strict=True):
                 ids = encoder.ids_of(text).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 for start, size in cut(n, capacity, sizes):
                     pieces = open_bins.setdefault(size, [])
-                    pieces.append((None if pd.isna(key) else key, n, start, size, ids[4 * start:4 * (start + size)]))
+                    pieces.append((key, n, start, size, ids[4 * start:4 * (start + size)]))
                     if len(pieces) == capacity // size:
                         number = filled.get(size, 0)
                         rows += [(*p, worker, number, i) for i, p in enumerate(pieces)]
@@ -85,7 +85,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
         rows += [(*p, worker, None, i) for pieces in open_bins.values() for i, p in enumerate(pieces)]
         yield frame(rows)
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, out)
+    # the id travels as a string: beside a null, pandas would make numbers floats
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, out)
+    return rows.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 #: Sequence ids: worker, class and bin share 63 bits; bins of leftovers have the top bit set.

@@ -131,22 +131,22 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
         archive = None
         for pdf in batches:
             index = []
-            for r in pdf.astype({"id": object, "first": object}).itertuples(index=False):
+            for r in pdf.itertuples(index=False):
                 if archive is None or archive.at >= archive_bytes:
                     if archive is not None:
                         archive.out.close()
                     archive = _Archive(base, TaskContext.get().partitionId())
-                first = None if pd.isna(r.first) else r.first
-                kind, digest = "response" if first is None else "revisit", base64.b32encode(bytes.fromhex(r.digest)).decode()
-                record_id = None if pd.isna(r.id) else r.id
-                record = _record(kind, record_id, r.url, digest, r.n_bytes, r.payload.encode(), first, date)
-                index.append((archive.name, *archive.add(record), r.url, digest, kind, _name(record_id)))
+                kind, digest = "response" if r.first is None else "revisit", base64.b32encode(bytes.fromhex(r.digest)).decode()
+                record = _record(kind, r.id, r.url, digest, r.n_bytes, r.payload.encode(), r.first, date)
+                index.append((archive.name, *archive.add(record), r.url, digest, kind, _name(r.id)))
             yield pd.DataFrame(index, columns=INDEX.names)
         if archive is not None:
             archive.out.close()
 
-    text = "id", "url", F.when(F.col("first").isNull(), F.col("payload")).otherwise("").alias("payload"), "n_bytes", "digest", "first"
-    return stored(roles.select(*text).mapInPandas(write, INDEX), "warc-index")
+    # ids travel as strings: beside a null, pandas would make numbers floats
+    sent = roles.select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("first").isNull(), F.col("payload")).otherwise("").alias("payload"),
+                        "n_bytes", "digest", F.col("first").cast("string").alias("first"))
+    return stored(sent.mapInPandas(write, INDEX), "warc-index")
 
 
 READ = (T.StructType().add("record_id", "string").add("record_type", "string").add("url", "string").add("digest", "string")
