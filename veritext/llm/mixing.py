@@ -38,11 +38,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), marks, " " * len(marks)), "\\s+"), lambda w: w != "")
 
 
-def bag_of(text: Column) -> Column:
-    """The distinct buckets of a text's words and runs of marks."""
-    runs = F.filter(F.array_distinct(F.split(text, "[\\p{L}\\p{N}\\s]+")), lambda r: r != "")
+def _bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n words, bag): bag is the distinct buckets of words and runs of marks."""
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("id", words_of(text).alias("words"), F.array_distinct(F.split(text, "[\\p{L}\\p{N}\\s]+")).alias("runs"))
     bucket = lambda kind: lambda x: F.pmod(F.xxhash64(F.lit(kind), x), F.lit(BUCKETS))
-    return F.array_distinct(F.concat(F.transform(words_of(text), bucket("word")), F.transform(runs, bucket("marks"))))
+    marks = F.transform(F.array_remove("runs", ""), bucket("marks"))
+    return rows.select("id", F.size("words").cast("long").alias("n"), F.array_distinct(F.concat(F.transform("words", bucket("word")), marks)).alias("bag"))
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, label_col: str,
@@ -53,8 +56,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("domain"))
     known = known.filter(F.col("domain").isin(domains) & F.col("id").isNotNull()).dropDuplicates(["id"])
     sample = known.sample(min(1.0, sample_docs / max(1, known.count())), seed=17)              # bounded by its parameter
-    bags = docs.select(F.col(id_col).alias("id"), bag_of(text_or_empty(text_col)).alias("bag")).join(F.broadcast(sample), "id")
-    bags = stored(bags.dropDuplicates(["domain", "bag"]), "mix-bags")
+    texts = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample.withColumnRenamed("id", id_col).drop("domain")), id_col, "left_semi")
+    bags = _bags(stored(texts, "mix-sample"), id_col, text_col).join(F.broadcast(sample), "id")
+    bags = stored(bags.select("domain", "bag").dropDuplicates(["domain", "bag"]), "mix-bags")
     sizes = {r["domain"]: r["n"] for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}   # one row a domain
     found = [d for d in domains if sizes.get(d)]
     total = max(1, sum(sizes.values()))
@@ -79,10 +83,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
 def posteriors(docs: DataFrame, weights: DataFrame, start: list[float], id_col: str, text_col: str) -> DataFrame:
     """(id, tokens, p array): every document's words and domain posterior."""
     k = range(len(start))
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    scores = (rows.select("id", F.explode(bag_of(F.col("text"))).alias("bucket")).join(F.broadcast(weights), "bucket").groupBy("id")
+    telling = sorted(r["bucket"] for r in weights.select("bucket").collect())                  # at most BUCKETS rows
+    wanted = F.split(F.lit(",".join(map(str, telling))), ",").cast("array<bigint>") if telling else F.array().cast("array<bigint>")
+    # one pass over the texts leaves their word counts and the few telling buckets
+    rows = stored(_bags(docs, id_col, text_col).select("id", "n", F.array_intersect("bag", wanted).alias("hits")), "mix-hits")
+    scores = (rows.select("id", F.explode("hits").alias("bucket")).join(F.broadcast(weights), "bucket").groupBy("id")
               .agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in k]))                              # at most BUCKETS rows are broadcast
-    tokens = rows.select("id", F.size(words_of(F.col("text"))).cast("long").alias("n")).groupBy("id").agg(F.sum("n").alias("tokens"))
+    tokens = rows.groupBy("id").agg(F.sum("n").alias("tokens"))
     joined = stored(tokens, "mix-tokens").join(stored(scores.withColumnRenamed("id", "s_id"), "mix-scores"), F.col("id").eqNullSafe(F.col("s_id")), "left")
     log = F.array(*[F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) + F.lit(start[i]) for i in k])
     odds = joined.select("id", "tokens", log.alias("log")).select("id", "tokens", F.transform("log", lambda x: F.exp(x - F.array_max("log"))).alias("odds"))
@@ -139,7 +146,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     weights, priors, found = fit_domains(docs, labelled, list(targets), id_col, text_col, label_col, sample_docs)
     if not found:
-        tokens = docs.select(F.col(id_col), F.size(words_of(text_or_empty(text_col))).cast("long").alias("n")).groupBy(id_col).agg(F.sum("n").alias("tokens"))
+        tokens = _bags(docs, id_col, text_col).groupBy(F.col("id").alias(id_col)).agg(F.sum("n").alias("tokens"))
         return tokens.select(id_col, "tokens", F.create_map().cast("map<string,double>").alias("p"), F.lit(1.0).alias("rate"))
     table = stored(posteriors(docs, weights, priors, id_col, text_col), "mix-posteriors")
     steps = fit_rates(table, [targets[d] for d in found], total)
