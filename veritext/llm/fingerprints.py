@@ -6,9 +6,12 @@ give the hash of any span, so spans of one text or of two are compared in
 constant time, and the longest common extension of two places is found by
 binary search.  Two bases make a false match unlikely (about 2^-62 a test).
 
-A fingerprint keeps the length, the two full hashes and the prefix hashes at
-the multiples of a power of two, 64 at most; the prefix hashes of a coarser
-step are among them, so fingerprints of texts of different lengths compare.
+A fingerprint keeps the length, the two full hashes, the prefix hashes (of both
+bases) at the multiples of a power of two, 64 at most, and a sample of the
+text's short windows.  The prefix hashes of a coarser step are among them, so
+fingerprints of texts of different lengths compare.  They tell which spans
+agree in place.  The windows are chosen by their content, so text that an edit
+has shifted, and text between scattered edits, is found again by them.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ P = (1 << 31) - 1
 BASES = (1_103_515_245, 69_069_069)
 #: Prefix hashes that a fingerprint holds at most.
 MARKS = 64
+#: Code points of a window, and windows that a fingerprint holds at most.
+WINDOW, WINDOWS = 12, 128
 
 _POWERS = np.ones((2, 1), "u8")
+_INVERSES = np.ones(1, "u8")
 
 
 def powers(n: int) -> np.ndarray:
@@ -40,6 +46,22 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def inverses(n: int) -> np.ndarray:
+    """B^0 .. B^-n at least, for the first base; kept and doubled when too short."""
+    global _INVERSES
+    while len(_INVERSES) <= n:
+        last = _INVERSES[-1] * np.uint64(pow(BASES[0], P - 2, P)) % P
+        _INVERSES = np.concatenate([_INVERSES, _INVERSES * last % P])
+    return _INVERSES
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed shuffle of the 64-bit numbers (the finisher of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8")
 
@@ -83,8 +105,29 @@ class PrefixHash:
 
     def fingerprint(self) -> str:
         step = step_of(self.n)
-        marks = self.h[0, step::step].astype(">u4").tobytes().hex()
-        return f"{self.n:x}.{int(self.h[0, -1]):08x}{int(self.h[1, -1]):08x}.{marks}"
+        marks = self.h[:, step::step].T.astype(">u4").tobytes().hex()
+        values, places = self.windows()
+        windows = values.astype(">u8").tobytes().hex() + (places // step).astype("u1").tobytes().hex()
+        return f"{self.n:x}.{int(self.h[0, -1]):08x}{int(self.h[1, -1]):08x}.{marks}.{windows}"
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ``WINDOWS`` least values of windows, ascending, and their places.
+
+        A value is a mix of the window's hash and of how many equal windows
+        come before it, so that repeated text counts as often as it is there.
+        """
+        n = max(0, self.n - WINDOW + 1)
+        own = (self.h[0, WINDOW:] + np.uint64(P) - self.h[0, :n]) % P * inverses(n)[:n] % P
+        order = np.argsort(own, kind="stable")
+        ranked = own[order]
+        index = np.arange(n)
+        first = np.ones(n, bool)
+        first[1:] = ranked[1:] != ranked[:-1]
+        earlier = index - np.maximum.accumulate(np.where(first, index, 0)) if n else index
+        values = mixed(ranked | earlier.astype("u8") << np.uint64(31))
+        least = np.argpartition(values, WINDOWS)[:WINDOWS] if n > WINDOWS else index
+        least = least[np.argsort(values[least])]
+        return values[least], order[least]
 
 
 def step_of(n: int) -> int:
@@ -95,33 +138,54 @@ def step_of(n: int) -> int:
     return step
 
 
+def _parsed(fingerprint: str) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
+    """Length, full hashes, marks (of both bases), window values and the spans that the windows begin in."""
+    n, full, marks, windows = fingerprint.split(".")
+    raw = bytes.fromhex(windows)
+    count = len(raw) // 9
+    return (int(n, 16), full, np.frombuffer(bytes.fromhex(marks), ">u4").astype("i8").reshape(-1, 2),
+            np.frombuffer(raw[:8 * count], ">u8"), np.frombuffer(raw[8 * count:], "u1").astype("i8"))
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that agrees in place, from fingerprints alone.
+    """Share of the longer text that is in the other too, from fingerprints alone.
 
     The common prefix is found by binary search over the marks; behind it,
     spans between neighbouring marks (and the last part of texts of equal
-    length) that agree count too.  Equal fingerprints: 1; an empty and a
-    filled text: 0.
+    length) that agree count too.  Of what does not agree in place, the share
+    is estimated by the sampled windows: exact but for the windows that an edit
+    cuts while a text has ``WINDOWS`` of them, else with a standard error of
+    0.04 at most.  Equal fingerprints: 1; an empty and a filled text: 0.
     """
     if a == b:
         return 1.0
-    (n, full_a, marks_a), (m, full_b, marks_b) = a.split("."), b.split(".")
-    n, m = int(n, 16), int(m, 16)
+    (n, full_a, marks_a, values_a, spans_a), (m, full_b, marks_b, values_b, spans_b) = _parsed(a), _parsed(b)
     if not n or not m:
         return 0.0
     step = max(step_of(n), step_of(m))
     count = min(n, m) // step
-    x, y = (np.concatenate([[0], np.frombuffer(bytes.fromhex(s), ">u4")[step // step_of(k) - 1::step // step_of(k)][:count]])
-            .astype("i8") for s, k in ((marks_a, n), (marks_b, m)))
+    x, y = (np.concatenate([np.zeros((1, 2), "i8"), marks[step // step_of(k) - 1::step // step_of(k)][:count]]) for marks, k in ((marks_a, n), (marks_b, m)))
     low, high = 0, count
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if x[mid] == y[mid] else (low, mid - 1)
-    same = low + int(np.count_nonzero((np.diff(x[low:]) - np.diff(y[low:])) % P == 0))
-    agreed = same * step
-    if n == m and count * step < n and (int(full_a[:8], 16) - x[-1] - int(full_b[:8], 16) + y[-1]) % P == 0:
+        low, high = (mid, high) if (x[mid] == y[mid]).all() else (low, mid - 1)
+    same = np.zeros(max(n, m) // step + 1, bool)           # by span; the last is the part behind all marks
+    same[:low] = True
+    same[low:count] = ((np.diff(x[low:], axis=0) - np.diff(y[low:], axis=0)) % P == 0).all(axis=1)
+    agreed = int(np.count_nonzero(same)) * step
+    ends = [np.array([int(f[:8], 16), int(f[8:], 16)]) - z[-1] for f, z in ((full_a, x), (full_b, y))]
+    if n == m and count * step < n and ((ends[0] - ends[1]) % P == 0).all():
+        same[count] = True
         agreed += n - count * step
-    return agreed / max(n, m)
+    rest_n, rest_m = n - agreed, m - agreed
+    bound = min((int(v[-1]) for v in (values_a, values_b) if len(v) == WINDOWS), default=(1 << 64) - 1)
+    left = [v[(v <= np.uint64(bound)) & ~same[spans // (step // step_of(k))]]
+            for v, spans, k in ((values_a, spans_a, n), (values_b, spans_b, m))]
+    common = len(np.intersect1d(*left, assume_unique=True))
+    every = len(left[0]) + len(left[1]) - common
+    if common:                                             # common / every is shared / (rest_n + rest_m - shared)
+        agreed += min(common / (every + common) * (rest_n + rest_m), rest_n, rest_m)
+    return min(agreed, max(n, m) - 1) / max(n, m)          # the texts differ somewhere
 
 
 def _buckets(docs: DataFrame, id_col: str, n: int) -> DataFrame:
