@@ -5,8 +5,9 @@ their element or class names as no article text (menus, adverts, forms ...)
 leave blank lines, as do the edges of containers.  The text lengths of the
 lines are summed over a sliding window: where a sum surges above a threshold
 the text begins, where the sum dives to zero it ends, and every line between
-is kept, however short.  Where the page marks its article, lines outside it
-have no length.
+is kept, however short.  Where the page marks its article, the mark bounds the
+text: all lines in it are kept and no others, unless the distribution has a
+span outside that holds much more text; then the mark is taken for no mark.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from veritext.llm.shared import text_or_empty
 WINDOW, SURGE = 3, 80
 #: Without a marked article, spans shorter than this share of the longest are sidebars and the like.
 SPAN_SHARE = 0.2
+#: A marked article is believed if its text, so many times, is not shorter than the longest span outside.
+MARK_WEIGHT = 2
 
 #: Element kinds of HTML, as words (fixed values of the standard).
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select".split())
@@ -97,35 +100,55 @@ class _Lines:
         self.parts, self.linked = [], 0
 
 
+class _Tags(list):
+    """The page's tags: (start, end, closing, name, source); a raw element is one tag up to its end."""
+
+    def __init__(self, page: str) -> None:
+        pos, size = 0, len(page)
+        self.unclosed: dict[str, list[int]] = {}           # by name, places of start tags without an end tag
+        while pos < size:
+            m = TOKEN.search(page, pos)
+            if not m:
+                break
+            pos = m.end()
+            closing, name, source = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            name = (name or "").lower()
+            if not closing and name in RAW and not source.endswith("/"):
+                close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, pos)
+                pos = close.end() if close else size
+            elif closing and self.unclosed.get(name):
+                self.unclosed[name].pop()
+            elif not closing and name and name not in VOID and not source.endswith("/"):
+                self.unclosed.setdefault(name, []).append(len(self))
+            self.append((m.start(), pos, closing, name, source))
+
+    def lacks_end(self, i: int) -> bool:
+        """Whether the end tag of tag i is missing, or may be as an element of its name around it has none."""
+        left = self.unclosed.get(self[i][3])
+        return bool(left) and left[0] <= i
+
+
 def lines_of(page: str) -> _Lines:
     """Strip the markup of a page."""
     out, at, links = _Lines(), 0, 0
-    skipped, depth = "", 0                  # the boilerplate element we are in, and how many of its name are open
+    skipped, depth, cut = "", 0, False      # the boilerplate element we are in, how many of its name are open, if its end is missing
     containers: list[str] = []              # open article and main elements
-    pos, size = 0, len(page)
-    while pos < size:
-        m = TOKEN.search(page, pos)
-        stop = m.start() if m else size
+    tags = _Tags(page)
+    for i, (start, end, closing, name, source) in enumerate(tags):
         if not skipped:
-            out.add(page[at:stop], links > 0)
-        if not m:
-            break
-        pos = at = m.end()
-        closing, name, source = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            out.add(page[at:start], links > 0)
+        at = end
         if not name:                        # comment, doctype
             continue
-        name = name.lower()
         if not closing and name in RAW and not source.endswith("/"):
-            close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, pos)
-            pos = at = close.end() if close else size
             if not skipped and name not in ("script", "style", "noscript", "template"):
                 out.end(bool(containers), gap=False)
             continue
         if name == "head":
-            skipped, depth = ("", 0) if closing else ("head", 1)
+            skipped, depth, cut = ("", 0, False) if closing else ("head", 1, True)
             continue
-        if skipped and not closing and (name == "body" and skipped == "head" or name in CONTAINERS and not containers):
-            skipped = ""                    # its end tag is missing
+        if skipped and not closing and (name == "body" and skipped == "head" or name in CONTAINERS and not containers and cut):
+            skipped = ""
         if skipped:
             if name == skipped and not source.endswith("/"):
                 depth += -1 if closing else 1
@@ -139,7 +162,7 @@ def lines_of(page: str) -> _Lines:
             out.parts.append(" ")
         elif not closing and name not in VOID and _is_boilerplate(name, source, bool(containers)):
             out.end(bool(containers), gap=not containers)
-            skipped, depth = name, 1
+            skipped, depth, cut = name, 1, tags.lacks_end(i)
         elif name in CONTAINERS:
             out.end(bool(containers), gap=True)
             if not closing:
@@ -150,6 +173,8 @@ def lines_of(page: str) -> _Lines:
         elif name in BLOCKS:
             links = 0
             out.end(bool(containers), gap=False)
+    if not skipped:
+        out.add(page[at:], links > 0)
     out.end(bool(containers))
     return out
 
@@ -173,8 +198,12 @@ def spans(lengths: list[int], surge: int = SURGE, window: int = WINDOW) -> list[
 def main_text(page: str) -> str:
     """The article's blocks, one a line."""
     lines = lines_of(page)
+    lengths = lines.lengths
     marked = any(x and t for x, t in zip(lines.inside, lines.texts, strict=True))
-    lengths = [n if x or not marked else 0 for n, x in zip(lines.lengths, lines.inside, strict=True)]
+    if marked:
+        outside = [0 if x else n for n, x in zip(lengths, lines.inside, strict=True)]
+        rival = max((sum(outside[a:b]) for a, b in spans(outside)), default=0)
+        marked = MARK_WEIGHT * (sum(lengths) - sum(outside)) >= rival
     if marked:                              # within the marked article a linked line is text as well
         lengths = [max(n, len(t)) if x else 0 for n, t, x in zip(lengths, lines.texts, lines.inside, strict=True)]
     found = spans(lengths) if not marked else spans(lengths, surge=1)
