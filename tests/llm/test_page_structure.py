@@ -21,3 +21,14 @@ def check(page, right):
 ])
 def test_marks_are_checked_against_the_text(page):
     check(page, [BODY])
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p>{BODY}</p></article><section class='comments'><article class='comment'><p>{BODY}</p></article></section>",
+    f"<article><p>{BODY}</p><article class='comment odd' id='comment-12'><p>I agree.</p></article></article>",
+    f"<main><article class='post has-comments'><p>{BODY}</p></article><div><article class='comment'><p>No.</p><article class='comment'><p>Yes.</p></article></article></div></main>",
+    f"<article><p>{BODY}</p></article><div class='sidebar'><article><p>Other.</p></article></div>",
+    f"<article><p>{BODY}</p></article><article id='comment-7'><p>I agree.</p></article>",
+])
+def test_comments_are_no_text(page):
+    check(page, [BODY])

@@ -43,6 +43,10 @@ NAMES = set("ad ads adbox adslot adsense advert adverts advertisement advertisin
             "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 HEADER_NAMES = {"header", "topbar"}
 CONTAINERS = {"article", "main"}
+#: Class, id or role of an article element that is a reader's comment or the like, as a whole or as the first word of a compound.
+NO_ARTICLES = set("comment comments reply replies respond disqus discussion sidebar advert advertisement ad ads sponsored promo complementary "
+                  "related recommended newsletter".split())
+NO_ARTICLE = re.compile(rf"(?:{'|'.join(sorted(NO_ARTICLES))})(?:[-_]+(?:\d+|area|block|body|box|card|content|entry|item|list|post|thread|wrapper))*")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,9 +64,12 @@ def _attributes(source: str) -> dict[str, str]:
 def _is_boilerplate(name: str, source: str, in_article: bool) -> bool:
     if name in BOILERPLATE or name == "header" and not in_article:
         return True
-    if name in CONTAINERS or name in ("html", "body") or not source.strip(" /\n"):
+    if name in ("html", "body") or not source.strip(" /\n"):
         return False
     a = _attributes(source)
+    if name in CONTAINERS:
+        named, ids = f"{a.get('class', '')} {a.get('role', '')}".lower().split(), a.get("id", "").lower().split()
+        return any(NO_ARTICLE.fullmatch(t) for t in named + [t for t in ids if t.startswith(("comment", "reply", "disqus"))])
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     words = set(WORDS.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
