@@ -32,3 +32,24 @@ def test_marks_are_checked_against_the_text(page):
 ])
 def test_comments_are_no_text(page):
     check(page, [BODY])
+
+
+@pytest.mark.parametrize(("part", "kept"), [
+    ("<section id='related-work'><p>Others did less.</p></section>", "Others did less."),
+    ("<section id='related'><p>Others did less.</p></section>", "Others did less."),
+    ("<h2 id='discussion'>Discussion</h2>", "Discussion"),
+    ("<h2 id='comments' class='title'>Comments</h2>", "Comments"),
+    ("<div id='search-results'><p>We found two.</p></div>", "We found two."),
+    ("<p class='notice-period'>Three months.</p>", "Three months."),
+    ("<p>A <span class='social'>social</span> matter.</p>", "A social matter."),
+    ("<div class='ad-slot-3'>Buy.</div>", None),
+    ("<div class='comment-list'><p>Me too.</p></div>", None),
+    ("<div class='related links'><a href='a'>One</a> <a href='b'>Two</a></div>", None),
+    ("<div class='search'>Find <input name='q'></div>", None),
+])
+def test_names_drop_no_sections(part, kept):
+    check(f"<article><p>{BODY}</p>{part}<p>Last.</p></article>", [BODY, *([kept] if kept else []), "Last."])
+
+
+def test_ids_of_headings_name_no_part_without_an_article():
+    check(f"<div><h2 id='discussion'>Discussion</h2><h2 id='header'>Header</h2><p>{BODY}</p></div>", ["Discussion", "Header", BODY])

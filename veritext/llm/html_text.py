@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +42,15 @@ NAMES = set("ad ads adbox adslot adsense advert adverts advertisement advertisin
             "nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies "
             "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 HEADER_NAMES = {"header", "topbar"}
+#: Of these, the ones that name ordinary sections too: they need links or form fields in the part.
+TOPICS = set("consent dialog discussion login masthead menu navigation notice notices notification promotion recommended related replies respond "
+             "search share sharing skip social sponsor subscription teaser advertising copyright banner".split())
+#: The ones that an id alone says inside the article, where ids are mostly slugs of headings.
+IDS = set("ad ads adbox adslot adsense comment comments disqus sidebar breadcrumb breadcrumbs pagination newsletter".split())
+#: Words that make compounds with those names.
+FILLERS = set("area bar block body box button buttons container form group holder inner item items link links list row slot space unit wrap wrapper".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+FIELDS = {"form", "input", "button", "textarea", "select"}
 CONTAINERS = {"article", "main"}
 #: Class, id or role of an article element that is a reader's comment or the like, as a whole or as the first word of a compound.
 NO_ARTICLES = set("comment comments reply replies respond disqus discussion sidebar advert advertisement ad ads sponsored promo complementary "
@@ -61,7 +70,18 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)}
 
 
-def _is_boilerplate(name: str, source: str, in_article: bool) -> bool:
+def _names(tokens: str, in_article: bool) -> set[str]:
+    """The listed words that tokens are made of: any word of them, inside the
+    article only whole tokens and compounds of names, fillers and numbers."""
+    found = set()
+    for token in tokens.lower().split():
+        words = set(WORDS.findall(token))
+        if not in_article or all(w in NAMES or w in FILLERS or w[0].isdigit() for w in words):
+            found |= words & NAMES
+    return found
+
+
+def _is_boilerplate(name: str, source: str, in_article: bool, supported: Callable[[], bool]) -> bool:
     if name in BOILERPLATE or name == "header" and not in_article:
         return True
     if name in ("html", "body") or not source.strip(" /\n"):
@@ -72,8 +92,13 @@ def _is_boilerplate(name: str, source: str, in_article: bool) -> bool:
         return any(NO_ARTICLE.fullmatch(t) for t in named + [t for t in ids if t.startswith(("comment", "reply", "disqus"))])
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    words = set(WORDS.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
-    return bool(words & NAMES) or not in_article and bool(words & HEADER_NAMES)
+    classes = f"{a.get('class', '')} {a.get('role', '')}".lower()
+    named = _names(classes, in_article)
+    ids = set() if name in HEADINGS else _names(a.get("id", ""), in_article)
+    if not in_article and HEADER_NAMES & set(WORDS.findall(classes if name in HEADINGS else f"{classes} {a.get('id', '').lower()}")):
+        return True
+    sure = named - TOPICS or (ids & IDS if in_article else ids - TOPICS or NAMES & set(classes.split()))
+    return bool(sure) or bool(named | ids) and supported()
 
 
 class _Lines:
@@ -112,6 +137,7 @@ class _Tags(list):
 
     def __init__(self, page: str) -> None:
         pos, size = 0, len(page)
+        self.page, self.sums = page, None
         self.unclosed: dict[str, list[int]] = {}           # by name, places of start tags without an end tag
         while pos < size:
             m = TOKEN.search(page, pos)
@@ -129,6 +155,29 @@ class _Tags(list):
                 self.unclosed.setdefault(name, []).append(len(self))
             self.append((m.start(), pos, closing, name, source))
 
+    def supported(self, i: int) -> bool:
+        """Whether the part of tag i has form fields, or half of its text in links."""
+        if self.sums is None:
+            self.sums, links, row, at = [], False, [0, 0, 0], 0          # text, linked text and fields before each tag
+            opened: dict[str, list[int]] = {}
+            self.ends: dict[int, int] = {}
+            for k, (start, end, closing, name, _) in enumerate(self):
+                text = len("".join(self.page[at:start].split()))
+                row = [row[0] + text, row[1] + text * links, row[2]]
+                self.sums.append(tuple(row))
+                at = end
+                if name == "a":
+                    links = not closing
+                if closing and opened.get(name):
+                    self.ends[opened[name].pop()] = k
+                elif not closing and name and name not in VOID:
+                    opened.setdefault(name, []).append(k)
+                row[2] += name in FIELDS and not closing
+        if i not in self.ends:
+            return False
+        text, linked, fields = (b - a for a, b in zip(self.sums[i], self.sums[self.ends[i]], strict=True))
+        return fields > (self[i][3] in FIELDS) or 2 * linked > text
+
     def lacks_end(self, i: int) -> bool:
         """Whether the end tag of tag i is missing, or may be as an element of its name around it has none."""
         left = self.unclosed.get(self[i][3])
@@ -167,7 +216,7 @@ def lines_of(page: str) -> _Lines:
             links = 0 if closing else 1
         elif name == "br":
             out.parts.append(" ")
-        elif not closing and name not in VOID and _is_boilerplate(name, source, bool(containers)):
+        elif not closing and name not in VOID and _is_boilerplate(name, source, bool(containers), lambda: tags.supported(i)):  # noqa: B023
             out.end(bool(containers), gap=not containers)
             skipped, depth, cut = name, 1, tags.lacks_end(i)
         elif name in CONTAINERS:
