@@ -53,3 +53,23 @@ def test_names_drop_no_sections(part, kept):
 
 def test_ids_of_headings_name_no_part_without_an_article():
     check(f"<div><h2 id='discussion'>Discussion</h2><h2 id='header'>Header</h2><p>{BODY}</p></div>", ["Discussion", "Header", BODY])
+
+
+LONG = [f"{i} " + "word " * 98 + "end" for i in range(10)]
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div>{0}<div class='ad'>Buy.</div>{1}</div></body>",
+    "<body>{0}<form>Mail <input name='m'></form>{1}</body>",
+    "<div><section>{0}</section></div><div>{0}<aside>No.</aside><section>{1}</section></div>",
+])
+@pytest.mark.parametrize("end", [["Short end."], ["last " * 100 + "word"], ["a " * 30 + "b", "Short end."]])
+def test_what_follows_an_advert_is_kept(page, end):
+    got = main_text(page.format(PARAGRAPHS, "".join(f"<p>{p}</p>" for p in end))).split("\n")
+    assert got[-len(LONG) - len(end):] == LONG + end
+
+
+def test_sidebars_of_unmarked_pages_are_left_out():
+    side = "<div><p>" + "side " * 30 + "</p></div>"
+    check(f"<body><div id='page'><div>{PARAGRAPHS}</div><nav>Menu</nav>{side}</div></body>", LONG)

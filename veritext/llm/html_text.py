@@ -2,7 +2,8 @@
 
 Markup is stripped so that every block element becomes one line.  Parts that
 their element or class names as no article text (menus, adverts, forms ...)
-leave blank lines, as do the edges of containers.  The text lengths of the
+leave blank lines unless the lines around them have one parent, as do the edges
+of containers.  The text lengths of the
 lines are summed over a sliding window: where a sum surges above a threshold
 the text begins, where the sum dives to zero it ends, and every line between
 is kept, however short.  Where the page marks its article, the mark bounds the
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,6 +43,8 @@ NAMES = set("ad ads adbox adslot adsense advert adverts advertisement advertisin
             "complementary consent contentinfo cookie cookies copyright dialog discussion disqus footer gdpr login masthead menu menubar modal "
             "nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies "
             "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
+#: Blocks that hold one line as a rule, and those that are the page.
+LEAVES = set("address caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li option p pre summary td th body html".split())
 HEADER_NAMES = {"header", "topbar"}
 #: Of these, the ones that name ordinary sections too: they need links or form fields in the part.
 TOPICS = set("consent dialog discussion login masthead menu navigation notice notices notification promotion recommended related replies respond "
@@ -108,6 +112,9 @@ class _Lines:
         self.texts: list[str] = []
         self.lengths: list[int] = []
         self.inside: list[bool] = []
+        self.parents: list[tuple[int, int, bool]] = []     # the line's parent and its parent (see Parents)
+        self.parent = (0, 0, True)
+        self.skipped = False                               # whether a part was left out since the last line
         self.parts: list[str] = []
         self.linked = 0
 
@@ -122,14 +129,51 @@ class _Lines:
         """End of a line; with ``gap`` a window of blank lines follows."""
         text = " ".join("".join(self.parts).split())
         if text:
+            if self.skipped and self.parents and not together(self.parents[-1], self.parent):
+                self.gap(inside)
+            self.skipped = False
             self.texts.append(text)
+            self.parents.append(self.parent)
             self.lengths.append(max(1, len(text) - 2 * self.linked) if 2 * self.linked <= len(text) else 0)
             self.inside.append(inside)
-        if gap and self.lengths and self.lengths[-WINDOW:] != [0] * WINDOW:
+        if gap:
+            self.gap(inside)
+        self.parts, self.linked = [], 0
+
+    def gap(self, inside: bool) -> None:
+        if self.lengths and self.lengths[-WINDOW:] != [0] * WINDOW:
             self.texts += [""] * WINDOW
             self.lengths += [0] * WINDOW
             self.inside += [inside] * WINDOW
-        self.parts, self.linked = [], 0
+            self.parents += self.parents[-1:] * WINDOW
+
+
+def together(a: tuple[int, int, bool], b: tuple[int, int, bool]) -> bool:
+    """Whether two lines have one parent, or the one's parent lies right in the other's, the body aside."""
+    return a[0] == b[0] or not b[2] and a[1] == b[0] or not a[2] and b[1] == a[0]
+
+
+class Parents:
+    """The open elements that can hold several lines; ``of`` is (number of the
+    innermost, of the one around it, whether the innermost is the page's body)."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = []
+        self.count, self.names = 0, Counter()
+        self.of = (0, 0, True)
+
+    def tag(self, name: str, closing: str) -> None:
+        if not closing:
+            self.count += 1
+            self.names[name] += 1
+            self.open.append((name, self.count))
+        elif self.names[name]:
+            last = ""
+            while last != name:
+                last, _ = self.open.pop()
+                self.names[last] -= 1
+        inner, outer = ([("", 0)] * 2 + self.open[-2:])[:-3:-1]
+        self.of = (inner[1], outer[1], not inner[0])
 
 
 class _Tags(list):
@@ -189,7 +233,7 @@ def lines_of(page: str) -> _Lines:
     out, at, links = _Lines(), 0, 0
     skipped, depth, cut = "", 0, False      # the boilerplate element we are in, how many of its name are open, if its end is missing
     containers: list[str] = []              # open article and main elements
-    tags = _Tags(page)
+    tags, parents = _Tags(page), Parents()
     for i, (start, end, closing, name, source) in enumerate(tags):
         if not skipped:
             out.add(page[at:start], links > 0)
@@ -210,14 +254,15 @@ def lines_of(page: str) -> _Lines:
                 depth += -1 if closing else 1
                 if not depth:
                     skipped = ""
-                    out.end(bool(containers), gap=not containers)
+                    out.skipped = not containers
             continue
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":
             out.parts.append(" ")
         elif not closing and name not in VOID and _is_boilerplate(name, source, bool(containers), lambda: tags.supported(i)):  # noqa: B023
-            out.end(bool(containers), gap=not containers)
+            out.end(bool(containers))
+            out.skipped = out.skipped or not containers
             skipped, depth, cut = name, 1, tags.lacks_end(i)
         elif name in CONTAINERS:
             out.end(bool(containers), gap=True)
@@ -229,6 +274,9 @@ def lines_of(page: str) -> _Lines:
         elif name in BLOCKS:
             links = 0
             out.end(bool(containers), gap=False)
+        if not skipped and name in BLOCKS and name not in LEAVES:
+            parents.tag(name, closing)
+            out.parent = parents.of
     if not skipped:
         out.add(page[at:], links > 0)
     out.end(bool(containers))
@@ -266,8 +314,16 @@ def main_text(page: str) -> str:
     if not found:                           # nothing surges: the run of lines with the most text
         found = spans(lengths, surge=1)
         found = [max(found, key=lambda s: sum(lengths[s[0]:s[1]]))] if found else []
-    most = max((sum(lengths[a:b]) for a, b in found), default=0)
-    kept = found if marked else [(a, b) for a, b in found if sum(lengths[a:b]) >= SPAN_SHARE * most]
+    kept = found
+    if not marked:                          # spans of one container count as one
+        groups: list[list[tuple[int, int]]] = []
+        for span in found:
+            if groups and together(lines.parents[groups[-1][-1][1] - 1], lines.parents[span[0]]):
+                groups[-1].append(span)
+            else:
+                groups.append([span])
+        sums = [sum(sum(lengths[a:b]) for a, b in g) for g in groups]
+        kept = [s for g, n in zip(groups, sums, strict=True) if n >= SPAN_SHARE * max(sums) for s in g]
     return "\n".join(t for a, b in kept for t in lines.texts[a:b] if t)
 
 
