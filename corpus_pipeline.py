@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.llm import lines, mixing, neardup, packing, quality
-from veritext.llm.queries import QUALITY_THRESHOLD, SEQUENCE_TOKENS, TARGETS, domains, tokenizer_path
+from veritext.llm.queries import CLEAN, QUALITY_THRESHOLD, SEQUENCE_TOKENS, TARGETS, domains, tokenizer_path
 from veritext.llm.shared import stored
 
 
@@ -34,7 +34,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    return mixing.mix(docs, domains(spark, sf_dir), TARGETS)
+    return mixing.mix(docs, domains(spark, sf_dir), TARGETS, keep=CLEAN)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,9 +108,12 @@ def rate_of(steps: list[list[float]], least: float = 0.0) -> Column:
     return F.aggregate(history, rate, lambda r, s: F.greatest(F.lit(float(least)), r - move(s)))
 
 
-def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, rounds: int = ROUNDS) -> list[list[float]]:
+def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, rounds: int = ROUNDS, keep: int | None = None) -> list[list[float]]:
     """The rounds' steps that bring sum(rate * tokens * p_k) to target_k * total.
 
+    With ``keep`` no other domain gets more than its tokens at rate 1; the
+    domain ``keep`` gets what they leave, its own tokens at least.
+
     Least squares of the misses, each over the domain's tokens at rate 1, by
     projected gradient in the metric that weighs a document by its tokens;
     in it the steepest curvature is 1 at most, so a full step never overshoots.
@@ -125,6 +128,9 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
     start = sums([])
     total = sum(start) if total is None else total
     wanted = [t / sum(targets) * total for t in targets]
+    if keep is not None:
+        wanted = [min(w, s) for w, s in zip(wanted, start, strict=True)]
+        wanted[keep] = max(start[keep], total - sum(w for i, w in enumerate(wanted) if i != keep))
     steps, now = [], start
     while len(steps) < rounds and max(abs(s - w) for s, w in zip(now, wanted, strict=True)) > MISS * max(total, 1.0):
         steps.append([(s - w) / b if b else 0.0 for s, w, b in zip(now, wanted, start, strict=True)])
@@ -133,10 +139,12 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "domain", total: float | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+                 label_col: str = "domain", total: float | None = None, sample_docs: int = SAMPLE_DOCS, keep: str | None = None) -> DataFrame:
     """One row an id: ``id_col``, tokens (words), p (map: domain to posterior)
     and rate, nonnegative, so that the domains' expected tokens meet
     ``targets`` (weights) times ``total`` (default: the tokens at rate 1).
+    With the domain ``keep``, no other is used more often than it is there, and
+    ``keep`` gets what they leave, so its documents' rates do not fall below 1.
 
     Domains that no labelled document of ``docs`` has cannot be told and are
     left out; the others' targets keep their proportions.  Without any labelled
@@ -149,20 +157,20 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         tokens = _bags(docs, id_col, text_col).groupBy(F.col("id").alias(id_col)).agg(F.sum("n").alias("tokens"))
         return tokens.select(id_col, "tokens", F.create_map().cast("map<string,double>").alias("p"), F.lit(1.0).alias("rate"))
     table = stored(posteriors(docs, weights, priors, id_col, text_col), "mix-posteriors")
-    steps = fit_rates(table, [targets[d] for d in found], total)
+    steps = fit_rates(table, [targets[d] for d in found], total, keep=found.index(keep) if keep in found else None)
     names = F.array(*[F.lit(d) for d in found])
     rated = table.withColumn("rate", F.round(rate_of(steps), 9)).withColumn("p", F.map_from_arrays(names, "p"))
     return rated.select(F.col("id").alias(id_col), "tokens", "p", "rate")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "domain", total: float | None = None) -> DataFrame:
+        label_col: str = "domain", total: float | None = None, keep: str | None = None) -> DataFrame:
     """``docs``, each row as often as its rate says; same columns.
 
     The whole part of a rate is used as it is, the rest by chance: a hash of
     the id is the draw, so a run repeats.  Rows of a rate of 1 or more stay.
     """
-    rates = mixing_rates(docs, labelled, targets, id_col, text_col, label_col, total)
+    rates = mixing_rates(docs, labelled, targets, id_col, text_col, label_col, total, keep=keep)
     rates = stored(rates.select(F.col(id_col).alias("__mix_id"), F.col("rate").alias("__mix_rate")), "mix-rates")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col("__mix_id")), F.lit(1_000_000_007)) / 1_000_000_007
     uses = F.floor("__mix_rate") + F.when(draw < F.col("__mix_rate") - F.floor("__mix_rate"), 1).otherwise(0)

@@ -22,6 +22,8 @@ SEQUENCE_TOKENS = 1024
 QUALITY_THRESHOLD = 0.5
 #: Domains of the labelled table, and the share of all tokens that each is to have.
 TARGETS = {"good": 0.96, "good_toxic": 0.01, "poor": 0.02, "poor_toxic": 0.01}
+#: The domain that is never used less than it is there.
+CLEAN = "good"
 
 
 def tokenizer_path() -> str:
@@ -83,7 +85,7 @@ def op7_main_text(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    rates = mixing.mixing_rates(_table(spark, sf_dir, "documents"), domains(spark, sf_dir), TARGETS)
+    rates = mixing.mixing_rates(_table(spark, sf_dir, "documents"), domains(spark, sf_dir), TARGETS, keep=CLEAN)
     shares = [F.coalesce(F.try_element_at("p", F.lit(d)), F.lit(0.0)).alias(f"p_{d}") for d in TARGETS]
     return rates.select("doc_id", "tokens", *shares, "rate")
 
