@@ -34,3 +34,21 @@ def test_rates_of_a_kept_domain(spark):
     steps = mixing.fit_rates(table, [0.99, 0.01, 0.0], keep=0)
     got = {r.p.index(1.0): r.rate for r in table.select("p", mixing.rate_of(steps).alias("rate")).collect()}
     assert got[0] > 1 and abs(got[1] - 0.5) < 1e-3 and got[2] < 1e-3
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Masks are built by row, so that lines of one text do not shift those of another."""
+    a = "alpha one of the first text\nshared line that both of them have\nbeta three of the first text"
+    b = "gamma line of the other text\ndelta line of the other text\nshared line that both of them have\nepsilon line that stays here"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, "shared line that both of them have\nzeta line on its own here")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, docs, SF_SMALL).collect())
+    rest = b.replace("shared line that both of them have\n", "")
+    assert got == sorted([(1, a), (1, rest), (1, rest), (2, "zeta line on its own here")])
+
+
+def test_repeated_rows_are_dropped_once(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    other = " ".join(f"term{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, other), (2, text), (3, "a b c"), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, SF_SMALL).collect())
+    assert got[(1, text)] == 1 and got[(1, other)] == 1 and got[(3, "a b c")] == 1 and got[(None, "x")] == 2 and got[(2, text)] == 0
