@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import ann, fingerprints, html_text, lines, mixing, neardup, packing, quality, token_counts, warc
+from veritext.llm import ann, fingerprints, html_text, lexical_scan, lines, mixing, neardup, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,11 +101,15 @@ def op10_fingerprints(spark, sf_dir):
                         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op12_ranked(spark, sf_dir):
+    return lexical_scan.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_pack": op2_pack, "op3_neighbours": op3_neighbours, "op4_token_counts": op4_token_counts,
             "op5_quality": op5_quality, "op6_near_duplicates": op6_near_duplicates, "op7_main_text": op7_main_text,
             "op8_mixing": op8_mixing, "op9_lines": op9_lines,
-            "op10_fingerprints": op10_fingerprints}
+            "op10_fingerprints": op10_fingerprints, "op12_ranked": op12_ranked}
 
 
 #: Bare base32 of a SHA-1: 20 bits at a time, as four characters each.
@@ -123,5 +127,29 @@ FROM d JOIN f ON d.h = f.h AND d.payload_bytes = f.payload_bytes
 """
 
 
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS nr,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT nr, term, count(*) AS tf FROM (SELECT nr, unnest(terms) AS term FROM words) GROUP BY nr, term),
+size AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM words WHERE len(terms) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, size WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs),
+norm AS (SELECT nr, doc_id, 100 - 50 + (50 * len(terms) * docs) // total AS m FROM words, size WHERE len(terms) > 0),
+scored AS (
+  SELECT item_id, doc_id, nr, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weight USING (term) JOIN tf USING (term) JOIN norm USING (nr) GROUP BY item_id, doc_id, nr),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op12_ranked": OP12_SQL}

@@ -23,7 +23,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the tables behind frames that ``stored`` gave, which nothing reads any more."""
+    for df in frames:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str) -> Column:
