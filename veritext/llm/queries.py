@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import ann, fingerprints, html_text, lexical_scan, lines, mixing, neardup, packing, quality, token_counts, warc
+from veritext.llm import ann, fingerprints, html_text, lexical_scan, lines, mixing, neardup, packing, passages, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,11 +105,16 @@ def op12_ranked(spark, sf_dir):
     return lexical_scan.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_passages(spark, sf_dir):
+    found = passages.without_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_pack": op2_pack, "op3_neighbours": op3_neighbours, "op4_token_counts": op4_token_counts,
             "op5_quality": op5_quality, "op6_near_duplicates": op6_near_duplicates, "op7_main_text": op7_main_text,
             "op8_mixing": op8_mixing, "op9_lines": op9_lines,
-            "op10_fingerprints": op10_fingerprints, "op12_ranked": op12_ranked}
+            "op10_fingerprints": op10_fingerprints, "op12_ranked": op12_ranked, "op13_passages": op13_passages}
 
 
 #: Bare base32 of a SHA-1: 20 bits at a time, as four characters each.
@@ -150,6 +155,22 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS nr, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (
+  SELECT nr, doc_id, place, md5(array_to_string(list_slice(words, place, place + 49), ' ')) AS h
+  FROM (SELECT nr, doc_id, words, unnest(range(1, len(words) - 48)) AS place FROM d WHERE doc_id IS NOT NULL AND len(words) >= 50)),
+f AS (SELECT h, min(doc_id) AS first_id FROM w GROUP BY h),
+gone AS (
+  SELECT nr, list(DISTINCT word) AS gone
+  FROM (SELECT nr, unnest(range(place, place + 50)) AS word FROM w JOIN f USING (h) WHERE first_id < doc_id) GROUP BY nr),
+kept AS (
+  SELECT doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN gone USING (nr))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(gone, i)], ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op12_ranked": OP12_SQL}
+    return {"op1_warc": OP1_SQL, "op12_ranked": OP12_SQL, "op13_passages": OP13_SQL}
