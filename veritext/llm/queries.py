@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import ann, fingerprints, html_text, lexical_scan, lines, mixing, neardup, packing, passages, quality, token_counts, warc
+from veritext.llm import ann, fingerprints, html_text, lexical_scan, lines, mixing, neardup, packing, passages, prefix_trie, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,10 @@ def op10_fingerprints(spark, sf_dir):
                         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked(spark, sf_dir):
     return lexical_scan.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
@@ -114,7 +118,7 @@ def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_pack": op2_pack, "op3_neighbours": op3_neighbours, "op4_token_counts": op4_token_counts,
             "op5_quality": op5_quality, "op6_near_duplicates": op6_near_duplicates, "op7_main_text": op7_main_text,
             "op8_mixing": op8_mixing, "op9_lines": op9_lines,
-            "op10_fingerprints": op10_fingerprints, "op12_ranked": op12_ranked, "op13_passages": op13_passages}
+            "op10_fingerprints": op10_fingerprints, "op11_prefix_trie": op11_prefix_trie, "op12_ranked": op12_ranked, "op13_passages": op13_passages}
 
 
 #: Bare base32 of a SHA-1: 20 bits at a time, as four characters each.
@@ -132,6 +136,37 @@ FROM d JOIN f ON d.h = f.h AND d.payload_bytes = f.payload_bytes
 """
 
 
+#: A CRC-32 bit by bit; nodes are lists of turns, and a subtree's nodes have the top's list as their beginning.
+OP11_SQL = """
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+lead AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END::BIGINT))), 4294967295::BIGINT) % 6 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM lead c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefix AS (
+  SELECT conv_id, depth, list_slice(turns, 1, depth) AS p, depth = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)),
+node AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM prefix GROUP BY p, depth),
+linked AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, (n.n_convs - 1) * CASE WHEN n.depth > 0 THEN length(n.p[n.depth].text) ELSE 0 END AS gain
+  FROM node n LEFT JOIN node up ON up.depth = n.depth - 1 AND up.p = list_slice(n.p, 1, n.depth - 1)),
+counted AS (
+  SELECT l.*, (SELECT count(*) FROM linked c WHERE c.depth = l.depth + 1 AND list_slice(c.p, 1, l.depth) = l.p) AS n_children FROM linked l),
+below AS (
+  SELECT t.conv_id, t.depth, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, CAST(sum(u.gain) AS BIGINT) AS saved_tokens
+  FROM counted t JOIN counted u ON u.depth >= t.depth AND list_slice(u.p, 1, t.depth) = t.p GROUP BY t.conv_id, t.depth)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs, c.n_children, b.n_leaves, b.saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN below b ON b.conv_id = c.conv_id AND b.depth = c.depth
+"""
+
 OP12_SQL = r"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS nr,
@@ -173,4 +208,4 @@ FROM kept
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op12_ranked": OP12_SQL, "op13_passages": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked": OP12_SQL, "op13_passages": OP13_SQL}
