@@ -118,8 +118,8 @@ def test_near_duplicates_of_driver_documents(spark):
 
 
 def line_shingles(norm):
-    words = norm.split(" ")
-    return frozenset([" ".join(words[i:i + 4])[:12] for i in range(len(words))] + [w[p:p + 12] for w in words for p in range(1, len(w) - 11)])
+    """Every window of five characters; of a shorter line the line."""
+    return frozenset(norm[i:i + 5] for i in range(max(1, len(norm) - 4)))
 
 
 def keepers(docs, percent=80):

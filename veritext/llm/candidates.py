@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.shared import stored
+from veritext.llm.shared import discard, stored
 
 #: Buckets of at most this many members are also compared pair by pair.
 SMALL_BUCKET = 24
@@ -26,7 +26,9 @@ def ordered(a: str, b: str) -> tuple[Column, Column]:
 def members_of(keys: DataFrame) -> DataFrame:
     """(key, id, n): the members of buckets of n > 1 members."""
     buckets = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
-    return stored(keys.join(buckets, "key"), "member")
+    members = stored(keys.join(buckets, "key"), "member")
+    discard(buckets)
+    return members
 
 
 def weights_of(members: DataFrame) -> DataFrame:
@@ -76,4 +78,7 @@ def outside(members: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFr
     large = members.filter(F.col("n") > SMALL_BUCKET).join(labels, "id")
     middle = (centres.filter(F.col("n") > SMALL_BUCKET).join(labels.withColumnRenamed("id", "centre"), "centre").groupBy("key")
               .agg(F.max_by("component", F.struct("weight", "centre")).alias("middle")))
-    return stored(large.join(stored(middle, "middle"), "key"), "large")
+    middle = stored(middle, "middle")
+    found = stored(large.join(middle, "key"), "large")
+    discard(middle)
+    return found

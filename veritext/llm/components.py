@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.shared import stored
+from veritext.llm.shared import discard, stored
 
 
 def _state(df: DataFrame) -> tuple:
@@ -36,10 +36,11 @@ def star_components(edges: DataFrame) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.min("v").alias("w")).select(u.alias("n"), F.least("u", "w").alias("m")), "cc-min")
         large = stored(both.filter(v > u).join(least, u == F.col("n")).filter(v != F.col("m"))
                        .select(v.alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), "cc-min")
-        small = (large.join(least, u == F.col("n")).filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-                 .union(least.select("n", "m")).distinct())
-        now = stored(small, "cc-edges")
+        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), "cc-min")
+        small = (large.join(lower, u == F.col("n")).filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+                 .union(lower.select("n", "m")).distinct())
+        last, now = now, stored(small, "cc-edges")
+        discard(last, least, large, lower)
         before, state = state, _state(now)
     leaves = now.select(u.alias("node"), v.alias("component"))
     return leaves.union(now.select(v.alias("node"), v.alias("component")).distinct())
@@ -56,22 +57,27 @@ def union_find(edges: DataFrame) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     edges = stored(edges.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "uf-edges")
-    found = None
+    found, held = None, None                                    # held: the table that found reads
     while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(v.alias("u"), u.alias("v")))
-        roots = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(u.alias("node"), F.least("u", "v").alias("root")), "uf-roots")
+        table = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(u.alias("node"), F.least("u", "v").alias("root")), "uf-roots")
+        roots = table
         while True:
             upper = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
             halved = stored(roots.join(upper, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "uf-roots")
-            roots = halved.select("node", "root")
+            discard(table)
+            table, roots = halved, halved.select("node", "root")
             if halved.filter("moved").isEmpty():
                 break
-        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        edges = stored(edges.join(of("u"), "u").join(of("v"), "v").filter(F.col("u_root") != F.col("v_root"))
-                       .select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct(), "uf-edges")
+        of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))  # noqa: E731, B023
+        last, edges = edges, stored(edges.join(of("u"), "u").join(of("v"), "v").filter(F.col("u_root") != F.col("v_root"))
+                                    .select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct(), "uf-edges")
+        discard(last)
         if found is None:
-            found = roots.withColumnRenamed("root", "component")
+            found, held = roots.withColumnRenamed("root", "component"), table
         else:
             over = roots.select(F.col("node").alias("component"), "root")
-            found = stored(found.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "uf-found")
+            made = stored(found.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "uf-found")
+            discard(held, table)
+            found = held = made
     return found if found is not None else edges.select(u.alias("node"), v.alias("component"))
