@@ -8,8 +8,8 @@
 2. The entries are dealt by ranges of the hash, packed by chunk and range.
    A group counts the windows of its range and marks all but those of the
    smallest id.
-3. The marked windows of a document meet its text, and are merged into the
-   maximal intervals of words to remove.
+3. The marks are dealt back by document, packed again, and merged into the
+   maximal intervals of words to remove, which meet the texts.
 
 Two windows count as equal if 80 bits of their hashes are; among n windows
 n * n / 2^81 pairs of different ones may be expected to.
@@ -31,8 +31,8 @@ from veritext.llm.shared import stored, text_or_empty
 #: Words of a window.
 WINDOW = 50
 #: Windows that a range of hashes holds about, and words that a task gathers before it sends their windows.
-RANGE_WINDOWS, CHUNK_WORDS = 2_000_000, 2_000_000
-#: Marked windows are broadcast to the documents up to this size, else both are shuffled.
+RANGE_WINDOWS, CHUNK_WORDS = 1_000_000, 1_000_000
+#: Intervals are broadcast to the documents up to this size, else both are shuffled.
 BROADCAST_BYTES = 64 << 20
 
 #: Primes below 2^32, and the bases of their polynomials.
@@ -118,40 +118,61 @@ class _Chunk:
         self.words += len(words)
 
     def rows(self, ranges: int) -> Iterator[tuple]:
-        """(range, ids, keys, ends, places, main, check): the windows of each range; range -1 are those settled here."""
-        if not self.ids:
-            return
+        """(range, packed columns): the windows of each range; range -1 are those settled here."""
         sizes = np.array([len(m) for m, _ in self.hashes])
-        row = np.repeat(np.arange(len(sizes)), sizes)
+        row = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         main, check = _mixed(np.concatenate([m for m, _ in self.hashes])), np.concatenate([c for _, c in self.hashes])
         ids, keys = np.array(self.ids, "i8"), np.array(self.keys, "i8")
         at = ((main >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("i2" if ranges < 32_000 else "i8")
         at[_later(main, check, ids[row])] = -1
-        by_range = np.argsort(at, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, at[by_range][1:] != at[by_range][:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(at)], strict=True):
-            mine = by_range[a:b]
-            held, counts = np.unique(row[mine], return_counts=True)
-            settled = at[mine[0]] < 0
-            yield (int(at[mine[0]]), ids[held], keys[held], np.cumsum(counts), place[mine],
-                   main[mine][:0] if settled else main[mine], check[mine][:0] if settled else check[mine])
+        for value, mine in _parts(at):
+            yield value, *_packed(ids, keys, row[mine], place[mine]), main[mine[:0] if value < 0 else mine].tobytes(), check[mine[:0] if value < 0 else mine].tobytes()
+
+
+def _parts(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with its places, in order."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    for part in np.split(order, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1):
+        if len(part):
+            yield int(values[part[0]]), part
+
+
+def _packed(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """ids, keys, counts, places of windows that are given row by row; ids and keys are those of the rows."""
+    held, counts = np.unique(row, return_counts=True)
+    small = not len(place) or place.max() < 1 << 16
+    return ids[held].astype("<i8").tobytes(), keys[held].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), place.astype("<u2" if small else "<u4").tobytes()
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, row, place) of all packed rows: row is the place of a window's document in ids and keys."""
+    column = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    counts, places = [np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()], []
+    for c, packed in zip(counts, table["places"].to_pylist(), strict=True):
+        places.append(np.frombuffer(packed, "<u2" if len(packed) == 2 * int(c.sum()) else "<u4").astype("<u4"))
+    row = np.repeat(np.arange(sum(map(len, counts)), dtype="i4"), np.concatenate(counts))
+    return column("ids", "<i8"), column("keys", "<u4"), row, np.concatenate(places)
 
 
-_PACKED = ["ids", "keys", "ends", "places", "main", "check"]
-_KINDS = {"ids": "<i8", "keys": "<i8", "ends": "<u4", "places": "<u4", "main": "<u8", "check": "<u2"}
+_PLACES = ["ids", "keys", "counts", "places"]
+
+
+def _table(numbers: dict[str, list], packed: dict[str, list]) -> pa.Table:
+    return pa.table({k: pa.array(v, "int64") for k, v in numbers.items()} | {k: pa.array(v, "binary") for k, v in packed.items()})
 
 
 def packed_windows(docs: DataFrame, window: int, ranges: int) -> DataFrame:
     """(range, spread, packed columns) of the windows of ``docs`` (id, key, text); ``spread`` deals the settled ones out."""
-    out = T.StructType().add("range", "long").add("spread", "long")
-    for name in _PACKED:
+    out, names = T.StructType().add("range", "long").add("spread", "long"), [*_PLACES, "main", "check"]
+    for name in names:
         out = out.add(name, "binary")
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([r[0] for r in rows], "int64"), pa.array([int(r[2][0]) if r[0] < 0 else 0 for r in rows], "int64")]
-        columns += [pa.array([r[i + 1].astype(_KINDS[name]).tobytes() for r in rows], "binary") for i, name in enumerate(_PACKED)]
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema([("range", pa.int64()), ("spread", pa.int64()), *[(n, pa.binary()) for n in _PACKED]]))
+    def rows(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+        made = list(chunk.rows(ranges)) if chunk.ids else []
+        columns = {name: [r[i + 1] for r in made] for i, name in enumerate(names)}
+        yield from _table({"range": [r[0] for r in made], "spread": [chunk.keys[0] if r[0] < 0 else 0 for r in made]}, columns).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -159,46 +180,49 @@ def packed_windows(docs: DataFrame, window: int, ranges: int) -> DataFrame:
             for key_id, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 chunk.add(key_id, key, text.as_py(), window)
                 if chunk.words >= CHUNK_WORDS:
-                    yield table(list(chunk.rows(ranges)))
+                    yield from rows(chunk)
                     chunk = _Chunk()
-        if chunk.ids:
-            yield table(list(chunk.rows(ranges)))
+        yield from rows(chunk)
 
     return docs.mapInArrow(run, out)
 
 
-def _unpacked(batch: pa.Table, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), _KINDS[name]) for x in batch[name]]
+def marked_windows(docs: DataFrame, window: int, ranges: int) -> DataFrame:
+    """(owner, packed columns): the windows that a document of smaller id has too, by a hash of their documents."""
+    owners, out = max(1, ranges // 2), T.StructType().add("owner", "long")
+    for name in _PLACES:
+        out = out.add(name, "binary")
+
+    def marked(table: pa.Table) -> pa.Table:
+        ids, keys, row, place = _unpacked(table)
+        if table["range"][0].as_py() >= 0:
+            main, check = (np.frombuffer(b"".join(table[name].to_pylist()), kind) for name, kind in (("main", "<u8"), ("check", "<u2")))
+            later = _later(main, check, ids[row])
+            row, place = row[later], place[later]
+        owner = (_mixed(ids.view("u8") + np.uint64(0x9E3779B97F4A7C15) * keys) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
+        parts = [(value, *_packed(ids, keys, row[mine], place[mine])) for value, mine in _parts(owner[row])]
+        return _table({"owner": [p[0] for p in parts]}, {name: [p[i + 1] for p in parts] for i, name in enumerate(_PLACES)})
 
+    return packed_windows(docs, window, ranges).groupBy("range", "spread").applyInArrow(marked, out)
 
-def _marked(table: pa.Table) -> pa.Table:
-    """(id, key, places) of the windows of one range that start in a document of smaller id too."""
-    ends = _unpacked(table, "ends")
-    counts = np.concatenate([np.diff(np.r_[0, e.astype("i8")]) for e in ends]) if ends else np.zeros(0, "i8")
-    cat = lambda name: np.concatenate(_unpacked(table, name)) if len(table) else np.zeros(0, _KINDS[name])
-    ids, keys, places = cat("ids"), cat("keys"), cat("places")
-    row = np.repeat(np.arange(len(ids)), counts)
-    if len(table) and table["range"][0].as_py() >= 0:
-        later = _later(cat("main"), cat("check"), ids[row])
-        row, places = row[later], places[later]
-    order = np.lexsort((places, keys[row], ids[row]))
-    i, k, p = ids[row][order], keys[row][order], places[order]
-    new = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])] if len(i) else np.zeros(0, bool)
-    i, k, p = i[new], k[new], p[new]
-    start = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]) if len(i) else np.zeros(0, "i8")
-    lists = [x.astype("<u4").tobytes() for x in np.split(p, start[1:])] if len(i) else []
-    return pa.table({"id": pa.array(i[start], "int64"), "key": pa.array(k[start], "int64"), "places": pa.array(lists, "binary")})
 
+def removals(marks: DataFrame, window: int) -> DataFrame:
+    """(id, key, spans): the maximal intervals to remove, one row a document that has any; spans is pairs of 32-bit numbers."""
+    def merged(table: pa.Table) -> pa.Table:
+        ids, keys, row, place = _unpacked(table)
+        order = np.lexsort((place, keys[row], ids[row]))
+        row, place = row[order], place[order].astype("i8")
+        i, k = ids[row], keys[row]
+        new = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])][:len(i)]
+        start = np.flatnonzero(new)
+        lists = [np.array(intervals(p, window), "<u4").tobytes() for p in np.split(place, start[1:])] if len(i) else []
+        return pa.table({"id": pa.array(i[start], "int64"), "key": pa.array(k[start], "int64"), "spans": pa.array(lists, "binary")})
 
-def marked_windows(docs: DataFrame, window: int, ranges: int) -> DataFrame:
-    """(id, key, places): the first words of a row's windows that a document of smaller id has too, in several lists."""
-    out = T.StructType().add("id", "long").add("key", "long").add("places", "binary")
-    packed = packed_windows(docs, window, ranges)
-    return packed.groupBy("range", "spread").applyInArrow(_marked, out)
+    return marks.groupBy("owner").applyInArrow(merged, T.StructType().add("id", "long").add("key", "long").add("spans", "binary"))
 
 
 def intervals(places: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The maximal intervals (start, end) of words that windows at sorted distinct places cover."""
+    """The maximal intervals (start, end) of words that windows at sorted places cover."""
     if not len(places):
         return []
     cut = np.flatnonzero(np.diff(places) > window)
@@ -219,26 +243,26 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are left out, so their names cannot clash.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    # key tells rows of one id apart
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).alias("key"), text.cast("binary").alias("text"))
     # a word and its blank take two bytes at least, six on the average of most languages
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).head()["n"] or 0
     ranges = max(1, -(-size // (6 * range_windows)))
     known = rows.filter(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
-    marked = marked_windows(known, window, ranges).groupBy("id", "key").agg(F.collect_set("places").alias("places"))
-    marked = stored(marked.select(F.col("id").alias("marked_id"), F.col("key").alias("marked_key"), "places"), "passage-marks")
-    held = marked.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + F.length(p)) + 40).alias("n")).head()["n"] or 0
-    side = F.broadcast(marked) if held <= BROADCAST_BYTES else marked
-    joined = rows.join(side, (F.col("id") == F.col("marked_id")) & (F.col("key") == F.col("marked_key")), "left").select("id", "text", "places")
+    gone = stored(removals(marked_windows(known, window, ranges), window), "passage-removals")
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "spans")
+    held = gone.agg(F.sum(F.octet_length("spans") + 40).alias("n")).head()["n"] or 0
+    side = F.broadcast(gone) if held <= BROADCAST_BYTES else gone
+    joined = rows.join(side, (F.col("id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left").select("id", "text", "spans")
     span = T.StructType().add("start", "long").add("end", "long")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("n_words", "long").add("n_removed", "long").add("removed", T.ArrayType(span)).add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, spans, kept = [], [], [], []
-            for text, lists in zip(batch.column("text"), batch.column("places"), strict=True):
+            for text, cut in zip(batch.column("text"), batch.column("spans"), strict=True):
                 words = words_of(text.as_py())
-                places = [np.frombuffer(x, "<u4").astype("i8") for x in lists.as_py() or []]
-                cuts = intervals(np.unique(np.concatenate(places)), window) if places else []
+                cuts = np.frombuffer(cut.as_py() or b"", "<u4").reshape(-1, 2).tolist()
                 parts, at = [], 0
                 for a, b in cuts:
                     parts += words[at:a]
