@@ -81,10 +81,10 @@ def test_rates_equal_least_squares(spark):
     p, n = rng.dirichlet([0.5] * 3, 300), rng.integers(0, 50, 300)
     df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(300)], "id long, tokens long, p array<double>")
     for targets in ([0.2, 0.5, 0.3], [0.0, 0.0, 1.0]):
-        steps = mixing.fit_rates(df, targets)
-        got = np.array([r.rate for r in df.select("id", mixing.rate_of(steps).alias("rate")).orderBy("id").collect()])
+        rates = mixing.fit_rates(df, targets, rounds=50)        # more than a stretch, and not a whole number of them
+        got = np.array([r.rate for r in df.join(rates, "p").orderBy("id").collect()])
         start, wanted, rate = (n[:, None] * p).sum(0), np.array(targets) * n.sum(), np.ones(300)
-        for _ in range(mixing.ROUNDS):
+        for _ in range(50):
             miss = ((n * rate)[:, None] * p).sum(0) - wanted
             if abs(miss).max() <= mixing.MISS * n.sum():
                 break

@@ -7,19 +7,22 @@ the words that are clearly more common in some domain, and both their presence
 and their absence.  Documents get nonnegative rates
 (how often each is to be used), fitted by projected-gradient least squares so
 that the domains' expected tokens - the sum of rate x tokens x posterior -
-meet their targets.  A gradient step needs one number a domain, so a round is
-one aggregate over the narrow posterior table; a document's rate is a fold
-over the rounds' numbers and is never stored between them.
+meet their targets.  A rate depends on the posterior alone, so documents of one
+posterior are one row with their tokens summed; a gradient step needs one
+number a domain, so a round is one aggregate over those rows, which are
+rewritten with their rates every few rounds.  Tokens here are words.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.shared import stored, text_or_empty
+from veritext.llm.shared import discard, stored, text_or_empty
+from veritext.session import side
 
 #: Labelled documents (expected number) that the classifier is fitted on.
 SAMPLE_DOCS = 20_000
@@ -28,8 +31,9 @@ BUCKETS, PULL = 1 << 16, 4.0
 #: A bucket counts if it is in so many labelled documents, and in some domain so many
 #: standard deviations and so much (log ratio) above its share overall; smaller domains don't select.
 LEAST_DOCS, LEAST_SCORE, LEAST_RATIO, LEAST_DOMAIN = 10, 5.0, 0.7, 20
-#: Rounds at most, and the relative miss of the targets at which they end.
-ROUNDS, MISS = 60, 1e-6
+#: Rounds at most, and the relative miss of the targets at which they end; or, if the targets
+#: cannot be met, the relative change of the misses over a stretch of rounds after which the rates are written.
+ROUNDS, MISS, STRETCH, STALL = 600, 1e-6, 20, 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -97,10 +101,10 @@ def posteriors(docs: DataFrame, weights: DataFrame, start: list[float], id_col:
     return odds.select("id", "tokens", F.transform("odds", lambda x: x / total).alias("p"))
 
 
-def rate_of(steps: list[list[float]], least: float = 0.0) -> Column:
-    """The rate after the rounds' steps: from 1, each subtracts the posterior
+def rate_of(steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
+    """The rate after the rounds' steps: from ``start`` (1), each subtracts the posterior
     mean of the domains' misses and projects to ``least`` or more."""
-    rate = F.lit(1.0)
+    rate = F.lit(1.0) if start is None else start
     if not steps:
         return rate
     history = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
@@ -108,8 +112,8 @@ def rate_of(steps: list[list[float]], least: float = 0.0) -> Column:
     return F.aggregate(history, rate, lambda r, s: F.greatest(F.lit(float(least)), r - move(s)))
 
 
-def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, rounds: int = ROUNDS, keep: int | None = None) -> list[list[float]]:
-    """The rounds' steps that bring sum(rate * tokens * p_k) to target_k * total.
+def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, rounds: int = ROUNDS, keep: int | None = None) -> DataFrame:
+    """(p, rate) for every posterior of ``table`` (tokens, p), so that sum(rate * tokens * p_k) comes to target_k * total.
 
     With ``keep`` no other domain gets more than its tokens at rate 1; the
     domain ``keep`` gets what they leave, its own tokens at least.
@@ -117,25 +121,39 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
     Least squares of the misses, each over the domain's tokens at rate 1, by
     projected gradient in the metric that weighs a document by its tokens;
     in it the steepest curvature is 1 at most, so a full step never overshoots.
+    Rounds go on until every target is met to ``MISS`` of all tokens, or, if
+    no rates meet them, until the misses stay as they are; ``rounds`` without
+    either is reported as a warning with the miss left.
     """
     k = range(len(targets))
 
-    def sums(steps: list[list[float]]) -> list[float]:
-        used = F.col("tokens") * rate_of(steps)
-        row = table.agg(*[F.sum(used * F.element_at("p", i + 1)).alias(f"s_{i}") for i in k]).head()
+    def sums(rows: DataFrame, steps: list[list[float]]) -> list[float]:
+        used = F.col("tokens") * rate_of(steps, start=F.col("rate"))
+        row = rows.agg(*[F.sum(used * F.element_at("p", i + 1)).alias(f"s_{i}") for i in k]).head()
         return [float(x or 0.0) for x in row]
 
-    start = sums([])
+    rows = stored(table.groupBy("p").agg(F.sum("tokens").alias("tokens")).withColumn("rate", F.lit(1.0)), "mix-groups")
+    start = sums(rows, [])
     total = sum(start) if total is None else total
     wanted = [t / sum(targets) * total for t in targets]
     if keep is not None:
         wanted = [min(w, s) for w, s in zip(wanted, start, strict=True)]
         wanted[keep] = max(start[keep], total - sum(w for i, w in enumerate(wanted) if i != keep))
-    steps, now = [], start
-    while len(steps) < rounds and max(abs(s - w) for s, w in zip(now, wanted, strict=True)) > MISS * max(total, 1.0):
+    worst = lambda now: max(abs(s - w) for s, w in zip(now, wanted, strict=True)) / max(total, 1.0)
+    steps, now, done, before = [], start, 0, worst(start)
+    while worst(now) > MISS:
+        if done == rounds:
+            warnings.warn(f"{rounds} rounds leave a target missed by {worst(now):.3g} of all tokens", stacklevel=2)
+            break
         steps.append([(s - w) / b if b else 0.0 for s, w, b in zip(now, wanted, start, strict=True)])
-        now = sums(steps)
-    return steps
+        now, done = sums(rows, steps), done + 1
+        if len(steps) == STRETCH:
+            last, rows, steps = rows, stored(rows.withColumn("rate", rate_of(steps, start=F.col("rate"))), "mix-groups"), []
+            discard(last)
+            if before - worst(now) < STALL:                                             # no rates come nearer
+                break
+            before = worst(now)
+    return rows.select("p", rate_of(steps, start=F.col("rate")).alias("rate"))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
@@ -157,10 +175,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         tokens = _bags(docs, id_col, text_col).groupBy(F.col("id").alias(id_col)).agg(F.sum("n").alias("tokens"))
         return tokens.select(id_col, "tokens", F.create_map().cast("map<string,double>").alias("p"), F.lit(1.0).alias("rate"))
     table = stored(posteriors(docs, weights, priors, id_col, text_col), "mix-posteriors")
-    steps = fit_rates(table, [targets[d] for d in found], total, keep=found.index(keep) if keep in found else None)
+    rates = fit_rates(table, [targets[d] for d in found], total, keep=found.index(keep) if keep in found else None)
     names = F.array(*[F.lit(d) for d in found])
-    rated = table.withColumn("rate", F.round(rate_of(steps), 9)).withColumn("p", F.map_from_arrays(names, "p"))
-    return rated.select(F.col("id").alias(id_col), "tokens", "p", "rate")
+    rated = table.join(side(rates, 16 * len(found) + 40), "p").select(F.col("id").alias(id_col), "tokens", F.map_from_arrays(names, "p").alias("p"), F.round("rate", 9).alias("rate"))
+    return rated
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
