@@ -59,6 +59,10 @@ FILE_NAME_CHARS = FX.FILE_NAME_CHARS
 QUERY_NAME_CHARS = FX.QUERY_NAME_CHARS
 
 
+#: References that pages are full of.
+COMMON_NAMES = ("nbsp", "quot", "lt", "gt", "copy", "middot", "apos", "ndash", "mdash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "raquo", "laquo", "reg")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -108,8 +112,15 @@ def decode_entities(col) -> Column:
                 .when(older.isNotNull(), F.concat(older, F.substr(p, F.length(loose) + 1)))
                 .otherwise(F.concat(F.lit("&"), p)))
 
+    # nearly all references are one of a few names: told by their first characters, without a pattern or the table
+    def piece(p: Column) -> Column:
+        found = F.when(p.startswith("amp;"), F.concat(F.lit("&"), F.substr(p, F.lit(5))))
+        for common in COMMON_NAMES:
+            found = found.when(p.startswith(f"{common};"), F.concat(F.lit(_NAMES[common]), F.substr(p, F.lit(len(common) + 2))))
+        return found.when(p.rlike("^[#A-Za-z]"), one(p)).otherwise(F.concat(F.lit("&"), p))
+
     pieces = F.split(c, "&")
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
     return F.when(c.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(c)
 
 

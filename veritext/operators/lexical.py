@@ -12,11 +12,10 @@ Scale
 * Scoring does not emit (question, chunk) pairs: the per-term query weights
   are broadcast (row count checked) and each index partition scores its rows
   in Arrow batches, keeping the k best per question (as the vector path).
-* Fuzzy expansion joins query terms to the vocabulary on keys that two terms
-  within the allowed edits always share: deletion variants for short terms,
-  position-tagged segments for long ones (so the number of keys is bounded
-  and their size linear in the term).  A swap of neighbours is one edit.
-  Candidates are then verified; all that pass are kept.
+* An index with a postings table is not scanned: see ``operators.postings``.
+* Fuzzy expansion walks tries of the sorted vocabulary with Levenshtein
+  automata of the query terms (``operators.trie``); a swap of neighbours is
+  one edit, and all terms within the edits are kept.
 """
 
 from __future__ import annotations
@@ -31,14 +30,13 @@ from pyspark.sql import types as T
 from veritext.functions.text import tokens
 from veritext.functions.vectors import TopK, round_score
 from veritext.operators.retrieve import MAX_QUERY_BLOCK, SCORE_CELLS, merge_topk, topk_frame
+from veritext.operators.trie import expansions
 from veritext.session import side, stored
 
 K1 = 1.2
 B = 0.75
 MAX_WEIGHT_ROWS = 500_000       # (question, term, weight) rows per scoring block (driver + broadcast)
 DENSE_CELLS = 16_000_000        # terms x questions kept dense per task
-DELETIONS_UP_TO = 14            # longest query term matched through deletion variants
-SWAP_ALL = 64                   # longest term whose swaps are all tried
 
 
 def auto_edits(term: Column) -> Column:
@@ -47,25 +45,6 @@ def auto_edits(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def deletion_variants(term: Column, max_del: Column | int) -> Column:
-    """array<struct<variant, dels>>: the term with 0, 1 or 2 characters deleted."""
-    md = F.lit(max_del) if isinstance(max_del, int) else max_del
-    n = F.length(term)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    one = F.transform(idx, lambda i: F.struct(F.concat(F.substr(term, F.lit(1), i - 1),
-                                                       F.substr(term, i + 1)).alias("variant"), F.lit(1).alias("dels")))
-    # i < j pairs directly (n(n-1)/2 of them); this branch only runs for terms
-    # of 6+ characters (AUTO rule), the greatest() guards keep sequences ascending
-    two = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(
-        F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: F.struct(
-            F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1, j - i - 1),
-                     F.substr(term, j + 1)).alias("variant"), F.lit(2).alias("dels")))))
-    zero = F.array(F.struct(term.alias("variant"), F.lit(0).alias("dels")))
-    return (F.when(md <= 0, zero)
-            .when(md == 1, F.concat(zero, F.when(n > 0, one).otherwise(F.array().cast("array<struct<variant:string,dels:int>>"))))
-            .otherwise(F.concat(zero, one, two)))
-
-
 def with_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``terms array<string>, term_ids array<bigint>, tfs array<int>, dl int``:
     the distinct tokens of the text (sorted), their xxhash64 ids, their counts
@@ -81,7 +60,7 @@ def with_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
                    lambda i: (i < n) & (F.element_at(s_, i) != F.element_at(s_, i + 1)))
     srt = srt.withColumn("_e", F.when(n == 0, F.array().cast("array<int>")).otherwise(F.concat(cut, F.array(n))))
     e_ = F.col("_e")
-    prev = F.concat(F.array(F.lit(0)), F.slice(e_, 1, F.greatest(F.size(e_) - 1, F.lit(0))))
+    prev = F.slice(F.concat(F.array(F.lit(0)), e_), 1, F.size(e_))      # of an empty text none
     out = (srt.withColumn("terms", F.transform(e_, lambda e: F.element_at(s_, e)))
            .withColumn("tfs", F.zip_with(e_, prev, lambda e, p: e - p))
            .withColumn("dl", n))
@@ -99,91 +78,14 @@ def vocabulary(index: DataFrame, text: str = "text") -> DataFrame:
     return index.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("vterm")).distinct()
 
 
-def segment_keys(term: Column) -> Column:
-    """Keys of a query term of more than ``DELETIONS_UP_TO`` characters.
-
-    The term is cut into 2 * 2 + 1 segments: two edits, a swap of neighbours
-    counting as one, touch four of them at most, so one is left as it is.
-    """
-    n = F.length(term)
-    at = lambda j: F.floor(n * j / 5).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.concat_ws("#", n, j, F.substr(term, at(j) + 1, at(j + 1) - at(j))))
-
-
-def vocabulary_segments(term: Column) -> Column:
-    """Keys of a vocabulary term for query terms of at most two characters
-    more or less: each of their segments, moved by at most two places."""
-    m = F.length(term)
-
-    def of_length(n):
-        at = lambda j: F.floor(n * j / 5).cast("int")
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.transform(
-            F.sequence(F.lit(-2), F.lit(2)), lambda d: F.when(
-                (at(j) + d >= 0) & (at(j + 1) + d <= m),
-                F.concat_ws("#", n, j, F.substr(term, at(j) + d + 1, at(j + 1) - at(j)))))))
-
-    lengths = F.filter(F.sequence(m - 2, m + 2), lambda n: n > DELETIONS_UP_TO)
-    return F.filter(F.array_distinct(F.flatten(F.transform(lengths, of_length))), lambda x: x.isNotNull())
-
-
-def vocabulary_variants(vocab: DataFrame) -> DataFrame:
-    """``variant, vterm, vdels``: the keys of every vocabulary term.
-
-    Built once with the index (``plans.index``) and reused by every fuzzy
-    query; it depends on the vocabulary only.  A vocabulary term needs no
-    more deletions than the AUTO rule gives its own length: a match with two
-    deletions on the vocabulary side has no insertions, so the query term is
-    at most as long and itself allows at most that many edits.
-    """
-    n = F.length("vterm")
-    # the same variant arises from different positions (e.g. a doubled letter)
-    short = vocab.filter(n <= DELETIONS_UP_TO + 2).select("vterm", F.explode(F.array_distinct(
-        deletion_variants(F.col("vterm"), auto_edits(F.col("vterm"))))).alias("v"))
-    long = vocab.filter(n > DELETIONS_UP_TO - 2).select("vterm", F.explode(vocabulary_segments(F.col("vterm"))).alias("variant"))
-    return (short.select(F.col("v.variant").alias("variant"), "vterm", F.col("v.dels").alias("vdels"))
-            .unionByName(long.select("variant", "vterm", F.lit(0).alias("vdels"))))
-
-
-def swapped(term: Column, other: Column) -> Column:
-    """The term with a pair of neighbours swapped, for each pair.  In a term
-    of more than ``SWAP_ALL`` characters, only pairs that ``other`` does not
-    hold within two places: all else is equal there."""
-    n = F.length(term)
-    at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    here = lambda i: F.substr(term, i, F.lit(2))
-    changed = F.filter(at, lambda i: ~F.substr(other, F.greatest(i - 2, F.lit(1)), F.lit(6)).contains(here(i)))
-    swap = lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1, F.lit(1)), F.substr(term, i, F.lit(1)), F.substr(term, i + 2))
-    return F.when(n > 1, F.transform(F.when(n > SWAP_ALL, changed).otherwise(at), swap)).otherwise(F.array().cast("array<string>"))
-
-
-def edits_up_to_two(a: Column, b: Column) -> Column:
-    """Edits between two strings, a swap of neighbours being one; null beyond 2."""
-    lev = F.levenshtein(a, b, 4)                   # -1 beyond 4: a swap is two of these edits
-    two = (F.exists(swapped(a, b), lambda x: F.levenshtein(x, b, 1) >= 0) | F.exists(swapped(b, a), lambda x: F.levenshtein(a, x, 1) >= 0)
-           | F.arrays_overlap(swapped(a, b), swapped(b, a)))
-    return (F.when(lev.between(0, 1), lev).when((lev == 2) & F.array_contains(swapped(a, b), b), 1).when(lev == 2, 2)
-            .when((lev > 2) & two, 2))
-
-
-def fuzzy_terms(qterms: DataFrame, vocab: DataFrame | None = None, max_expansions: int | None = None,
-                variants: DataFrame | None = None) -> DataFrame:
-    """``term, vterm, edits, boost`` for every query term (AUTO edits).
+def fuzzy_terms(qterms: DataFrame, vocab: DataFrame, max_expansions: int | None = None) -> DataFrame:
+    """``term, vterm, edits, boost`` for every query term (AUTO edits) and term of ``vocab`` (vterm).
 
     boost = 1 - edits / min(len(term), len(vterm)).  Every vocabulary term
     within the edits is kept; ``max_expansions`` (off by default) keeps only
     so many per query term, closest first, then alphabetical.
     """
-    qt = qterms.select("term").distinct().withColumn("k", auto_edits(F.col("term")))
-    short = (qt.filter(F.length("term") <= DELETIONS_UP_TO)
-             .select("term", "k", F.explode(deletion_variants(F.col("term"), F.col("k"))).alias("v"))
-             .select("term", "k", F.col("v.variant").alias("variant")))
-    long = (qt.filter(F.length("term") > DELETIONS_UP_TO)
-            .select("term", "k", F.explode(segment_keys(F.col("term"))).alias("variant")))
-    qv = stored(short.unionByName(long).distinct(), "query-variants")
-    vv = variants if variants is not None else vocabulary_variants(vocab)
-    cand = vv.join(side(qv), "variant").filter(F.col("vdels") <= F.col("k")).select("term", "vterm", "k").distinct()
-    near = cand.filter(F.abs(F.length("term") - F.length("vterm")) <= F.col("k"))
-    found = near.withColumn("edits", edits_up_to_two(F.col("term"), F.col("vterm"))).filter(F.col("edits") <= F.col("k"))
+    found = expansions(qterms.select("term").distinct().withColumn("k", auto_edits(F.col("term"))), vocab)
     if max_expansions is not None:
         w = Window.partitionBy("term").orderBy("edits", "vterm")
         found = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_expansions)

@@ -18,6 +18,7 @@ from veritext.operators import lexical as L
 from veritext.operators import phrases as P
 from veritext.operators import qlog as QL
 from veritext.operators import retrieve as R
+from veritext.operators.postings import postings_topk
 from veritext.plans import qa
 from veritext.plans.index import build_chunk_index, stored_chunk_index, stored_term_tables
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
@@ -113,9 +114,8 @@ def _page_index(spark, d):
 
 def q_page_bm25_topk(spark, d):
     """Pages -> documents -> chunks -> index -> BM25."""
-    index = _page_index(spark, d)
-    stats, _ = stored_term_tables(spark, f"{d}/pages.parquet", _page_documents(spark, d), DIMS, title="title")
-    return L.bm25_topk(index, L.query_weights(questions(table(spark, d, "benchmark"))), K, id_col="chunk_id", stored_stats=stats)
+    terms = stored_term_tables(spark, f"{d}/pages.parquet", _page_documents(spark, d), DIMS, title="title")
+    return postings_topk(terms.postings, terms.df, L.query_weights(questions(table(spark, d, "benchmark"))), K)
 
 
 def q_page_source_labels(spark, d):
@@ -288,23 +288,25 @@ def _term_tables(spark, d):
 
 
 def q_bm25_topk(spark, d):
-    qs = questions(table(spark, d, "benchmark"))
-    stats, _ = _term_tables(spark, d)
-    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs), K, id_col="chunk_id", stored_stats=stats)
+    terms = _term_tables(spark, d)
+    return postings_topk(terms.postings, terms.df, L.query_weights(questions(table(spark, d, "benchmark"))), K)
+
+
+def q_bm25_topk_scan(spark, d):
+    """The same by a scan of every chunk's terms, as for an index without postings."""
+    terms = _term_tables(spark, d)
+    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(questions(table(spark, d, "benchmark"))), K, id_col="chunk_id",
+                       stored_stats=(terms.stats, terms.df))
 
 
 def q_fuzzy_terms(spark, d):
-    qs = questions(table(spark, d, "benchmark"))
-    _, variants = _term_tables(spark, d)
-    return L.fuzzy_terms(L.question_terms(qs), variants=variants)
+    return L.fuzzy_terms(L.question_terms(questions(table(spark, d, "benchmark"))), _term_tables(spark, d).df)
 
 
 def q_bm25_fuzzy_topk(spark, d):
-    qs = questions(table(spark, d, "benchmark"))
-    stats, variants = _term_tables(spark, d)
-    fz = stored(L.fuzzy_terms(L.question_terms(qs), variants=variants), "fuzzy-terms")
-    return L.bm25_topk(_chunk_index(spark, d), L.query_weights(qs, fuzzy=fz), K, id_col="chunk_id",
-                       stored_stats=stats)
+    qs, terms = questions(table(spark, d, "benchmark")), _term_tables(spark, d)
+    fz = stored(L.fuzzy_terms(L.question_terms(qs), terms.df), "fuzzy-terms")
+    return postings_topk(terms.postings, terms.df, L.query_weights(qs, fuzzy=fz), K)
 
 
 def q_log_pairs(spark, d):
@@ -351,6 +353,7 @@ def queries() -> dict[str, Query]:
         "document_report_counts": q_document_report_counts,
         "retrieval_route": q_retrieval_route,
         "bm25_topk": q_bm25_topk,
+        "bm25_topk_scan": q_bm25_topk_scan,
         "fuzzy_terms": q_fuzzy_terms,
         "bm25_fuzzy_topk": q_bm25_fuzzy_topk,
         "hash_embeddings": q_hash_embeddings,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
 from veritext.operators import lexical as L
+from veritext.operators import postings as P
 from veritext.session import scratch_path
 
 INDEX_COLUMNS = ["chunk_id", "doc_id", "pos", "id", "title", "article", "paragraph", "text", "embedding",
                  "terms", "term_ids", "tfs", "dl"]
+VOCABULARY_PART = 100_000      # terms of a part of the sorted vocabulary, about
 _BUILT: set[str] = set()
 _LOCK = threading.Lock()       # one build per index even if queries run in threads
 
@@ -42,14 +45,26 @@ def build_chunk_index(documents: DataFrame, path: str, dims: int = E.DEFAULT_DIM
     return E.rebuild_index(_with_terms(vec).select(*INDEX_COLUMNS, "valid", "reason"), path)
 
 
+@dataclass
+class TermTables:
+    """The lexical side of a stored index: corpus statistics, document
+    frequencies in the order of the terms (the vocabulary), postings."""
+
+    stats: DataFrame
+    df: DataFrame
+    postings: P.Postings
+
+
 def build_term_tables(index: DataFrame, path: str) -> None:
-    """Lexical side of the index: corpus stats, document frequencies, and the
-    vocabulary deletion variants used by fuzzy matching (written once)."""
-    stats, df = L.term_stats(index)   # uses the stored term columns when present
+    """Write the lexical side of an index below ``path`` (from its stored term columns)."""
+    spark = index.sparkSession
+    stats, df = L.term_stats(index)
     stats.write.mode("overwrite").parquet(f"{path}/stats")
-    df.write.mode("overwrite").parquet(f"{path}/df")
-    vocab = index.sparkSession.read.parquet(f"{path}/df").select("vterm")
-    L.vocabulary_variants(vocab).write.mode("overwrite").parquet(f"{path}/variants")
+    df.write.mode("overwrite").parquet(f"{path}/df_unsorted")
+    df = spark.read.parquet(f"{path}/df_unsorted")
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // VOCABULARY_PART))
+    df.repartitionByRange(parts, "vterm").sortWithinPartitions("vterm").write.mode("overwrite").parquet(f"{path}/df")
+    P.build_postings(index, f"{path}/lists", spark.read.parquet(f"{path}/stats"))
 
 
 def _index_path(spark: SparkSession, documents_path: str, dims: int) -> str:
@@ -82,9 +97,8 @@ def stored_chunk_index(spark: SparkSession, documents_path: str, documents: Data
 
 
 def stored_term_tables(spark: SparkSession, documents_path: str, documents: DataFrame,
-                       dims: int = E.DEFAULT_DIMS, title: str | None = None):
-    """``(stats, df), variants`` of the stored index (built with it)."""
+                       dims: int = E.DEFAULT_DIMS, title: str | None = None) -> TermTables:
+    """The lexical side of the stored index (built with it)."""
     stored_chunk_index(spark, documents_path, documents, dims, title)
     base = _index_path(spark, documents_path, dims) + "_terms"
-    return ((spark.read.parquet(f"{base}/stats"), spark.read.parquet(f"{base}/df")),
-            spark.read.parquet(f"{base}/variants"))
+    return TermTables(spark.read.parquet(f"{base}/stats"), spark.read.parquet(f"{base}/df"), P.open_postings(spark, f"{base}/lists"))
