@@ -18,9 +18,10 @@ from veritext.operators import lexical as L
 from veritext.operators import phrases as P
 from veritext.operators import qlog as QL
 from veritext.operators import retrieve as R
+from veritext.operators.cells import cells_topk
 from veritext.operators.postings import postings_topk
 from veritext.plans import qa
-from veritext.plans.index import build_chunk_index, stored_chunk_index, stored_term_tables
+from veritext.plans.index import build_chunk_index, stored_cells, stored_chunk_index, stored_term_tables
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path, side, stored
 from veritext.sources.tables import questions
@@ -173,6 +174,18 @@ def q_semantic_topk_batch(spark, d):
     return R.semantic_topk_batch(emb, R.centroids(emb, ["label"]), K, id_col="vec_id", qid="label")
 
 
+def q_semantic_topk_cells(spark, d):
+    """The same rows from the cells that the bounds leave."""
+    emb = table(spark, d, "embeddings")
+    made = stored_cells(spark, f"{d}/embeddings.parquet", emb, "vec_id", INDEX_DIMS)
+    return cells_topk(made, R.centroids(emb, ["label"]), K, qid="label")
+
+
+def q_chunk_semantic_topk_cells(spark, d):
+    made = stored_cells(spark, f"{d}/documents.parquet", _chunk_index(spark, d), "chunk_id", DIMS)
+    return cells_topk(made, _question_vectors(spark, d), K, qid="question_id")
+
+
 def _chunk_index(spark, d):
     return stored_chunk_index(spark, f"{d}/documents.parquet", table(spark, d, "documents"), DIMS)
 
@@ -362,7 +375,9 @@ def queries() -> dict[str, Query]:
         "index_rebuild_counts": q_index_rebuild_counts,
         "semantic_topk": q_semantic_topk,
         "semantic_topk_batch": q_semantic_topk_batch,
+        "semantic_topk_cells": q_semantic_topk_cells,
         "chunk_semantic_topk": q_chunk_semantic_topk,
+        "chunk_semantic_topk_cells": q_chunk_semantic_topk_cells,
         "sparse_semantic_topk": q_sparse_semantic_topk,
         "source_labels": q_source_labels,
         "source_labels_bm25": q_source_labels_bm25,

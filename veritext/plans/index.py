@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.operators import cells as V
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
 from veritext.operators import lexical as L
@@ -102,3 +103,15 @@ def stored_term_tables(spark: SparkSession, documents_path: str, documents: Data
     stored_chunk_index(spark, documents_path, documents, dims, title)
     base = _index_path(spark, documents_path, dims) + "_terms"
     return TermTables(spark.read.parquet(f"{base}/stats"), spark.read.parquet(f"{base}/df"), P.open_postings(spark, f"{base}/lists"))
+
+
+def stored_cells(spark: SparkSession, source: str, index: DataFrame, id_col: str, dims: int) -> V.Cells:
+    """The cell index of a table's vectors, built unless a session with the
+    same checkpoint folder has built it for the same input files."""
+    path = _index_path(spark, source, dims) + "_cells"
+    with _LOCK:
+        if path not in _BUILT and not _built(spark, path):
+            V.build_cells(index, path, id_col)
+            spark.range(1).select(F.lit("done").alias("value")).write.mode("overwrite").text(f"{path}_done")
+        _BUILT.add(path)
+    return V.open_cells(spark, path, id_col)
