@@ -83,12 +83,16 @@ def test_rates_equal_least_squares(spark):
     for targets in ([0.2, 0.5, 0.3], [0.0, 0.0, 1.0]):
         rates = mixing.fit_rates(df, targets, rounds=50)        # more than a stretch, and not a whole number of them
         got = np.array([r.rate for r in df.join(rates, "p").orderBy("id").collect()])
-        start, wanted, rate = (n[:, None] * p).sum(0), np.array(targets) * n.sum(), np.ones(300)
+        start, wanted = (n[:, None] * p).sum(0), np.array(targets) * n.sum()
+        miss = lambda r: ((n * r)[:, None] * p).sum(0) - wanted  # noqa: E731, B023
+        rate, before, speed = np.ones(300), np.ones(300), 1.0
         for _ in range(50):
-            miss = ((n * rate)[:, None] * p).sum(0) - wanted
-            if abs(miss).max() <= mixing.MISS * n.sum():
+            if abs(miss(rate)).max() <= mixing.MISS * n.sum():
                 break
-            rate = np.maximum(0, rate - p @ (miss / start))
+            faster = (1 + (1 + 4 * speed ** 2) ** 0.5) / 2
+            ahead = rate + (speed - 1) / faster * (rate - before)
+            rate, before = np.maximum(0, ahead - p @ (miss(ahead) / start)), rate
+            speed = faster if (miss(rate) ** 2 / start).sum() <= (miss(before) ** 2 / start).sum() else 1.0
         assert np.allclose(got, rate, atol=1e-8) and (got >= 0).all()
     assert abs(((n * got)[:, None] * p).sum(0) - wanted).max() < 0.3 * n.sum()
 

@@ -101,15 +101,24 @@ def posteriors(docs: DataFrame, weights: DataFrame, start: list[float], id_col:
     return odds.select("id", "tokens", F.transform("odds", lambda x: x / total).alias("p"))
 
 
-def rate_of(steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
-    """The rate after the rounds' steps: from ``start`` (1), each subtracts the posterior
-    mean of the domains' misses and projects to ``least`` or more."""
-    rate = F.lit(1.0) if start is None else start
+def after_steps(steps: list[list[float]], least: float = 0.0) -> Column:
+    """[rate, the rate before] of a row (p, rate, before) after some rounds.
+
+    A step is its momentum and one number a domain: the rate moves on by the
+    momentum of its last change, loses the posterior mean of the numbers and
+    is projected to ``least`` or more.
+    """
+    state = F.array("rate", "before")
     if not steps:
-        return rate
+        return state
     history = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda s: F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, rate, lambda r, s: F.greatest(F.lit(float(least)), r - move(s)))
+
+    def step(now: Column, s: Column) -> Column:
+        rate, before = F.element_at(now, 1), F.element_at(now, 2)
+        move = F.aggregate(F.zip_with("p", F.slice(s, 2, F.size("p")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.array(F.greatest(F.lit(float(least)), rate + F.element_at(s, 1) * (rate - before) - move), rate)
+
+    return F.aggregate(history, state, step)
 
 
 def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, rounds: int = ROUNDS, keep: int | None = None) -> DataFrame:
@@ -121,6 +130,8 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
     Least squares of the misses, each over the domain's tokens at rate 1, by
     projected gradient in the metric that weighs a document by its tokens;
     in it the steepest curvature is 1 at most, so a full step never overshoots.
+    Steps have Nesterov's momentum, which starts anew when the misses grow; as
+    the sums are linear in the rates, those of the moved point need no pass.
     Rounds go on until every target is met to ``MISS`` of all tokens, or, if
     no rates meet them, until the misses stay as they are; ``rounds`` without
     either is reported as a warning with the miss left.
@@ -128,11 +139,11 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
     k = range(len(targets))
 
     def sums(rows: DataFrame, steps: list[list[float]]) -> list[float]:
-        used = F.col("tokens") * rate_of(steps, start=F.col("rate"))
+        used = F.col("tokens") * F.element_at(after_steps(steps), 1)
         row = rows.agg(*[F.sum(used * F.element_at("p", i + 1)).alias(f"s_{i}") for i in k]).head()
         return [float(x or 0.0) for x in row]
 
-    rows = stored(table.groupBy("p").agg(F.sum("tokens").alias("tokens")).withColumn("rate", F.lit(1.0)), "mix-groups")
+    rows = stored(table.groupBy("p").agg(F.sum("tokens").alias("tokens")).withColumns({"rate": F.lit(1.0), "before": F.lit(1.0)}), "mix-groups")
     start = sums(rows, [])
     total = sum(start) if total is None else total
     wanted = [t / sum(targets) * total for t in targets]
@@ -140,20 +151,26 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
         wanted = [min(w, s) for w, s in zip(wanted, start, strict=True)]
         wanted[keep] = max(start[keep], total - sum(w for i, w in enumerate(wanted) if i != keep))
     worst = lambda now: max(abs(s - w) for s, w in zip(now, wanted, strict=True)) / max(total, 1.0)
-    steps, now, done, before = [], start, 0, worst(start)
+    square = lambda now: sum((s - w) ** 2 / b for s, w, b in zip(now, wanted, start, strict=True) if b)
+    steps, now, last, speed, done, before = [], start, start, 1.0, 0, worst(start)
     while worst(now) > MISS:
         if done == rounds:
             warnings.warn(f"{rounds} rounds leave a target missed by {worst(now):.3g} of all tokens", stacklevel=2)
             break
-        steps.append([(s - w) / b if b else 0.0 for s, w, b in zip(now, wanted, start, strict=True)])
-        now, done = sums(rows, steps), done + 1
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        momentum = (speed - 1) / faster
+        moved = [s + momentum * (s - x) for s, x in zip(now, last, strict=True)]
+        steps.append([momentum, *[(s - w) / b if b else 0.0 for s, w, b in zip(moved, wanted, start, strict=True)]])
+        last, now, done = now, sums(rows, steps), done + 1
+        speed = faster if square(now) <= square(last) else 1.0
         if len(steps) == STRETCH:
-            last, rows, steps = rows, stored(rows.withColumn("rate", rate_of(steps, start=F.col("rate"))), "mix-groups"), []
-            discard(last)
+            state = rows.withColumn("state", after_steps(steps))
+            written, rows, steps = rows, stored(state.select("p", "tokens", F.element_at("state", 1).alias("rate"), F.element_at("state", 2).alias("before")), "mix-groups"), []
+            discard(written)
             if before - worst(now) < STALL:                                             # no rates come nearer
                 break
-            before = worst(now)
-    return rows.select("p", rate_of(steps, start=F.col("rate")).alias("rate"))
+            before = min(before, worst(now))
+    return rows.select("p", F.element_at(after_steps(steps), 1).alias("rate"))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
