@@ -14,6 +14,7 @@ own key instead of shifting later vectors.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.functions.text import py_strip
+from veritext.session import scratch_path, stored
+from veritext.sources import snapshots
 
 DEFAULT_DIMS = 256
 
@@ -66,24 +69,102 @@ def _encoder_for(spec):
     return enc
 
 
+def encode_each(enc, texts: list[str]) -> tuple[list, list]:
+    """(vectors, errors) of the texts, null where there is none.
+
+    A batch that the encoder fails on is halved until the failing texts stand
+    alone, so one of them costs a few more calls and no other text its vector.
+    A result of the wrong number of rows is a failure as well.
+    """
+    if not texts:
+        return [], []
+    try:
+        vectors = list(enc.encode(texts))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors, [None] * len(texts)
+    except Exception as e:  # noqa: BLE001  whatever the plugged model raises
+        if len(texts) == 1:
+            return [None], [f"{type(e).__name__}: {e}"[:500]]
+        half = len(texts) // 2
+        first, second = encode_each(enc, texts[:half]), encode_each(enc, texts[half:])
+        return first[0] + second[0], first[1] + second[1]
+
+
 def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)),
-                out: str = "embedding") -> DataFrame:
+                out: str = "embedding", error: str | None = None) -> DataFrame:
     """All input columns plus ``<out> array<double>, dimension int``.
 
     The text is stripped first; a blank text gets a null vector on its own
-    row.  Only the text goes to the Python workers, and the result is marked
-    so that the planner never computes it twice for a filter above.
+    row.  So does a text that the encoder fails on, alone (``encode_each``);
+    ``error`` names a column for the reason.  Only the text goes to the Python
+    workers, and the result is marked so that the planner never computes it
+    twice for a filter above.
     """
-    @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<double>, error string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = _encoder_for(spec)
         for texts in batches:
-            blank = (texts == "").to_numpy()
-            vecs = enc.encode(texts.tolist()) if len(texts) else np.zeros((0, enc.dims))
-            yield pd.Series([None if b else v for b, v in zip(blank, vecs)], dtype=object)
-
-    vector = vectors.asNondeterministic()(F.coalesce(py_strip(F.col(text)), F.lit("")))
-    return df.withColumn(out, vector).withColumn("dimension", F.when(F.col(out).isNotNull(), F.size(out)))
+            filled = (texts != "").to_numpy()
+            vecs, errors = encode_each(enc, texts[filled].tolist())
+            made = pd.DataFrame({"vector": [None] * len(texts), "error": [None] * len(texts)}, dtype=object)
+            for i, v, e in zip(np.flatnonzero(filled), vecs, errors, strict=True):
+                made.at[i, "vector"], made.at[i, "error"] = v, e
+            yield made
+
+    made = vectors.asNondeterministic()(F.coalesce(py_strip(F.col(text)), F.lit("")))
+    rows = df.withColumn("_made", made)
+    rows = rows.withColumn(out, F.col("_made.vector"))
+    rows = rows if error is None else rows.withColumn(error, F.col("_made.error"))
+    return rows.drop("_made").withColumn("dimension", F.when(F.col(out).isNotNull(), F.size(out)))
+
+
+def encoder_key(spec) -> str:
+    """What tells one encoder's vectors from another's in a cache."""
+    factory, args = spec
+    return f"{factory.__module__}.{factory.__qualname__}{tuple(args)!r}"
+
+
+def embed_cached(df: DataFrame, cache: str, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)), out: str = "embedding") -> DataFrame:
+    """E2 across batches and sessions: ``embed_distinct`` whose vectors are kept below ``cache``.
+
+    Texts are looked up by encoder and SHA-256, and the text itself is
+    compared.  Only misses are encoded, each once; they are written to a folder
+    of their own, which one rename adds to the cache, so a lost executor or a
+    failed job adds nothing, and two writers of one text add equal rows of
+    which a lookup takes one.  Texts that the encoder fails on are not kept.
+    """
+    spark, kind = df.sparkSession, encoder_key(spec)
+    known = _cached(spark, cache).filter(F.col("encoder") == kind)
+    stripped = F.coalesce(py_strip(F.col(text)), F.lit(""))
+    keyed = df.withColumn("_h", F.sha2(stripped, 256))
+    asked = stored(keyed.filter(stripped != "").groupBy("_h").agg(F.any_value(stripped).alias("_text")), "cache-asked")
+    there = known.select(F.col("h").alias("_h"), F.col("text").alias("_text"), "vector")
+    there = there.join(asked, ["_h", "_text"], "left_semi").groupBy("_h").agg(F.any_value("vector").alias("vector"))
+    there = stored(there, "cache-hits")
+    misses = embed_texts(asked.join(there.select("_h"), "_h", "left_anti"), "_text", spec, "vector")
+    draft = scratch_path(spark, f"cache-draft-{uuid.uuid4().hex[:12]}")
+    misses.filter("vector IS NOT NULL").select(F.lit(kind).alias("encoder"), F.col("_h").alias("h"), F.col("_text").alias("text"), "vector").write.parquet(draft)
+    made = spark.read.schema(CACHE_SCHEMA).parquet(draft)
+    vectors = stored(there.unionByName(made.select(F.col("h").alias("_h"), "vector")), "cache-vectors")
+    if not made.isEmpty():
+        fs = spark._jvm.org.apache.hadoop.fs
+        files = fs.Path(cache).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(fs.Path(cache))
+        if not files.rename(fs.Path(draft), fs.Path(f"{cache}/batch-{uuid.uuid4().hex}")):
+            raise OSError(f"the new vectors could not be moved to {cache}")
+    return keyed.join(vectors.withColumnRenamed("vector", out), "_h", "left").drop("_h").withColumn("dimension", F.when(F.col(out).isNotNull(), F.size(out)))
+
+
+CACHE_SCHEMA = "encoder string, h string, text string, vector array<double>"
+
+
+def _cached(spark, cache: str) -> DataFrame:
+    """All rows of a cache: those of finished batches, each folder of which came by one rename."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files, path = fs.Path(cache).getFileSystem(spark._jsc.hadoopConfiguration()), fs.Path(cache)
+    batches = [s.getPath().toString() for s in files.listStatus(path)] if files.exists(path) else []
+    return spark.read.schema(CACHE_SCHEMA).parquet(*batches) if batches else spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def embed_distinct(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)),
@@ -116,12 +197,25 @@ def rebuild_index(validated: DataFrame, path: str) -> DataFrame:
     The success/failed counts are observed on the same pass that writes the
     index (``DataFrame.observe``), so the embedding is not computed twice.
     """
+    return _counted(validated, lambda rows: rows.write.mode("overwrite").parquet(path))
+
+
+def republish_index(validated: DataFrame, base: str) -> DataFrame:
+    """S5 for an index that is read meanwhile: the valid rows become its next
+    version (``sources.snapshots``), and versions that nobody reads go; return counts."""
+    spark = validated.sparkSession
+    counts = _counted(validated, lambda rows: snapshots.publish(spark, base, lambda path: rows.write.parquet(path)))
+    snapshots.remove_unread(spark, base)
+    return counts
+
+
+def _counted(validated: DataFrame, write) -> DataFrame:
     from pyspark.sql import Observation
 
     obs = Observation("index_rebuild")
     observed = validated.observe(obs, F.count_if(F.col("valid")).alias("success"),
                                  F.count_if(~F.col("valid")).alias("failed"))
-    observed.filter("valid").drop("valid", "reason").write.mode("overwrite").parquet(path)
+    write(observed.filter("valid").drop("valid", "reason"))
     m = obs.get
     return validated.sparkSession.createDataFrame([(int(m["success"]), int(m["failed"]))],
                                                   "success bigint, failed bigint")
