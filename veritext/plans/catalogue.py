@@ -6,11 +6,13 @@ tables in ``sf_dir``; column names match ``veritext.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.functions.text import py_strip
 from veritext.operators import corpus as C
 from veritext.operators import answer as A
 from veritext.operators import embed as E
@@ -24,6 +26,7 @@ from veritext.plans import qa
 from veritext.plans.index import build_chunk_index, stored_cells, stored_chunk_index, stored_term_tables
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path, side, stored
+from veritext.sources import snapshots
 from veritext.sources.tables import questions
 from veritext.plans.oracle import PHRASE
 from veritext.sources.tables import phrase_documents, table
@@ -164,6 +167,31 @@ def q_index_rebuild_counts(spark, d):
     return E.rebuild_index(_validated(spark, d), scratch_path(spark, "vector_index"))
 
 
+def q_index_republish_counts(spark, d):
+    """The index as versions: the second is published while a reader holds the first."""
+    base = scratch_path(spark, f"vector_index_versions-{uuid.uuid4().hex[:12]}")
+    first = E.republish_index(_validated(spark, d), base).first()
+    with snapshots.pinned(spark, base) as old:
+        counts = E.republish_index(_validated(spark, d), base)
+        read, versions = old.count(), len(snapshots.remove_unread(spark, base))
+    same = F.lit(read == first["success"] and versions == 0)      # the reader's version was whole, and stayed
+    return counts.select(*counts.columns, same.alias("reader_undisturbed"), F.lit(len(snapshots.remove_unread(spark, base))).cast("bigint").alias("versions_removed"))
+
+
+def q_embedding_cache_counts(spark, d):
+    """Two batches through the stored cache: texts asked for, and texts encoded."""
+    cache = scratch_path(spark, f"vector_cache-{uuid.uuid4().hex[:12]}")
+    documents = table(spark, d, "documents").select("text")
+    rows, held = [], 0
+    for batch, texts in enumerate((documents, documents.union(table(spark, d, "benchmark").select("text"))), 1):
+        found = E.embed_cached(texts, cache, spec=(E.HashingEncoder, (DIMS,)))
+        n = found.agg(F.countDistinct(F.when(F.col("dimension").isNotNull(), py_strip(F.col("text"))))).first()[0]
+        now = spark.read.parquet(f"{cache}/batch-*").count()
+        rows.append((batch, n, now - held))
+        held = now
+    return spark.createDataFrame(rows, "batch bigint, texts bigint, encoded bigint")
+
+
 def q_semantic_topk(spark, d):
     emb = table(spark, d, "embeddings")
     return R.semantic_topk(emb, R.centroids(emb, []), K, id_col="vec_id")
@@ -373,6 +401,8 @@ def queries() -> dict[str, Query]:
         "embed_distinct": q_embed_distinct,
         "vector_validation": q_vector_validation,
         "index_rebuild_counts": q_index_rebuild_counts,
+        "index_republish_counts": q_index_republish_counts,
+        "embedding_cache_counts": q_embedding_cache_counts,
         "semantic_topk": q_semantic_topk,
         "semantic_topk_batch": q_semantic_topk_batch,
         "semantic_topk_cells": q_semantic_topk_cells,
