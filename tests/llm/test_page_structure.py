@@ -73,3 +73,20 @@ def test_what_follows_an_advert_is_kept(page, end):
 def test_sidebars_of_unmarked_pages_are_left_out():
     side = "<div><p>" + "side " * 30 + "</p></div>"
     check(f"<body><div id='page'><div>{PARAGRAPHS}</div><nav>Menu</nav>{side}</div></body>", LONG)
+
+
+def test_formulas_and_objects_are_part_of_their_line():
+    page = ("<article><p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math> in this case, "
+            "as <object data='x'>the drawing</object> shows.</p><p>Next.</p></article>")
+    assert main_text(page) == "Energy is E=m in this case, as the drawing shows.\nNext."
+
+
+def test_dropped_inline_elements_do_not_break_a_line():
+    for inline in ("<svg><title>icon</title></svg>", "<select><option>a</option></select>", "<video>old browser</video>", "<iframe src=x>no</iframe>", "<canvas>no</canvas>"):
+        assert main_text(f"<article><p>One line {inline}goes on here.</p></article>") == "One line goes on here."
+
+
+def test_lead_of_an_unmarked_page_is_kept():
+    body = "This paragraph is the body of the page and long enough to make the sums of lengths surge at once."
+    page = f"<body><p>Intro text is short.</p><ul><li><a href=a>First part</a></li><li><a href=b>Second part</a></li></ul><p>{body}</p><p>{body}</p></body>"
+    assert main_text(page) == f"Intro text is short.\nFirst part\nSecond part\n{body}\n{body}"

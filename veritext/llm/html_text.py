@@ -32,7 +32,8 @@ SPAN_SHARE = 0.2
 MARK_WEIGHT = 2
 
 #: Element kinds of HTML, as words (fixed values of the standard).
-RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select".split())
+#: Content of these is no text of the page, or what a browser shows in their place is none; a line runs on past them.
+RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg canvas audio video select annotation annotation-xml".split())
 BOILERPLATE = set("nav footer aside form button dialog menu fieldset".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
              "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td "
@@ -241,8 +242,6 @@ def lines_of(page: str) -> _Lines:
         if not name:                        # comment, doctype
             continue
         if not closing and name in RAW and not source.endswith("/"):
-            if not skipped and name not in ("script", "style", "noscript", "template"):
-                out.end(bool(containers), gap=False)
             continue
         if name == "head":
             skipped, depth, cut = ("", 0, False) if closing else ("head", 1, True)
@@ -299,6 +298,21 @@ def spans(lengths: list[int], surge: int = SURGE, window: int = WINDOW) -> list[
     return found
 
 
+def with_lead(lines: _Lines, lengths: list[int], start: int) -> int:
+    """The start of a span moved up over short lines of the same parent, past
+    linked lines right below it (a list of contents, say) of a window at most."""
+    parent, first, i, between = lines.parents[start][0], start, start - 1, 0
+    while i >= 0 and lines.texts[i] and between <= WINDOW:
+        if lines.parents[i][0] == parent and lengths[i]:
+            first, between = i, 0
+        elif parent in lines.parents[i][:2]:
+            between += 1
+        else:
+            break
+        i -= 1
+    return first
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one a line."""
     lines = lines_of(page)
@@ -324,6 +338,8 @@ def main_text(page: str) -> str:
                 groups.append([span])
         sums = [sum(sum(lengths[a:b]) for a, b in g) for g in groups]
         kept = [s for g, n in zip(groups, sums, strict=True) if n >= SPAN_SHARE * max(sums) for s in g]
+        ends = [0] + [b for _, b in kept]
+        kept = [(max(end, with_lead(lines, lengths, a)), b) for end, (a, b) in zip(ends, kept)]
     return "\n".join(t for a, b in kept for t in lines.texts[a:b] if t)
 
 
