@@ -60,7 +60,7 @@ def test_trie_equals_brute_force(spark, monkeypatch):
     schema = "conv_id long, turn long, role string, text string, depth string, node long, at string"
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema).repartition(6)
     want = brute(rows)
-    assert len(want) > 200 and any(r[4] > 5 for r in want)
+    assert len(want) > 150 and any(r[4] > 5 for r in want)      # the fixture branches
     assert found(prefix_trie.prefix_trie(df)) == want
     for name, value in (("PREFIX_CHUNK", 4), ("BLOCK_BITS", 3), ("TOUR_CHUNK", 16)):
         monkeypatch.setattr(prefix_trie, name, value)
