@@ -20,6 +20,7 @@ from veritext.operators import cells as V
 from veritext.operators import corpus as C
 from veritext.operators import embed as E
 from veritext.operators import lexical as L
+from veritext.operators import phrase_index as PI
 from veritext.operators import postings as P
 from veritext.session import scratch_path
 
@@ -115,3 +116,15 @@ def stored_cells(spark: SparkSession, source: str, index: DataFrame, id_col: str
             spark.range(1).select(F.lit("done").alias("value")).write.mode("overwrite").text(f"{path}_done")
         _BUILT.add(path)
     return V.open_cells(spark, path, id_col)
+
+
+def stored_phrase_index(spark: SparkSession, source: str, documents: DataFrame) -> PI.PhraseIndex:
+    """The positional index of ``documents`` (filename, content), built unless a session with
+    the same checkpoint folder has built it for the same input files."""
+    path = _index_path(spark, source, 0) + "_phrases"
+    with _LOCK:
+        if path not in _BUILT and not _built(spark, path):
+            PI.build_phrase_index(documents, path)
+            spark.range(1).select(F.lit("done").alias("value")).write.mode("overwrite").text(f"{path}_done")
+        _BUILT.add(path)
+    return PI.open_phrase_index(spark, path)
