@@ -28,6 +28,7 @@ from veritext.plans.index import build_chunk_index, stored_cells, stored_chunk_i
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path, side, stored
 from veritext.sources import snapshots
+from veritext.sources.json_arrays import read_json_array, write_json_array
 from veritext.sources.tables import questions
 from veritext.plans.oracle import PHRASE
 from veritext.sources.tables import phrase_documents, table
@@ -142,6 +143,15 @@ def q_document_chunks(spark, d):
                                         F.md5("text").alias("text_md5"))
 
 
+def q_chunks_array_round_trip(spark, d):
+    """The chunks written as JSON arrays and read back in byte ranges."""
+    chunks = _doc_chunks(spark, d).select("chunk_id", "article", "paragraph", "text")
+    path = scratch_path(spark, f"chunk_arrays-{uuid.uuid4().hex[:12]}")
+    write_json_array(chunks, path)
+    return read_json_array(spark, path, chunks.schema).select("chunk_id", "article", "paragraph", F.length("text").cast("bigint").alias("text_length"),
+                                                              F.md5("text").alias("text_md5"))
+
+
 def q_chunk_length_profile(spark, d):
     return C.chunk_length_profile(_doc_chunks(spark, d))
 
@@ -428,6 +438,7 @@ def queries() -> dict[str, Query]:
         "text_corpus_winners": q_text_corpus_winners,
         "page_quarantine_counts": q_page_quarantine_counts,
         "document_chunks": q_document_chunks,
+        "chunks_array_round_trip": q_chunks_array_round_trip,
         "chunk_length_profile": q_chunk_length_profile,
         "phrase_counts": q_phrase_counts,
         "phrase_counts_batch": q_phrase_counts_batch,

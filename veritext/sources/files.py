@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritext.sources.json_arrays import read_json_array, write_json_array
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("article", T.StringType()),
@@ -34,8 +36,8 @@ def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """S2, array form: each file holds one JSON array of chunk objects."""
-    return spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).json(path)
+    """S2, array form: each file holds one JSON array of chunk objects; large files are read by several tasks."""
+    return read_json_array(spark, path, CHUNK_SCHEMA)
 
 
 def write_chunks_json(chunks: DataFrame, path: str) -> None:
@@ -43,6 +45,11 @@ def write_chunks_json(chunks: DataFrame, path: str) -> None:
     chunks.select(*[c.name for c in CHUNK_SCHEMA.fields]).write.mode("overwrite").json(path)
 
 
+def write_chunks_json_array(chunks: DataFrame, path: str) -> None:
+    """S4, array form: one JSON array a file; null fields are written."""
+    write_json_array(chunks.select(*[c.name for c in CHUNK_SCHEMA.fields]), path)
+
+
 def write_text_corpus(corpus: DataFrame, path: str) -> None:
     """S3 sink: one text per file name (``file_name=<name>/part-*.txt``).
 
