@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.functions.text import py_strip
+from veritext.operators.batching import ModelBatches, call_batched
 from veritext.session import scratch_path, stored
 from veritext.sources import snapshots
 
@@ -69,44 +70,24 @@ def _encoder_for(spec):
     return enc
 
 
-def encode_each(enc, texts: list[str]) -> tuple[list, list]:
-    """(vectors, errors) of the texts, null where there is none.
-
-    A batch that the encoder fails on is halved until the failing texts stand
-    alone, so one of them costs a few more calls and no other text its vector.
-    A result of the wrong number of rows is a failure as well.
-    """
-    if not texts:
-        return [], []
-    try:
-        vectors = list(enc.encode(texts))
-        if len(vectors) != len(texts):
-            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
-        return vectors, [None] * len(texts)
-    except Exception as e:  # noqa: BLE001  whatever the plugged model raises
-        if len(texts) == 1:
-            return [None], [f"{type(e).__name__}: {e}"[:500]]
-        half = len(texts) // 2
-        first, second = encode_each(enc, texts[:half]), encode_each(enc, texts[half:])
-        return first[0] + second[0], first[1] + second[1]
-
-
 def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)),
-                out: str = "embedding", error: str | None = None) -> DataFrame:
+                out: str = "embedding", error: str | None = None, batches: ModelBatches | None = None) -> DataFrame:
     """All input columns plus ``<out> array<double>, dimension int``.
 
     The text is stripped first; a blank text gets a null vector on its own
-    row.  So does a text that the encoder fails on, alone (``encode_each``);
-    ``error`` names a column for the reason.  Only the text goes to the Python
+    row.  So does a text that the encoder fails on, alone (``call_each``);
+    ``error`` names a column for the reason.  ``batches`` limits the encoder's
+    calls to rows of similar length; without it a call takes an Arrow batch.  Only the text goes to the Python
     workers, and the result is marked so that the planner never computes it
     twice for a filter above.
     """
     @F.pandas_udf("vector array<double>, error string")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def vectors(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = _encoder_for(spec)
-        for texts in batches:
+        for texts in series:
             filled = (texts != "").to_numpy()
-            vecs, errors = encode_each(enc, texts[filled].tolist())
+            items = texts[filled].tolist()
+            vecs, errors = call_batched(enc.encode, items, [batches.length(t) for t in items] if batches else [], batches)
             made = pd.DataFrame({"vector": [None] * len(texts), "error": [None] * len(texts)}, dtype=object)
             for i, v, e in zip(np.flatnonzero(filled), vecs, errors, strict=True):
                 made.at[i, "vector"], made.at[i, "error"] = v, e

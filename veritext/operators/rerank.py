@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from veritext import fixed as FX
 from veritext.functions.text import py_strip, tokens
+from veritext.operators.batching import ModelBatches, call_batched
 
 MAX_PAIR_TOKENS = FX.MAX_PAIR_TOKENS
 
@@ -42,11 +43,15 @@ _WORKER_SCORERS: dict = {}
 
 
 def rerank_scores(pairs: DataFrame, question: str = "question", content: str = "content",
-                  scorer=None, out: str = "rerank_score") -> DataFrame:
+                  scorer=None, out: str = "rerank_score", error: str | None = None, batches: ModelBatches | None = None,
+                  profile=None) -> DataFrame:
     """R7 (+R10): adds ``rerank_score``; blank questions get null (not scored).
 
     ``scorer``: ``None`` for the built-in logit, or ``(factory, args)`` for an
     object with ``score(questions: list[str], docs: list[str]) -> ndarray``.
+    A pair that it fails on, or scores NaN, stands alone with a null score and ``reranked`` false;
+    ``error`` names a column for the reason.  ``batches`` limits its calls to
+    pairs of similar length; ``profile`` is a ResourceProfile for this stage alone.
     """
     ok = F.col(question).isNotNull() & (py_strip(question) != "")
     if scorer is None:
@@ -58,25 +63,31 @@ def rerank_scores(pairs: DataFrame, question: str = "question", content: str = "
         t = t.withColumn("_d", tokens(F.col(content)))
         t = t.withColumn(out, F.when(F.col("reranked"), logit_from_tokens(F.col("q_tokens"), F.col("_d"))))
         return t.drop("_d", "q_tokens")
-    schema = T.StructType(list(pairs.schema.fields) + [T.StructField(out, T.DoubleType(), True)])
+    fields = [T.StructField(out, T.DoubleType(), True)] + ([T.StructField(error, T.StringType(), True)] if error else [])
+    schema = T.StructType([*pairs.schema.fields, *fields, T.StructField("reranked", T.BooleanType(), False)])
 
-    def run(batches):
+    def run(frames):
         sc = _WORKER_SCORERS.get(scorer)
         if sc is None:
             factory, args = scorer
             sc = _WORKER_SCORERS[scorer] = factory(*args)
-        for pdf in batches:
-            ok = pdf[question].fillna("").str.strip() != ""
+        call = lambda items: sc.score([q for q, _ in items], [c for _, c in items])
+        for pdf in frames:
+            ok = (pdf[question].fillna("").str.strip() != "").to_numpy()
+            items = list(zip(pdf.loc[ok, question], pdf.loc[ok, content].fillna(""), strict=True))
+            lengths = [batches.length(f"{q} {c}") for q, c in items] if batches else []
+            scores, errors = call_batched(call, items, lengths, batches)
+            vals, why = [None] * len(pdf), [None] * len(pdf)
+            for i, v, e in zip(np.flatnonzero(ok), scores, errors, strict=True):
+                vals[i], why[i] = None if v is None or np.isnan(v) else float(v), e
             res = pdf.copy()
-            vals = np.full(len(pdf), np.nan)
-            if ok.any():
-                vals[ok.to_numpy()] = sc.score(pdf.loc[ok, question].tolist(), pdf.loc[ok, content].fillna("").tolist())
-            res[out] = pd.array([None if np.isnan(v) else float(v) for v in vals], dtype="Float64")
-            res["reranked"] = ok.to_numpy()
+            res[out] = pd.array(vals, dtype="Float64")
+            if error:
+                res[error] = pd.Series(why, index=pdf.index, dtype=object)
+            res["reranked"] = [v is not None for v in vals]
             yield res
 
-    schema = schema.add("reranked", T.BooleanType(), False)
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInPandas(run, schema, profile=profile)
 
 
 def rerank_topk(scored: DataFrame, k: int = 3, qid: str = "question_id", rank: str = "retrieval_rank",
@@ -100,13 +111,17 @@ def rerank_fallback(retrieved: DataFrame, k: int = 3, qid: str = "question_id",
 
 
 def final_chunks(scored: DataFrame, k: int = 3, use_reranking: bool = True, qid: str = "question_id") -> DataFrame:
-    """R8 where the question was reranked, R9 elsewhere; adds ``reranking_used``."""
+    """R8 where the question was reranked, R9 elsewhere; adds ``reranking_used``.
+
+    A question with a pair that the scorer failed on (``reranked`` false) was
+    not reranked: all of it falls back, as when its one call had failed.
+    """
     if not use_reranking:
         return rerank_fallback(scored.drop("rerank_score"), k, qid).withColumn("reranking_used", F.lit(False))
     # One window serves both: a question's scored rows come first, by score;
     # where none was scored, the order is that of retrieval.
-    flag = F.col("reranked") if "reranked" in scored.columns else F.col("rerank_score").isNotNull()
-    rows = scored.withColumn("_scored", F.coalesce(flag, F.lit(False)))
+    whole = F.min(F.coalesce(F.col("reranked"), F.lit(False))).over(Window.partitionBy(qid)) if "reranked" in scored.columns else None
+    rows = scored.withColumn("_scored", F.col("rerank_score").isNotNull() if whole is None else whole)
     best = Window.partitionBy(qid).orderBy(F.col("_scored").desc(), F.when(F.col("_scored"), F.col("rerank_score")).desc_nulls_last(), "retrieval_rank")
     rows = rows.withColumn("rank", F.row_number().over(best).cast("bigint")).withColumn(
         "reranking_used", F.max("_scored").over(Window.partitionBy(qid)))
