@@ -43,6 +43,7 @@ SHARD_CHUNKS = 250_000          # chunks of a shard, about
 LEAST_SHARDS = 16
 WEIGHT_ROWS = 500_000           # (question, term) weights that are broadcast at once
 SCHEMA = "term string, shard int, ords array<int>, tfs array<int>, dls array<int>, bounds array<double>, bucket int"
+FLOOR_COST = 4                  # entries whose adding costs as much as the floor's pass over so many chunks
 MARGIN = 1e-5                   # more than rounding to 6 decimals can lift a score
 
 
@@ -109,43 +110,61 @@ class _Shard:
         flat = lambda name: np.asarray(lists(name).flatten())
         self.ords, tf, dl = flat("ords"), flat("tfs").astype("f8"), flat("dls").astype("f8")
         self.tf, self.norm = tf, tf + k1 * (1.0 - b + b * dl / (avgdl or 1.0))
-        self.at = {t: (ends[i], ends[i + 1]) for i, t in enumerate(table["term"].to_pylist())}
+        self.at = {t: (int(ends[i]), int(ends[i + 1])) for i, t in enumerate(table["term"].to_pylist())}
         bounds, sizes = flat("bounds"), np.asarray(lists("bounds").value_lengths())
         starts = np.r_[0, np.cumsum(sizes)]
         if (store_k1, store_b) != (k1, b) and len(self.ords):       # bounds were made for other parameters
             cuts = np.concatenate([np.arange(a, e, BLOCK) for a, e in zip(ends[:-1], ends[1:], strict=True)])
             bounds = np.maximum.reduceat(tf / self.norm, cuts)
         self.bounds = {t: bounds[starts[i]:starts[i + 1]] for i, t in enumerate(self.at)}
+        self.most = {t: float(own.max()) for t, own in self.bounds.items()}
         self.size = int(self.ords.max()) + 1 if len(self.ords) else 0
+        self.made: dict = {}                                         # a term's part of the score before its weight, for all questions
         self.looked_up = self.scanned = 0
 
+    def _parts(self, term: str, idf: float) -> np.ndarray:
+        if term not in self.made:
+            a, e = self.at[term]
+            self.made[term] = idf * self.tf[a:e] / self.norm[a:e]
+        return self.made[term]
+
     def best(self, terms: list[tuple[str, float, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, scores) of the best k chunks for (term, weight, idf), scores rounded, ties to the smaller number."""
-        here = [(w * i * float(self.bounds[t].max()) * (1 + 1e-12), t, w, i) for t, w, i in terms if t in self.at]
+        here = [(w * i * self.most[t] * (1 + 1e-12), t, w, i) for t, w, i in terms if t in self.at]
         here.sort(key=lambda x: (-x[0], x[1]))
         left = np.cumsum([x[0] for x in here][::-1])[::-1]           # from each term on
         score, alive = np.zeros(self.size), None                     # alive: the chunks that can still get there
+        floor, due = 0.0, 0                                          # a floor found once holds on; entries added since it was
         for j, (_, t, w, idf) in enumerate(here):
             a, e = self.at[t]
-            after = left[j + 1] if j + 1 < len(here) else 0.0
-            if alive is None:
-                score[self.ords[a:e]] += (idf * self.tf[a:e] / self.norm[a:e]) * w
+            if alive is None or e - a <= len(alive):                 # a short list is added whole
+                score[self.ords[a:e]] += self._parts(t, idf) * w
                 self.scanned += e - a
-                if j + 1 < len(here) and self.size > k:
-                    floor = np.partition(score, self.size - k)[self.size - k]
-                    if floor > 0 and after < floor - MARGIN:         # no chunk without a score yet can get there
-                        alive = np.flatnonzero(score + after >= floor - MARGIN)
             else:
                 block = np.searchsorted(self.ords[a:e:BLOCK], alive, "right") - 1
                 most = np.where(block >= 0, self.bounds[t][np.maximum(block, 0)], 0.0) * (w * idf * (1 + 1e-12))
-                alive = alive[score[alive] + most + after >= floor - MARGIN]
+                alive = alive[score[alive] + most + (left[j + 1] if j + 1 < len(here) else 0.0) >= floor - MARGIN]
                 at = np.minimum(np.searchsorted(self.ords[a:e], alive), e - a - 1)
                 hit = self.ords[a:e][at] == alive
-                at = a + at[hit]
-                score[alive[hit]] += (idf * self.tf[at] / self.norm[at]) * w
+                score[alive[hit]] += self._parts(t, idf)[at[hit]] * w
                 self.looked_up += len(alive)
-                if len(alive) > k:
-                    floor = max(floor, np.partition(score[alive], len(alive) - k)[len(alive) - k])
+            due += e - a
+            if j + 1 == len(here) or self.size <= k:
+                continue
+            # a floor costs a pass over the chunks: it is sought where the lists added, or the next one, are as long
+            after, following = left[j + 1], self.at[here[j + 1][1]]
+            held = self.size if alive is None else len(alive)
+            if FLOOR_COST * (due + following[1] - following[0]) < held:
+                continue
+            due = 0
+            if alive is None:
+                if after < score.max() - MARGIN:
+                    floor = np.partition(score, self.size - k)[self.size - k]
+                    if floor > 0 and after < floor - MARGIN:         # no chunk without a score yet can get there
+                        alive = np.flatnonzero(score + after >= floor - MARGIN)
+            elif len(alive) > k:
+                floor = max(floor, np.partition(score[alive], len(alive) - k)[len(alive) - k])
+                alive = alive[score[alive] + after >= floor - MARGIN]
         found = np.flatnonzero(score > 0) if alive is None else alive
         rounded = round_score(score[found])
         order = np.lexsort((found, -rounded))[:k]
