@@ -18,7 +18,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from veritext.session import scratch_path, stored
 from veritext.sources import snapshots
 
 DEFAULT_DIMS = 256
+ENCODE_ROWS = 512               # texts of an encoder's call, unless ModelBatches says otherwise
+CACHED_TOKENS = 100_000         # buckets that a worker keeps; the others are hashed again
 
 
 class HashingEncoder:
@@ -44,7 +47,7 @@ class HashingEncoder:
         b = self._bucket.get(tok)
         if b is None:
             b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dims
-            if len(self._bucket) < 2_000_000:
+            if len(self._bucket) < CACHED_TOKENS:
                 self._bucket[tok] = b
         return b
 
@@ -70,6 +73,32 @@ def _encoder_for(spec):
     return enc
 
 
+def _encoded(enc, texts: pa.Array, batches: ModelBatches | None) -> pa.StructArray:
+    """(vector, error) of an Arrow batch of texts, null where one is blank or fails.
+
+    The vectors are written into one buffer as they come, so that a batch is
+    held once, whatever the encoder's calls make.
+    """
+    filled = np.flatnonzero(np.asarray(pc.not_equal(texts, "").to_numpy(zero_copy_only=False), dtype=bool))
+    flat, end, sizes, errors = np.zeros(0), 0, np.full(len(texts), -1), [None] * len(texts)
+    step = max(1, len(filled)) if batches else ENCODE_ROWS
+    for begin in range(0, len(filled), step):
+        rows = filled[begin:begin + step]
+        items = texts.take(pa.array(rows)).to_pylist()
+        vecs, why = call_batched(enc.encode, items, [batches.length(t) for t in items] if batches else [], batches)
+        for i, v, e in zip(rows, vecs, why, strict=True):
+            errors[i] = e
+            if v is not None:
+                v = np.asarray(v, "f8").reshape(-1)
+                if end + len(v) > len(flat):                    # as a rule once: all vectors have the size of the first
+                    flat = np.concatenate([flat[:end], np.empty(max(end // 2, len(v) * (len(filled) if end == 0 else 1)))])
+                flat[end:end + len(v)] = v
+                end, sizes[i] = end + len(v), len(v)
+    ends = np.r_[0, np.cumsum(np.maximum(sizes, 0))].astype("i4")
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[:end]), mask=pa.array(sizes < 0))
+    return pa.StructArray.from_arrays([lists, pa.array(errors, "string")], ["vector", "error"])
+
+
 def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAULT_DIMS,)),
                 out: str = "embedding", error: str | None = None, batches: ModelBatches | None = None) -> DataFrame:
     """All input columns plus ``<out> array<double>, dimension int``.
@@ -77,21 +106,15 @@ def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAUL
     The text is stripped first; a blank text gets a null vector on its own
     row.  So does a text that the encoder fails on, alone (``call_each``);
     ``error`` names a column for the reason.  ``batches`` limits the encoder's
-    calls to rows of similar length; without it a call takes an Arrow batch.  Only the text goes to the Python
+    calls to rows of similar length; without it a call takes ``ENCODE_ROWS`` texts.  Only the text goes to the Python
     workers, and the result is marked so that the planner never computes it
     twice for a filter above.
     """
-    @F.pandas_udf("vector array<double>, error string")
-    def vectors(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("vector array<double>, error string")
+    def vectors(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoder_for(spec)
-        for texts in series:
-            filled = (texts != "").to_numpy()
-            items = texts[filled].tolist()
-            vecs, errors = call_batched(enc.encode, items, [batches.length(t) for t in items] if batches else [], batches)
-            made = pd.DataFrame({"vector": [None] * len(texts), "error": [None] * len(texts)}, dtype=object)
-            for i, v, e in zip(np.flatnonzero(filled), vecs, errors, strict=True):
-                made.at[i, "vector"], made.at[i, "error"] = v, e
-            yield made
+        for texts in arrays:
+            yield _encoded(enc, texts, batches)
 
     made = vectors.asNondeterministic()(F.coalesce(py_strip(F.col(text)), F.lit("")))
     rows = df.withColumn("_made", made)

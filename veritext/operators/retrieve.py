@@ -15,11 +15,13 @@ row id, so the order is total and engine-independent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,7 @@ BM25_SOURCE = FX.BM25_SOURCE
 MAX_QUERY_BLOCK = 2048               # queries broadcast to the index per pass
 MERGE_PARTS = 64                     # parts of the first of two merges of a query's partition winners
 SCORE_CELLS = 4_000_000              # rows x queries scored at once per task
+MATRIX_CELLS = 1_000_000             # vector elements that a task unpacks at once
 
 
 # -------------------------------------------------------------- query vectors
@@ -66,6 +69,10 @@ def semantic_topk(index: DataFrame, query: DataFrame, k: int = 50, id_col: str =
     return top.select(F.row_number().over(w).cast("bigint").alias("rank"), id_col, "score")
 
 
+def arrow_type(spark: SparkSession, kind: T.DataType) -> pa.DataType:
+    return spark.createDataFrame([], T.StructType([T.StructField("x", kind)])).toArrow().schema.field(0).type
+
+
 def topk_frame(rows: list, qids: list, qid_name: str, id_col: str) -> pd.DataFrame:
     """Rows of ``TopK.rows()`` as a frame; plain object columns so that Arrow
     gets one contiguous array per column (not a pandas Arrow-backed string)."""
@@ -85,25 +92,26 @@ def _block_scores(index: DataFrame, qids: list, qmat: np.ndarray, k: int, id_col
     schema = T.StructType([T.StructField(qid_name, qid_type), T.StructField(id_col, id_type),
                            T.StructField("score", T.DoubleType())])
 
-    def run(batches):
+    arrow = pa.schema([(f.name, arrow_type(index.sparkSession, f.dataType)) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, qm = bq.value
         top = TopK(len(ids_q), k)
-        step = max(1, SCORE_CELLS // max(1, len(ids_q)))
-        for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
-            for s in range(0, len(pdf), step):
-                part = pdf.iloc[s:s + step]
-                if part.empty:
+        step = max(1, min(SCORE_CELLS // max(1, len(ids_q)), MATRIX_CELLS // max(1, qm.shape[1])))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                part = part.filter(part.column(vec).is_valid())
+                if not part.num_rows:
                     continue
-                m = np.stack(part[vec].to_numpy()).astype(np.float64)
+                m = np.asarray(part.column(vec).flatten(), "f8").reshape(part.num_rows, -1)
                 n = np.linalg.norm(m, axis=1, keepdims=True)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     scores = (m / np.where(n > 0, n, np.nan)) @ qm.T + 1.0
-                top.add(part[id_col].to_numpy(), round_score(scores))
-        rows = list(top.rows())
-        yield topk_frame(rows, ids_q, qid_name, id_col)
+                top.add(np.array(part.column(id_col).to_pylist(), dtype=object), round_score(scores))
+        yield pa.RecordBatch.from_pandas(topk_frame(list(top.rows()), ids_q, qid_name, id_col), schema=arrow, preserve_index=False)
 
-    return index.select(id_col, vec).mapInPandas(run, schema)
+    return index.select(id_col, vec).mapInArrow(run, schema)
 
 
 def semantic_topk_batch(index: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "id",
