@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritext.functions.vectors import TopK, round_score
-from veritext.operators.retrieve import MAX_QUERY_BLOCK, SCORE_CELLS, merge_topk, topk_frame
+from veritext.operators.retrieve import MATRIX_CELLS, MAX_QUERY_BLOCK, SCORE_CELLS, arrow_type, merge_topk, topk_frame
 from veritext.session import stored
 
 SAMPLE = 20_000                 # vectors that the centres are fitted on, about
 MOST_CELLS = 4096               # centres are held whole by the driver and every task
 ROUNDS = 6
 MARGIN = 1e-5                   # more than rounding to 6 decimals and the bounds' own error
+PACKED = T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType())),
+                       T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
 
 @dataclass
@@ -53,10 +55,40 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten(), "f8").reshape(-1, dims)
 
 
+def _packed(m: np.ndarray) -> list[pa.Array]:
+    """``PACKED`` columns of the rows of ``m``: hashed vectors, which are mostly zeros, as the places
+    and values of the others, and fuller ones whole; the shuffle and its sort hold them like this."""
+    filled = m != 0
+    count = filled.sum(axis=1)
+    sparse = 3 * count < 2 * m.shape[1]
+    of = lambda sizes, flat, there: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("i4")), pa.array(flat), mask=pa.array(~there))
+    row, place = np.nonzero(filled & sparse[:, None])
+    few = np.where(sparse, count, 0)
+    return [of(few, place.astype("i4"), sparse), of(few, m[row, place], sparse), of(np.where(sparse, 0, m.shape[1]), m[~sparse].ravel(), ~sparse)]
+
+
+def _unpacked(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    places, values, whole = (batch.column(f.name) for f in PACKED)
+    m = np.zeros((batch.num_rows, dims))
+    sparse = np.asarray(places.is_valid().to_numpy(zero_copy_only=False), bool)
+    sizes = np.asarray(places.value_lengths().fill_null(0))
+    m[np.repeat(np.arange(batch.num_rows), sizes), np.asarray(places.flatten())] = np.asarray(values.flatten(), "f8")
+    m[~sparse] = np.asarray(whole.flatten(), "f8").reshape(-1, dims)
+    return m
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts that unpack to ``MATRIX_CELLS`` elements at most."""
+    step = max(1, MATRIX_CELLS // max(1, dims))
+    for batch in batches:
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def fit_centres(sample: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """``n`` centres at most, by a few rounds of k-means."""
     points = np.unique(sample, axis=0)
@@ -85,15 +117,15 @@ def build_cells(index: DataFrame, path: str, id_col: str = "id", vec: str = "emb
     held = _unit(_matrix(held, dims)) if len(held) else np.eye(1, dims)
     centres = fit_centres(held, max(1, min(MOST_CELLS, int(n ** 0.5) if n_cells is None else n_cells)))
     shared = index.sparkSession.sparkContext.broadcast(centres)
-    out = T.StructType([index.schema[id_col], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    out = T.StructType([index.schema[id_col], *PACKED, T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                unit = _unit(_matrix(batch.column("vector"), dims))
-                cell = _nearest(unit, shared.value)
-                distance = np.linalg.norm(unit - shared.value[cell], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("vector"), pa.array(cell.astype("i4")), pa.array(distance)], names=out.names)
+        for part in _slices(batches, dims):
+            m = _matrix(part.column("vector"), dims)
+            unit = _unit(m)
+            cell = _nearest(unit, shared.value)
+            distance = np.linalg.norm(unit - shared.value[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(id_col), *_packed(m), pa.array(cell.astype("i4")), pa.array(distance)], names=out.names)
 
     # a cell that holds a large share of all rows is cut by distance and id
     dealt = rows.mapInArrow(assign, out).repartitionByRange("cell", "distance", id_col).sortWithinPartitions("cell", "distance")
@@ -108,7 +140,7 @@ def build_cells(index: DataFrame, path: str, id_col: str = "id", vec: str = "emb
 def open_cells(spark: SparkSession, path: str, id_col: str = "id") -> Cells:
     table = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r["cell"])
     if not table:
-        return Cells(spark.createDataFrame([], f"{id_col} long, vector array<double>, distance double, cell int"), np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0), id_col)
+        return Cells(spark.createDataFrame([], f"{id_col} long, places array<int>, values array<double>, vector array<double>, distance double, cell int"), np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0), id_col)
     rows = spark.read.parquet(f"{path}/rows")
     column = lambda name: np.array([r[name] for r in table])
     places = np.full(table[-1]["cell"] + 1, -1)
@@ -132,9 +164,9 @@ def _score(cells: Cells, wanted: np.ndarray, unit: np.ndarray, near: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, floor, qids = queries.value
         top = TopK(len(qids), k)
-        for batch in batches:
+        for batch in _slices(batches, dims):
             cell, ids = batch.column("cell").to_numpy(), np.array(batch.column(id_col).to_pylist(), dtype=object)
-            m, distance = _matrix(batch.column("vector"), dims), batch.column("distance").to_numpy()
+            m, distance = _unpacked(batch, dims), batch.column("distance").to_numpy()
             for c in np.unique(cell):
                 who, away = shared.value[int(c)]
                 mine = np.flatnonzero(cell == c)
@@ -151,14 +183,10 @@ def _score(cells: Cells, wanted: np.ndarray, unit: np.ndarray, near: np.ndarray,
         found = topk_frame(list(top.rows()), qids, qid, id_col)
         yield pa.RecordBatch.from_pandas(found, schema=arrow, preserve_index=False)
 
-    arrow = pa.schema([(qid, _arrow_type(cells.rows.sparkSession, qid_type)), (id_col, _arrow_type(cells.rows.sparkSession, out[1].dataType)), ("score", pa.float64())])
+    arrow = pa.schema([(qid, arrow_type(cells.rows.sparkSession, qid_type)), (id_col, arrow_type(cells.rows.sparkSession, out[1].dataType)), ("score", pa.float64())])
     return cells.rows.filter(F.col("cell").isin([int(c) for c in read])).mapInArrow(run, out)
 
 
-def _arrow_type(spark: SparkSession, kind: T.DataType) -> pa.DataType:
-    return spark.createDataFrame([], T.StructType([T.StructField("x", kind)])).toArrow().schema.field(0).type
-
-
 def cells_topk(cells: Cells, queries: DataFrame, k: int = 50, qid: str = "query_id", qvec: str = "query_vec") -> DataFrame:
     """R2 over a cell index: ``<qid>, rank, <id_col>, score``, the rows that scoring everything gives.
 
