@@ -53,7 +53,7 @@ def with_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
     The sorted tokens are projected into a column first: lambdas then read a
     column instead of re-deriving the sort for every element.
     """
-    srt = df.withColumn("_s", F.array_sort(tokens(F.col(text))))
+    srt = df.withColumn("_s", F.sort_array(tokens(F.col(text))))
     s_ = F.col("_s")
     n = F.size(s_)
     cut = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),

@@ -24,7 +24,7 @@ from veritext.operators.cells import cells_topk
 from veritext.operators.phrase_index import phrase_counts_indexed
 from veritext.operators.postings import postings_topk
 from veritext.plans import qa
-from veritext.plans.index import build_chunk_index, stored_cells, stored_chunk_index, stored_phrase_index, stored_term_tables
+from veritext.plans.index import build_chunk_index, in_tasks, stored_cells, stored_chunk_index, stored_phrase_index, stored_term_tables
 from veritext.plans.oracle import DIMS, DOC_DIMS, INDEX_DIMS, K
 from veritext.session import scratch_path, side, stored
 from veritext.sources import snapshots
@@ -236,7 +236,8 @@ def _chunk_index(spark, d):
 
 
 def q_index_build_counts(spark, d):
-    return build_chunk_index(table(spark, d, "documents"), scratch_path(spark, "chunk_index_build"), DIMS)
+    documents = in_tasks(spark, f"{d}/documents.parquet", table(spark, d, "documents"))
+    return build_chunk_index(documents, scratch_path(spark, "chunk_index_build"), DIMS)
 
 
 def _question_vectors(spark, d):
@@ -270,7 +271,7 @@ def q_source_labels_bm25(spark, d):
 def _qa(spark, d, use_reranking=True):
     qs = questions(table(spark, d, "benchmark"))
     cfg = qa.QAConfig(retrieval_top_k=K, rerank_top_k=3, use_reranking=use_reranking, dims=DIMS)
-    return qa.answer(_chunk_index(spark, d), qs, cfg, lexical=_term_tables(spark, d))
+    return qa.answer(_chunk_index(spark, d), qs, cfg, lexical=lambda: _term_tables(spark, d))
 
 
 def q_rerank_scores(spark, d):
@@ -333,7 +334,7 @@ def q_retrieval_route_fallback(spark, d):
     """A question encoder whose vectors do not fit the index: BM25 answers all."""
     qs = questions(table(spark, d, "benchmark"))
     cfg = qa.QAConfig(retrieval_top_k=K, dims=DIMS, encoder=(E.HashingEncoder, (INDEX_DIMS,)))
-    return qa.route(_chunk_index(spark, d), qs, cfg, lexical=_term_tables(spark, d))
+    return qa.route(_chunk_index(spark, d), qs, cfg, lexical=lambda: _term_tables(spark, d))
 
 
 def q_retrieval_route(spark, d):

@@ -45,8 +45,9 @@ class QAConfig:
 def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -> DataFrame:
     """R2 + R4 + R6: ``question_id, retrieval_rank, chunk_id, retrieval_score, method``.
 
-    ``lexical``: the stored term tables of the index (``plans.index.TermTables``),
-    if any; without them the BM25 fallback scans the index.
+    ``lexical``: the stored term tables of the index (``plans.index.TermTables``), or what
+    gives them and is called if a question needs them; without it the BM25
+    fallback scans the index.
     """
     # The encoder runs once.  A vector of another size than the index's is as
     # unusable as none: the semantic search fails and BM25 takes over.
@@ -60,10 +61,11 @@ def route(index: DataFrame, questions: DataFrame, cfg: QAConfig, lexical=None) -
     rest = qv.filter(~F.col("valid")).select("question_id", "question")
     if not cfg.fuzzy_fallback or rest.isEmpty():
         return sem
-    vocab = lexical.df if lexical is not None else L.vocabulary(index)
+    terms = lexical() if callable(lexical) else lexical
+    vocab = terms.df if terms is not None else L.vocabulary(index)
     fuzzy = stored(L.fuzzy_terms(L.question_terms(rest), vocab), "fuzzy-terms")
     w = L.query_weights(rest, fuzzy=fuzzy)
-    lex = postings_topk(lexical.postings, lexical.df, w, cfg.retrieval_top_k) if lexical is not None else L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id")
+    lex = postings_topk(terms.postings, terms.df, w, cfg.retrieval_top_k) if terms is not None else L.bm25_topk(index, w, cfg.retrieval_top_k, id_col="chunk_id")
     lex = lex.select("question_id", F.col("rank").alias("retrieval_rank"), "chunk_id",
                      F.col("score").alias("retrieval_score"), F.lit("bm25").alias("method"))
     return sem.unionByName(lex)
