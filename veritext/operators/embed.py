@@ -190,8 +190,9 @@ def validate_vectors(df: DataFrame, col: str = "embedding", dims: int = DEFAULT_
     v = F.col(col)
     reason = (F.when(v.isNull(), F.lit("missing"))
               .when(F.size(v) != dims, F.lit("wrong_dimension"))
-              .when(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit("null_or_nan"))
-              .when(~F.exists(v, lambda x: x != 0), F.lit("zero_norm")))
+              # contains is null, not false, of an array with nulls; no lambda runs for every element
+              .when(F.coalesce(F.array_contains(v, F.lit(float("nan"))), F.lit(True)), F.lit("null_or_nan"))
+              .when(F.coalesce((F.array_min(v) == 0) & (F.array_max(v) == 0), F.lit(True)), F.lit("zero_norm")))
     return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
