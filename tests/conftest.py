@@ -20,3 +20,14 @@ def spark():
 def one(spark, expr, data, schema):
     """Evaluate a column expression over a small in-code frame."""
     return [r[0] for r in spark.createDataFrame(data, schema).select(expr).collect()]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_cached_by_other_modules():
+    """What a module's tests have cached goes with it, as others count what is cached."""
+    yield
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.catalog.clearCache()
