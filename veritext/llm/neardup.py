@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritext.llm.candidates import centres_of, labels_of, members_of, outside, small_pairs, star_pairs, weights_of
+from veritext.llm.candidates import centres_of, labels_of, members_of, outside, small_members, small_pairs, star_pairs, weights_of
 from veritext.llm.components import star_components
 from veritext.llm.shared import stored, text_or_empty
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(star_pairs(members, centres), sigs, texts, words, percent)
     found = stored(star_components(links), "dup-component")
     labels = labels_of(weights, found)
-    more = confirmed(small_pairs(members, labels), sigs, texts, words, percent)
+    more = confirmed(small_pairs(small_members(members, labels)), sigs, texts, words, percent)
     blocks = _outsiders(members, labels, centres, sigs, texts, words, percent)
     more = more if blocks is None else more.union(blocks)
     if not more.isEmpty():
