@@ -98,3 +98,55 @@ def test_empty_index(spark, tmp_path):
     P.build_postings(index, str(tmp_path), stats)
     weights = spark.createDataFrame([(1, "a", 1.0)], "question_id long, vterm string, weight double")
     assert P.postings_topk(P.open_postings(spark, str(tmp_path)), df, weights, 5).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_build_shuffles_no_chunks(spark, tmp_path, monkeypatch):
+    """Lists are made where the chunks are read; the only shuffles are of sums and of terms."""
+    from pyspark.sql import DataFrameWriter
+
+    index = spark.createDataFrame([(f"c{i}", f"a b{i % 7} c{i}") for i in range(500)], "chunk_id string, text string").repartition(3)
+    src = str(tmp_path / "index")
+    index.write.parquet(src)
+    index, plans, real = spark.read.parquet(src), [], DataFrameWriter.parquet
+    stats, _ = L.term_stats(index)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: plans.append(plan_of(self._df)) or real(self, path, *a, **b))
+    P.build_postings(index, str(tmp_path / "lists"), stats)
+    assert any("MapInArrow" in p for p in plans) and not any("Exchange" in p for p in plans)
+
+
+def test_repeated_and_missing_ids(spark, tmp_path, monkeypatch):
+    """Rows of one id are found each by its own text; rows without id count in the frequencies only."""
+    rows_ = [("a", "x y"), ("a", "x z z"), (None, "x y"), ("b", "q"), ("b", "q"), ("c", ""), ("d", "x"), (None, "only")]
+    index = spark.createDataFrame(rows_, "chunk_id string, text string").coalesce(1)
+    monkeypatch.setattr(P, "SHARD_CHUNKS", 2)
+    stats, df = L.term_stats(index)
+    P.build_postings(index, str(tmp_path), stats)
+    store = P.open_postings(spark, str(tmp_path))
+    assert rows(P.document_frequencies(spark, str(tmp_path))) == rows(df)
+    assert store.chunks.groupBy("shard").count().agg(F.max("count")).first()[0] <= 2
+    weights = spark.createDataFrame([(1, "x", 1.0), (1, "z", 1.0), (2, "q", 1.0), (3, "only", 1.0)], "question_id long, vterm string, weight double")
+    known = L.bm25_topk(index.filter("chunk_id IS NOT NULL"), weights, 10, stored_stats=(stats, df))
+    found = P.postings_topk(store, df, weights, 10)
+    plain = lambda d: rows(d.select("question_id", "chunk_id", "score"))
+    assert plain(found) == plain(known) and len(plain(found)) == 5
+
+
+def test_passes_over_the_parts(spark, store, words, monkeypatch, tmp_path):
+    """Several passes give the rows of one, and a pass reads the folders of its parts only."""
+    index, stats, df, _, _ = store
+    monkeypatch.setattr(P, "SHARD_CHUNKS", 200)
+    monkeypatch.setattr(P, "PART_TASKS", 1)
+    P.build_postings(index.repartition(6), str(tmp_path), stats)
+    lists = P.open_postings(spark, str(tmp_path))
+    assert len(P._passes(lists, 1)) > 2 and P._passes(lists, 10_000) == [(0, lists.parts - 1)]
+    weights = L.query_weights(spark.createDataFrame([(i, words(9)) for i in range(12)], "question_id long, question string"))
+    one = rows(P.postings_topk(lists, df, weights, 7))
+    made, real = [], P.stored
+    monkeypatch.setattr(P, "_passes", lambda s, cores, f=P._passes: f(s, 1))
+    monkeypatch.setattr(P, "stored", lambda d, name: made.append(name) or real(d, name))
+    assert rows(P.postings_topk(lists, df, weights, 7)) == one == rows(L.bm25_topk(index, weights, 7, stored_stats=(stats, df)))
+    assert made.count("postings-winners") > 2

@@ -65,3 +65,17 @@ def test_expansions_are_the_same_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(trie, "BLOCK_TERMS", 17)
     assert rows(trie.expansions(queries, vocabulary)) == want
     assert rows(trie.expansions(queries.limit(0), vocabulary)) == [] == rows(trie.expansions(queries, vocabulary.limit(0)))
+
+
+def test_a_step_makes_bounded_rows(monkeypatch):
+    """Rows of a step are bounded after its children are listed, not before."""
+    from veritext.operators import trie as TR
+
+    terms = sorted({a + b + c for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl"})
+    queries = sorted({a + b + "xy" for a in "abcd" for b in "abcd"})
+    codes, length, edits = TR._codes(queries), np.array([len(q) for q in queries]), np.full(len(queries), 2, "i1")
+    found = lambda: sorted((int(q), int(v), int(c)) for qs, vs, cs in TR.walk(TR.Trie(terms), codes, length, edits) for q, v, c in zip(qs, vs, cs, strict=True))
+    whole, sizes, real = found(), [], TR._step
+    monkeypatch.setattr(TR, "WALK", 50)
+    monkeypatch.setattr(TR, "_step", lambda codes, length, query, *a: sizes.append(len(query)) or real(codes, length, query, *a))
+    assert found() == whole and whole and max(sizes) <= 50

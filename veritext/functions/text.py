@@ -72,6 +72,17 @@ def py_strip(col) -> Column:
     return F.regexp_replace(_c(col), rf"^{WS}+|{WS}+$", "")
 
 
+def not_blank(col) -> Column:
+    """Whether anything is left of a text that is stripped."""
+    return _c(col).rlike(f"[^{WS[1:]}")
+
+
+def stripped(name: str) -> Column:
+    """``py_strip`` of a column; texts that begin and end with other characters are not searched."""
+    end = lambda at: F.substring(name, at, 1).rlike(WS)
+    return F.when(end(1) | end(-1), py_strip(name)).otherwise(F.col(name))
+
+
 def _codepoint_char(cp: Column) -> Column:
     # One code point as a string: 4-byte big-endian UTF-32, decoded.
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
@@ -126,7 +137,7 @@ def decode_entities(col) -> Column:
 
 def tokens(col) -> Column:
     """Lower-cased runs of letters/digits, in order, empties removed."""
-    return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(col)), TOKEN_SPLIT), "")
 
 
 def _text_pieces(html: Column) -> Column:

@@ -218,7 +218,7 @@ def split_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if title is not None:
         cols.append(title.alias("title"))
     out = docs.select(*cols, F.posexplode(lines).alias("pos", "c"))
-    out = out.filter(X.py_strip(F.col("c.text")) != "")
+    out = out.filter(X.not_blank(F.col("c.text")))
     sid = F.col("doc_id").cast("string")
     return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
                       F.concat(sid, F.lit(":"), F.col("pos").cast("string")).alias("chunk_id"),

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.functions.text import py_strip
+from veritext.functions.text import py_strip, stripped
 from veritext.operators.batching import ModelBatches, call_batched
 from veritext.session import scratch_path, stored
 from veritext.sources import snapshots
@@ -53,10 +53,11 @@ class HashingEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float64)
+        known = self._bucket.get
         for r, t in enumerate(texts):
             toks = [x for x in self._split.split(t.lower()) if x]
             if toks:
-                out[r] = np.bincount([self._b(x) for x in toks], minlength=self.dims)
+                out[r] = np.bincount([self._b(x) if (b := known(x)) is None else b for x in toks], minlength=self.dims)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(n > 0, out / n, out)
@@ -116,7 +117,7 @@ def embed_texts(df: DataFrame, text: str = "text", spec=(HashingEncoder, (DEFAUL
         for texts in arrays:
             yield _encoded(enc, texts, batches)
 
-    made = vectors.asNondeterministic()(F.coalesce(py_strip(F.col(text)), F.lit("")))
+    made = vectors.asNondeterministic()(F.coalesce(stripped(text), F.lit("")))
     rows = df.withColumn("_made", made)
     rows = rows.withColumn(out, F.col("_made.vector"))
     rows = rows if error is None else rows.withColumn(error, F.col("_made.error"))
@@ -140,9 +141,9 @@ def embed_cached(df: DataFrame, cache: str, text: str = "text", spec=(HashingEnc
     """
     spark, kind = df.sparkSession, encoder_key(spec)
     known = _cached(spark, cache).filter(F.col("encoder") == kind)
-    stripped = F.coalesce(py_strip(F.col(text)), F.lit(""))
-    keyed = df.withColumn("_h", F.sha2(stripped, 256))
-    asked = stored(keyed.filter(stripped != "").groupBy("_h").agg(F.any_value(stripped).alias("_text")), "cache-asked")
+    plain = F.coalesce(stripped(text), F.lit(""))
+    keyed = df.withColumn("_h", F.sha2(plain, 256))
+    asked = stored(keyed.filter(plain != "").groupBy("_h").agg(F.any_value(plain).alias("_text")), "cache-asked")
     there = known.select(F.col("h").alias("_h"), F.col("text").alias("_text"), "vector")
     there = there.join(asked, ["_h", "_text"], "left_semi").groupBy("_h").agg(F.any_value("vector").alias("vector"))
     there = stored(there, "cache-hits")
@@ -202,7 +203,7 @@ def rebuild_index(validated: DataFrame, path: str) -> DataFrame:
     The success/failed counts are observed on the same pass that writes the
     index (``DataFrame.observe``), so the embedding is not computed twice.
     """
-    return _counted(validated, lambda rows: rows.write.mode("overwrite").parquet(path))
+    return _counted(validated, lambda rows: rows.write.mode("overwrite").option("compression", "zstd").parquet(path))
 
 
 def republish_index(validated: DataFrame, base: str) -> DataFrame:

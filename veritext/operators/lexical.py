@@ -104,13 +104,22 @@ def query_weights(questions: DataFrame, qid: str = "question_id", question: str
     return j.groupBy(qid, "vterm").agg(F.sum(F.col("n") * F.col("boost")).alias("weight"))
 
 
+def corpus_stats(index: DataFrame, text: str = "text") -> DataFrame:
+    """One row ``n, avgdl``: the number and the mean length of the texts."""
+    return _stats(index, F.size(tokens(F.col(text))))
+
+
+def _stats(index: DataFrame, dl: Column) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl"))
+
+
 def term_stats(index: DataFrame, text: str = "text"):
     """Index-wide statistics: one-row ``n, avgdl`` and ``vterm, df`` for all terms."""
     if {"terms", "dl"} <= set(index.columns):        # stored per-chunk term columns
         dl, distinct = F.col("dl"), F.col("terms")
     else:
         dl, distinct = F.size(tokens(F.col(text))), F.array_distinct(tokens(F.col(text)))
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl"))
+    stats = _stats(index, dl)
     df = index.select(F.explode(distinct).alias("vterm")).groupBy("vterm").agg(F.count(F.lit(1)).alias("df"))
     return stats, df
 

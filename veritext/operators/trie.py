@@ -27,7 +27,7 @@ FAR = 100                       # more edits than any allowed
 QUERY_BLOCK = 50_000            # query terms that are broadcast at once
 CELLS = 8_000_000               # characters of a vocabulary block, padded to its longest term
 BLOCK_TERMS = 200_000
-WALK = 400_000                  # (query term, node) rows that a step expands at once
+WALK = 400_000                  # (query term, node) rows that a step holds or makes at once
 
 
 def _codes(terms: list[str]) -> np.ndarray:
@@ -109,7 +109,10 @@ def walk(trie: Trie, codes: np.ndarray, length: np.ndarray, edits: np.ndarray) -
     todo = [(0, np.arange(n), np.zeros(n, "i8"), (first, far, far), (none, none))]
     while todo:
         level, query, node, rows, last = todo.pop()
-        if len(query) > WALK:                                   # depth first, so that little waits
+        leaf = level == len(trie.labels)
+        start, stop = (node, node) if leaf else (trie.children[level][node], trie.children[level][node + 1])
+        number = stop - start
+        if len(query) > 1 and max(len(query), number.sum()) > WALK:     # depth first, so that little waits
             half = len(query) // 2
             for part in (slice(half, None), slice(0, half)):
                 todo.append((level, query[part], node[part], tuple(r[part] for r in rows), tuple(x[part] for x in last)))
@@ -120,10 +123,6 @@ def walk(trie: Trie, codes: np.ndarray, length: np.ndarray, edits: np.ndarray) -
         hit = (end >= 0) & (cost <= edits[query])
         if hit.any():
             yield query[hit], end[hit], cost[hit]
-        if level == len(trie.labels):
-            continue
-        start, stop = trie.children[level][node], trie.children[level][node + 1]
-        number = stop - start
         if not number.sum():
             continue
         of = np.repeat(np.arange(len(query)), number)
